@@ -267,15 +267,21 @@ def drop_empty_std(df: DataFrame) -> DataFrame:
     return df.select(*(col(c) for c in df.columns if c not in empty))
 
 
-def column_manifest(master: DataFrame, stage_columns: dict[str, list[str]], keys: list[str], suffixes: list[str]) -> DataFrame:
-    """Each master column with its source, filled count and extremes (as text)."""
+def column_manifest(master: DataFrame, stage_columns: dict[str, tuple[list[str], str]], keys: list[str]) -> DataFrame:
+    """Each master column with its source, filled count and extremes (as text).
+
+    ``stage_columns`` maps a source to its columns and the suffix its clashing
+    columns took. A suffixed column belongs to the stage that owns the suffix.
+    """
     def origin(name: str) -> str:
         if name in keys:
             return "key"
-        for source, names in stage_columns.items():
-            if name in names or any(name.endswith(s) and name[: -len(s)] in names for s in suffixes if s):
-                return source
-        return "unknown"
+        plain = (s for s, (names, _) in stage_columns.items() if name in names)
+        renamed = (
+            s for s, (names, suffix) in stage_columns.items()
+            if suffix and name.endswith(suffix) and name[: -len(suffix)] in names
+        )
+        return next(plain, None) or next(renamed, "unknown")
 
     table = _tall(master, master.columns, {
         "n_filled": F.count, "min": lambda c: F.min(c).cast("string"), "max": lambda c: F.max(c).cast("string"),

@@ -55,8 +55,8 @@ def run_all(
     joined = reorder_priority(attach_meta(master, meta.drop(*clashing)), list(cfg.priority_columns), ["fp_Date of Harvest"])
     write_table(joined, f"{out_dir}/master", sort_by=KEYS)
     final = spark.read.parquet(f"{out_dir}/master")
-    sources = {label: f.columns for label, f in frames.items()}
-    sources["fetch_plan_meta"] = meta.columns
-    manifest = column_manifest(final, sources, KEYS, [s for s in STAGES.values() if s])
+    sources = {label: (f.columns, STAGES[label]) for label, f in frames.items()}
+    sources["fetch_plan_meta"] = (meta.columns, "")
+    manifest = column_manifest(final, sources, KEYS)
     write_table(manifest, f"{out_dir}/manifest")
     return final, spark.read.parquet(f"{out_dir}/manifest")
