@@ -271,6 +271,8 @@ def knn_impute(
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = gaps.join(counts, "_block").withColumn("_g", place("_ng")).withColumn("_d", upto("_nd"))
     right = pool_rows.join(counts, "_block").withColumn("_d", place("_nd")).withColumn("_g", upto("_ng"))
+    # Both sides may come from one frame; new column ids keep the grouping unambiguous.
+    right = right.select(*(col(c).alias(c) for c in right.columns))
     cell = ["_block", "_g", "_d"]
     id_type = dict(df.dtypes)[row_id]
     schema = f"`{row_id}` {id_type}, feature string, donor {id_type}, distance double, value double"
@@ -388,6 +390,7 @@ class Preprocessor:
         self.cfg, self.row_id, self.limit = cfg, row_id, limit
         self.state: dict[str, DataFrame] = {}
         self.donors: DataFrame | None = None
+        self.columns: list[str] = []
 
     def _numeric(self, df: DataFrame) -> list[str]:
         return [c for c in numeric_columns(df) if c not in (self.cfg.target, self.row_id)]
@@ -409,6 +412,9 @@ class Preprocessor:
         return self.state.get(name)
 
     def _run(self, df: DataFrame, fitting: bool) -> DataFrame:
+        if fitting:
+            self.columns = df.columns
+        df = df.select(*(col(c) for c in df.columns if c in self.columns))
         numeric = self._numeric(df)
         categories = [c for c in self.cfg.category_columns if c in df.columns]
         out = winsor_apply(df, self._fitted("winsor", fitting, lambda: winsor_fit(df, numeric, limit=self.limit)))
