@@ -32,6 +32,7 @@ class RadarConfig:
     mode: str = "window_median"  # or "nearest"
     instrument_mode: str = "IW"
     resolution_m: int = 10
+    pixel_m: float = 10.0  # pixel pitch, for the rim the speckle filter needs
     polarisations: tuple[str, ...] = ("VV", "VH")
     default_groups: tuple[str, ...] = ("VV", "VH", "VVVH_ratio", "RVI")
     statistics: tuple[str, ...] = ("mean", "stdDev", "min", "max")

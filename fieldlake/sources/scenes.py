@@ -26,10 +26,11 @@ def scene_predicate(product: str, optical: OpticalConfig = OpticalConfig(), rada
     return rule
 
 
-def select_scenes(scenes: DataFrame, product: str, extra: Column | None = None) -> DataFrame:
+def select_scenes(
+    scenes: DataFrame, product: str, optical: OpticalConfig = OpticalConfig(), radar: RadarConfig = RadarConfig()
+) -> DataFrame:
     """Usable scenes of a product; the plain comparisons reach the file scan."""
-    rule = scene_predicate(product)
-    return scenes.filter(rule if extra is None else rule & extra)
+    return scenes.filter(scene_predicate(product, optical, radar))
 
 
 def scene_pixels(scenes: DataFrame, pixels: DataFrame, bands: list[str] | None = None, salts: int = 8) -> DataFrame:

@@ -39,7 +39,7 @@ def s2_layers(region: DataFrame) -> DataFrame:
 
 
 def _region(rows: DataFrame, scenes: DataFrame, pixels: DataFrame, product: str, cfg: OpticalConfig) -> DataFrame:
-    usable = scene_pixels(select_scenes(scenes, product), pixels.filter(F.col("product") == product))
+    usable = scene_pixels(select_scenes(scenes, product, cfg), pixels.filter(F.col("product") == product))
     near = region_pixels(rows, usable, cfg.buffer_m)
     return near.select(*PLACE, "scene_id", F.to_date("scene_ts").alias("obs_date"), "px_row", "px_col", "band", "value")
 

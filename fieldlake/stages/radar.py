@@ -21,9 +21,9 @@ def despeckled(requests: DataFrame, scenes: DataFrame, pixels: DataFrame, cfg: R
 
     The filter runs only on pixels near some place, with a rim wide enough for the neighbourhood.
     """
-    usable = scene_pixels(select_scenes(scenes, "S1"), pixels.filter(F.col("product") == "S1"), list(cfg.polarisations))
+    usable = scene_pixels(select_scenes(scenes, "S1", radar=cfg), pixels.filter(F.col("product") == "S1"), list(cfg.polarisations))
     slim = usable.select("scene_id", "scene_ts", "band", "px_row", "px_col", "lat", "lon", "value")
-    near = near_pixels(requests, slim, cfg.buffer_m + 2.0 * cfg.resolution_m * 1.5)
+    near = near_pixels(requests, slim, cfg.buffer_m + 2.0 * cfg.pixel_m)
     smooth = focal_median(near, ["scene_id", "band"])
     where = near.drop("value").join(smooth, ["scene_id", "band", "px_row", "px_col"])
     region = region_pixels(requests, where, cfg.buffer_m)
