@@ -57,10 +57,12 @@ def _median_of_tile(value: str, radius: int):
 
 
 def focal_median(
-    pixels: DataFrame, by: list[str], value: str = "value", radius: int = 1, tile: int = 256
+    pixels: DataFrame, by: list[str], value: str = "value", radius: int = 1, tile: int = 256, carry: list[str] | None = None
 ) -> DataFrame:
     """Median of the square neighbourhood of every pixel; ``by`` names the raster (scene, band).
 
+    ``carry`` columns of the pixel pass through unchanged.
+
     The raster (one row per pixel) is cut into tiles of fixed size. Only rim
     pixels are copied to the next tile, so the shuffle carries each pixel about
     once, and no group exceeds (tile + 2 radius) squared rows.
@@ -69,7 +71,7 @@ def focal_median(
         spots = F.array(*(F.floor((col(name) + d) / F.lit(tile)) for d in (-radius, 0, radius)))
         return F.explode(F.array_distinct(spots))
 
-    base = pixels.select(*map(col, by), "px_row", "px_col", col(value).cast("double").alias(value))
+    base = pixels.select(*map(col, by), "px_row", "px_col", *map(col, carry or []), col(value).cast("double").alias(value))
     spread = base.withColumn("_trow", reach("px_row")).withColumn("_tcol", reach("px_col"))
     own = (F.col("_trow") == F.floor(F.col("px_row") / F.lit(tile))) & (
         F.col("_tcol") == F.floor(F.col("px_col") / F.lit(tile))

@@ -224,6 +224,9 @@ def _top_donors(columns: list[str], context: list[str], row_id: str, k: int):
                         if known_a[r, j]:
                             continue
                         usable = np.flatnonzero(known_b[:, j] & ~np.isnan(distance[r]))
+                        if len(usable) > k:
+                            edge = np.partition(distance[r, usable], k - 1)[k - 1]
+                            usable = usable[distance[r, usable] <= edge]
                         nearest = usable[np.argsort(distance[r, usable], kind="stable")[:k]]
                         for d in nearest:
                             out[row_id].append(gap_id)

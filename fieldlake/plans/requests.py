@@ -47,18 +47,18 @@ def source_rows(plan: DataFrame, source: str) -> DataFrame:
 
 def plan_audit(plan: DataFrame) -> DataFrame:
     """Per source (and for unmatched rows): row count, overlaps and the dataset texts seen."""
-    flags = source_flags(plan)
-    text = F.lower(T.trimmed(col(dataset_column(plan.columns))))
-    hits = F.array_compact(F.array(*(F.when(flag, F.lit(name)) for name, flag in flags.items())))
-    tagged = plan.select(text.alias("_text"), hits.alias("_hits"))
+    texts = [dataset_column(plan.columns), *(["variable"] if "variable" in plan.columns else [])]
+    # Equal texts collapse before the shuffle, so each pattern runs once per distinct text.
+    seen = plan.groupBy(*map(col, texts)).agg(F.count("*").alias("_n"))
+    hits = F.array_compact(F.array(*(F.when(flag, F.lit(name)) for name, flag in source_flags(seen).items())))
+    tagged = seen.select(F.lower(T.trimmed(col(texts[0]))).alias("_text"), "_n", hits.alias("_hits"))
     rows = tagged.select(
-        "_text",
-        (F.size("_hits") > 1).alias("_shared"),
+        "_text", "_n", (F.size("_hits") > 1).alias("_shared"),
         F.explode(F.when(F.size("_hits") > 0, F.col("_hits")).otherwise(F.array(F.lit("unmatched")))).alias("source"),
     )
     return rows.groupBy("source").agg(
-        F.count("*").alias("n_rows"),
-        F.sum(F.col("_shared").cast("bigint")).alias("n_shared"),
+        F.sum("_n").alias("n_rows"),
+        F.sum(F.when(F.col("_shared"), F.col("_n")).otherwise(F.lit(0))).alias("n_shared"),
         F.array_sort(F.collect_set("_text")).alias("datasets"),
     )
 

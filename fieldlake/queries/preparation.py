@@ -90,7 +90,7 @@ def robust_scaled_rows(t: Tables) -> DataFrame:
  + "SELECT row_id, round(coalesce(x2, f2.v), 6) AS x2, x3, round(coalesce(x4, f4.v), 6) AS x4 FROM s LEFT JOIN f2 USING (row_id) LEFT JOIN f4 USING (row_id)")
 def neighbour_imputed_rows(t: Tables) -> DataFrame:
     rows = model_rows(t).select("row_id", "season", "area", "x2", "x3", "x4")
-    out = P.knn_impute(rows, ["x2", "x4"], ["x3"], "row_id", ["season", "area"], chunk=512)
+    out = P.knn_impute(rows, ["x2", "x4"], ["x3"], "row_id", ["season", "area"])
     return _round(out.select("row_id", "x2", "x3", "x4"), ["x2", "x4"])
 
 

@@ -166,7 +166,7 @@ _RADAR_COLUMNS = [f"{g}__{s}" for g in ("VV", "VH", "VVVH_ratio", "RVI") for s i
   WHERE obs_date >= date - 25 AND obs_date < date + 25 GROUP BY ALL)""",
     "lin AS (SELECT *, pow(10, vv / 10) AS a, pow(10, vh / 10) AS b FROM comp)",
 ) + f"SELECT {_KEY}, " + ", ".join(
-    f"round(nullif({f}({v}), 0), 5) AS \"{g}__{s}\"" for g, v in (("VV", "vv"), ("VH", "vh"), ("VVVH_ratio", "a / b"), ("RVI", "4 * b / (a + b)"))
+    f"round(CASE WHEN abs({f}({v})) > 1e-9 THEN {f}({v}) END, 5) AS \"{g}__{s}\"" for g, v in (("VV", "vv"), ("VH", "vh"), ("VVVH_ratio", "a / b"), ("RVI", "4 * b / (a + b)"))
     for s, f in (("mean", "avg"), ("stdDev", "stddev_pop"), ("min", "min"), ("max", "max"))) + " FROM lin GROUP BY ALL")
 def radar_stage_rows(t: Tables) -> DataFrame:
     bands = {("S1", "VV"): F.lit(-5) - F.col("q") / 10, ("S1", "VH"): F.lit(-12) - F.col("disc") * 50}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldlake.naming import KEYS, col
 from fieldlake.operators.joins import asof_earliest, asof_nearest, buffer_join, window_join
 from fieldlake.operators.zonal import median_composite, zonal_stats
+from fieldlake.session import cut_lineage
 
 PLACE = ["latitude", "longitude"]
 MAX_VARIABLES = 2000
@@ -50,8 +51,13 @@ def scene_window_stats(
     picked = choose(anchors, scenes, PLACE, days, ["scene_id"]).select(*PLACE, "anchor_date", "scene_id")
     per_scene = zonal_stats(region, [*PLACE, "scene_id", "band"], stats)
     direct = picked.join(per_scene, [*PLACE, "scene_id"]).withColumnRenamed("anchor_date", "date").drop("scene_id")
-    found = wanted.join(direct, [*KEYS, "band"])
-    empty = wanted.join(found.select(*KEYS).distinct(), KEYS, "left_anti").withColumnRenamed("date", "anchor_date")
+    found = cut_lineage(wanted.join(direct, [*KEYS, "band"]))
+    # Only a key with a scene in its window but no value from it has anything to gain from the composite.
+    chosen = picked.withColumnRenamed("anchor_date", "date").select(*KEYS)
+    empty = wanted.join(chosen, KEYS, "left_semi").join(found.select(*KEYS).distinct(), KEYS, "left_anti")
+    empty = cut_lineage(empty.withColumnRenamed("date", "anchor_date"))
+    if empty.isEmpty():
+        return found
     hits = window_join(empty, region, [*PLACE, "band"], days, days, "left")
     composite = median_composite(hits, ["anchor_date", *PLACE, "band", "px_row", "px_col"])
     backup = zonal_stats(composite.withColumnRenamed("anchor_date", "date"), [*KEYS, "band"], stats)

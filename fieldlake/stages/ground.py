@@ -11,6 +11,7 @@ from fieldlake.naming import KEYS, col, stat_name
 from fieldlake.operators.grids import terrain
 from fieldlake.operators.zonal import daily_reduce, pivot_stats, suppress_zero, zonal_stats
 from fieldlake.plans.requests import reanalysis_requests, soil_requests, source_rows, terrain_requests
+from fieldlake.session import cut_lineage
 from fieldlake.stages.common import PLACE, near_pixels, region_pixels, requested_values
 
 TERRAIN_STATS = ("mean", "stdDev", "min", "max")
@@ -19,7 +20,7 @@ PLAIN_STATS = ("mean", "min", "max")
 
 def terrain_stage(plan: DataFrame, dem: DataFrame, cell_m: float, cfg: TerrainConfig = TerrainConfig()) -> DataFrame:
     """``dem`` is (px_row, px_col, lat, lon, value). Statistics are per place; dates only repeat them."""
-    requests = terrain_requests(source_rows(plan, "terrain"), cfg)
+    requests = cut_lineage(terrain_requests(source_rows(plan, "terrain"), cfg))
     near = near_pixels(requests, dem.select("px_row", "px_col", "lat", "lon", "value"), cfg.buffer_m + 3.0 * cell_m)
     layers = terrain(near, cell_m).unpivot(["px_row", "px_col"], list(cfg.bands), "variable", "value")
     spots = near.select("px_row", "px_col", "lat", "lon").join(layers, ["px_row", "px_col"])
@@ -36,7 +37,7 @@ def reanalysis_stage(plan: DataFrame, hourly: DataFrame, cfg: ReanalysisConfig =
     Bands the data does not have simply find no rows. Irrigation uses the
     unconverted means; units are converted last.
     """
-    requests = reanalysis_requests(source_rows(plan, "reanalysis"))
+    requests = cut_lineage(reanalysis_requests(source_rows(plan, "reanalysis")))
     bands = requested_values(requests, "bands")
     slim = hourly.filter(F.col("band").isin(*bands)).withColumn("date", F.to_date("ts"))
     region = region_pixels(requests, slim, cfg.buffer_m)
@@ -63,7 +64,7 @@ def reanalysis_stage(plan: DataFrame, hourly: DataFrame, cfg: ReanalysisConfig =
 
 def soil_stage(plan: DataFrame, pixels: DataFrame, cfg: SoilConfig = SoilConfig()) -> DataFrame:
     """``pixels`` is (band, px_row, px_col, lat, lon, value). Static: statistics per place, repeated per date."""
-    requests = soil_requests(source_rows(plan, "soil"), cfg)
+    requests = cut_lineage(soil_requests(source_rows(plan, "soil"), cfg))
     bands = requested_values(requests, "bands")
     region = region_pixels(requests, pixels.filter(F.col("band").isin(*bands)), cfg.buffer_m)
     stats = zonal_stats(region, [*PLACE, "band"], PLAIN_STATS)

@@ -12,7 +12,8 @@ from fieldlake.naming import KEYS, col, dataset_column
 from fieldlake.operators.keyed import drop_all_zero, interpolate_linear
 from fieldlake.operators.zonal import pivot_stats, suppress_zero, vci_by_region, year_extremes
 from fieldlake.plans.requests import match_bands, optical_requests, source_rows, wants_vci
-from fieldlake.sources.scenes import available_bands, scene_pixels, select_scenes
+from fieldlake.session import cut_lineage
+from fieldlake.sources.scenes import scene_pixels, select_scenes
 from fieldlake.stages.common import PLACE, region_pixels, scene_window_stats
 
 INPUT_BANDS = ("B2", "B4", "B5", "B8")
@@ -50,22 +51,26 @@ def optical_stage(
 ) -> DataFrame:
     """One row per key: plain mean (zeros left out, gaps interpolated) and mean/min/max of each band asked for."""
     rows = source_rows(plan, "optical").withColumn("_product", product_of(col(dataset_column(plan.columns))))
-    tables = []
+    # The optical rows of the plan are read by every product: written once.
+    rows = cut_lineage(rows.select(*KEYS, "variable", "api parameter", "_product"))
+    tables, names = [], set()
     for product in products:
         mine = rows.filter(F.col("_product") == product)
         region = _region(mine, scenes, pixels, product, cfg)
+        # The pixels inside the circles are a small part of the archive and are read several times: written once.
+        region = cut_lineage(s2_layers(region) if product == "S2" else region)
+        bands = region.select("band").distinct()
         if product == "S2":
-            region = s2_layers(region)
             asked = optical_requests(mine, cfg).select(*KEYS, F.explode(F.concat("raw", "derived")).alias("token"))
-            bands = region.select("band").distinct()
         else:
             asked = mine.select(*KEYS, F.explode(split_list(col("api parameter"))).alias("token")).distinct()
-            bands = available_bands(pixels.filter(F.col("product") == product)).select("band")
-        wanted = match_bands(asked, bands)
+        wanted = cut_lineage(match_bands(asked, bands))
+        names.update(r["token"] for r in wanted.select("token").distinct().collect())
         stats = scene_window_stats(wanted.select(*KEYS, "band").distinct(), region, product_days(product, cfg), cfg.pick)
         tables.append(wanted.join(stats, [*KEYS, "band"]).select(*KEYS, F.col("token").alias("variable"), "mean", "min", "max"))
         if product == "MOD13Q1":
             tables.append(_vci_rows(mine, region, cfg))
+            names.add("VCI")
     tall = tables[0]
     for t in tables[1:]:
         tall = tall.unionByName(t, allowMissingColumns=True)
@@ -73,7 +78,7 @@ def optical_stage(
         ready = tall.withColumn("plain", F.col("mean"))
     else:
         ready = suppress_zero(tall, "optical")
-    names = [r["variable"] for r in ready.select("variable").distinct().orderBy("variable").collect()]
+    names = sorted(names)
     wide = pivot_stats(ready, KEYS, names, ["plain", "mean", "min", "max"])
     if "VCI" in names:
         wide = wide.drop("VCI__mean", "VCI__min", "VCI__max")

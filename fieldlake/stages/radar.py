@@ -12,6 +12,7 @@ from fieldlake.operators.grids import focal_median
 from fieldlake.operators.joins import asof_nearest, window_join
 from fieldlake.operators.zonal import median_composite, pivot_stats, suppress_zero, zonal_stats
 from fieldlake.plans.requests import sar_requests, source_rows
+from fieldlake.session import cut_lineage
 from fieldlake.sources.scenes import scene_pixels, select_scenes
 from fieldlake.stages.common import PLACE, near_pixels, region_pixels
 
@@ -24,9 +25,8 @@ def despeckled(requests: DataFrame, scenes: DataFrame, pixels: DataFrame, cfg: R
     usable = scene_pixels(select_scenes(scenes, "S1", radar=cfg), pixels.filter(F.col("product") == "S1"), list(cfg.polarisations))
     slim = usable.select("scene_id", "scene_ts", "band", "px_row", "px_col", "lat", "lon", "value")
     near = near_pixels(requests, slim, cfg.buffer_m + 2.0 * cfg.pixel_m)
-    smooth = focal_median(near, ["scene_id", "band"])
-    where = near.drop("value").join(smooth, ["scene_id", "band", "px_row", "px_col"])
-    region = region_pixels(requests, where, cfg.buffer_m)
+    smooth = focal_median(near, ["scene_id", "band"], carry=["scene_ts", "lat", "lon"])
+    region = region_pixels(requests, smooth, cfg.buffer_m)
     return region.select(*PLACE, "scene_id", F.to_date("scene_ts").alias("obs_date"), "band", "px_row", "px_col", "value")
 
 
@@ -42,7 +42,7 @@ def radar_layers(composite: DataFrame) -> DataFrame:
 
 def radar_stage(plan: DataFrame, scenes: DataFrame, pixels: DataFrame, cfg: RadarConfig = RadarConfig()) -> DataFrame:
     """One row per key: mean, stdDev, min, max of every group asked for; zeros are left out, empty rows go."""
-    requests = sar_requests(source_rows(plan, "radar"), cfg)
+    requests = cut_lineage(sar_requests(source_rows(plan, "radar"), cfg))
     region = despeckled(requests, scenes, pixels, cfg)
     anchors = requests.select(*KEYS).withColumnRenamed("date", "anchor_date")
     if cfg.mode == "nearest":

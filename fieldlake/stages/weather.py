@@ -12,6 +12,7 @@ from fieldlake.operators.joins import nearest_rank, window_join
 from fieldlake.operators.zonal import STATS
 from fieldlake.plans.fields import valid_coords
 from fieldlake.plans.requests import source_rows, weather_requests
+from fieldlake.session import cut_lineage
 from fieldlake.stages.common import PLACE, requested_values
 
 STAT_NAMES = ("mean", "min", "max", "std")
@@ -36,9 +37,10 @@ def weather_stage(
     and parameter. ``daily`` holds the nearest day's values under the key's own date.
     """
     requests = weather_requests(valid_coords(source_rows(plan, "weather")))
-    wanted = requests.select(
+    # One row per key, read by several jobs below: written once.
+    wanted = cut_lineage(requests.select(
         col("date").alias("anchor_date"), *PLACE, F.array_union("params", "derived").alias("_names")
-    )
+    ))
     names = params or requested_values(wanted, "_names")
     anchors = wanted.withColumn("param", F.explode("_names")).drop("_names")
     days = with_derived(obs).withColumnRenamed("date", "obs_date")
