@@ -70,9 +70,9 @@ def db_to_linear(db: Column) -> Column:
 
 
 def vv_vh_ratio_linear(vv_db: Column, vh_db: Column) -> Column:
-    return db_to_linear(vv_db) / db_to_linear(vh_db)
+    return F.try_divide(db_to_linear(vv_db), db_to_linear(vh_db))
 
 
 def rvi(vv_db: Column, vh_db: Column) -> Column:
     vv, vh = db_to_linear(vv_db), db_to_linear(vh_db)
-    return F.lit(4.0) * vh / (vv + vh)
+    return F.try_divide(F.lit(4.0) * vh, vv + vh)

@@ -18,12 +18,12 @@ def dtr(t_max: Column, t_min: Column) -> Column:
 
 def dew_point(t: Column, rh: Column) -> Column:
     """Magnus dew point; null at RH = 0."""
-    gamma = F.lit(MAGNUS_A) * t / (F.lit(MAGNUS_B) + t) + F.ln(rh / F.lit(100.0))
-    return F.lit(MAGNUS_B) * gamma / (F.lit(MAGNUS_A) - gamma)
+    gamma = F.try_divide(F.lit(MAGNUS_A) * t, F.lit(MAGNUS_B) + t) + F.ln(rh / F.lit(100.0))
+    return F.try_divide(F.lit(MAGNUS_B) * gamma, F.lit(MAGNUS_A) - gamma)
 
 
 def vpd(t: Column, rh: Column) -> Column:
-    saturation = F.lit(0.6108) * F.exp(F.lit(17.27) * t / (t + F.lit(237.3)))
+    saturation = F.lit(0.6108) * F.exp(F.try_divide(F.lit(17.27) * t, t + F.lit(237.3)))
     return saturation * (F.lit(1.0) - rh / F.lit(100.0))
 
 

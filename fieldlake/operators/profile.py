@@ -73,6 +73,13 @@ def target_stats(df: DataFrame, target: str) -> DataFrame:
 
 # ---- correlation ----------------------------------------------------------
 
+def pair_corr(x: Column, y: Column) -> Column:
+    """Correlation over rows where both are known; null when either is constant (``corr`` would fail)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pairwise-complete correlations as rows (a, b, r), a before b in column order.
 
@@ -84,7 +91,7 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
     if len(pairs) > NATIVE_PAIRS:
         return _corr_by_pair_sums(df, columns)
-    cells = [F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)]
+    cells = [pair_corr(col(a).cast("double"), col(b).cast("double")).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)]
     one = df.agg(*cells)
     rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
     return one.select(F.explode(F.array(*rows)).alias("_s")).select("_s.*")
@@ -136,7 +143,7 @@ def target_corr(df: DataFrame, target: str, features: list[str] | None = None, t
     """|corr| of every numeric feature with the target, largest first."""
     features = features or [c for c in numeric_columns(df) if c != target]
     y = col(target).cast("double")
-    ranked = _tall(df, features, {"abs_r": lambda c: F.abs(F.corr(c.cast("double"), y))})
+    ranked = _tall(df, features, {"abs_r": lambda c: F.abs(pair_corr(c.cast("double"), y))})
     if top is None:
         return ranked
     return ranked.orderBy(F.col("abs_r").desc_nulls_last(), F.col("feature")).limit(top)

@@ -12,7 +12,7 @@ from fieldlake.naming import col, stat_name
 from fieldlake.operators.joins import window_join
 
 STATS = {
-    "mean": lambda v: (F.sum(v).cast("double") / F.count(v)),
+    "mean": lambda v: F.try_divide(F.sum(v).cast("double"), F.count(v).cast("double")),
     "min": F.min,
     "max": F.max,
     "std": F.stddev_pop,
