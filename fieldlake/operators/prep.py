@@ -279,9 +279,7 @@ def knn_impute(
     cell = ["_block", "_g", "_d"]
     id_type = dict(df.dtypes)[row_id]
     schema = f"`{row_id}` {id_type}, feature string, donor {id_type}, distance double, value double"
-    best = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(
-        lambda a, b: _top_donors(columns, context, row_id, k)(a, b), schema
-    )
+    best = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_top_donors(columns, context, row_id, k), schema)
     order = Window.partitionBy(col(row_id), "feature").orderBy("distance", "donor")
     kept = best.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
     means = kept.groupBy(col(row_id), "feature").agg(F.avg("value").alias("value"))

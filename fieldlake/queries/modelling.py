@@ -104,10 +104,8 @@ def collinear_features(t: Tables) -> DataFrame:
 
 @query("family_backfill", ctes(_COPIES) + """SELECT 'one' AS family, CASE WHEN abs(corr(a, target)) >= abs(corr(e, target)) THEN 'a' ELSE 'e' END AS feature, round(greatest(abs(corr(a, target)), abs(corr(e, target))), 6) AS abs_r FROM copies""")
 def family_backfill_rows(t: Tables) -> DataFrame:
-    rows = _copies(t)
-    out = S.family_backfill(rows, "target", {"one": ["a", "e"], "two": ["c", "d"]}, ["c", "target"])
-    best = F.greatest(F.abs(F.corr("a", "target")), F.abs(F.corr("e", "target"))).alias("abs_r")
-    return out.join(rows.agg(F.round(best, 6).alias("abs_r")).withColumn("family", F.lit("one")), "family")
+    out = S.family_backfill(_copies(t), "target", {"one": ["a", "e"], "two": ["c", "d"]}, ["c", "target"])
+    return _round(out, ["abs_r"])
 
 
 @query("selected_features")

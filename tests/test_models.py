@@ -47,7 +47,7 @@ def test_blend_respects_floor_and_sum(spark):
 
 @pytest.mark.parametrize("t, dof, p", [(2.0, 10, 0.07338803477074037), (0.0, 5, 1.0), (-3.5, 30, 0.001475), (1.96, 1_000_000, 0.0499961)])
 def test_student_p_values(t, dof, p):
-    assert S._two_sided_p(t, dof) == pytest.approx(p, rel=2e-3)
+    assert S.two_sided_p(t, dof) == pytest.approx(p, rel=2e-3)
 
 
 def test_association_of_flat_and_short_features(spark):

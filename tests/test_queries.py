@@ -25,7 +25,7 @@ def duck():
 
 def plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else value
+        return None if math.isnan(value) else value + 0.0
     return value
 
 
