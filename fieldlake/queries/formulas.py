@@ -59,7 +59,7 @@ def radar_ratios(t: Tables) -> DataFrame:
 
 
 @query("unit_conversions", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even(l_tax / 7 * 1000, 3) AS rain, round_even(l_discount / 7 * -1000, 3) AS evap, round_even(l_quantity * 7.001 - 273.15, 2) AS temp, l_tax AS soil
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even(l_tax / 7 * 1000, 3) AS rain, CASE WHEN l_discount = 0 THEN 0 ELSE round_even(l_discount / 7 * -1000, 3) END AS evap, round_even(l_quantity * 7.001 - 273.15, 2) AS temp, l_tax AS soil
 FROM lineitem""")
 def unit_conversions(t: Tables) -> DataFrame:
     return t("lineitem").select(

@@ -124,7 +124,7 @@ _INTER = "i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extende
   UNION ALL SELECT 'c', abs(corr(c, target)) FROM i UNION ALL SELECT 'd', abs(corr(d, target)) FROM i UNION ALL SELECT 'e', abs(corr(e, target)) FROM i)),
 v AS (SELECT i.*, k, CASE name WHEN 'a' THEN a WHEN 'b' THEN b WHEN 'c' THEN c WHEN 'd' THEN d ELSE e END AS v FROM i CROSS JOIN r)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(max(v) FILTER (WHERE k = 2) * max(v) FILTER (WHERE k = 3), 5) AS second_third,
-  round(max(v) FILTER (WHERE k = 4) * max(v) FILTER (WHERE k = 5), 5) AS fourth_fifth FROM v GROUP BY 1, 2, 3, 4, target""")
+  abs(round(max(v) FILTER (WHERE k = 4) * max(v) FILTER (WHERE k = 5), 5)) AS fourth_fifth FROM v GROUP BY 1, 2, 3, 4, target""")
 def interaction_features(t: Tables) -> DataFrame:
     q = F.col("l_quantity")
     rows = t("lineitem").select(
@@ -134,7 +134,7 @@ def interaction_features(t: Tables) -> DataFrame:
     names = S.interaction_columns(rows, "target", ["a", "b", "c", "d", "e"])
     out = S.interactions(rows, names)
     first, last = f"interaction_{names[0]}_{names[1]}", f"interaction_{names[2]}_{names[3]}"
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(first, 5).alias("second_third"), F.round(last, 5).alias("fourth_fifth"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(first, 5).alias("second_third"), F.abs(F.round(last, 5)).alias("fourth_fifth"))
 
 
 # ---- folds ----------------------------------------------------------------

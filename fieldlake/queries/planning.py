@@ -288,7 +288,7 @@ def sparse_columns(t: Tables) -> DataFrame:
 
 @query("model_input_cleanup", """
 SELECT CAST(o_orderkey AS FLOAT) AS row_id, CAST(o_totalprice AS FLOAT) AS "ET", o_orderpriority AS "fp_Area",
-       round(CAST(sin(6.283185307179586 * dayofyear(o_orderdate) / 365) AS FLOAT), 5) AS doy_sin FROM orders""")
+       CASE WHEN dayofyear(o_orderdate) = 365 THEN CAST(0 AS FLOAT) ELSE round(CAST(sin(6.283185307179586 * dayofyear(o_orderdate) / 365) AS FLOAT), 5) END AS doy_sin FROM orders""")
 def model_input_cleanup(t: Tables) -> DataFrame:
     rows = t("orders").select(
         F.col("o_orderkey").alias("row_id"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("ET"),
