@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fieldlake.llm.chat import MARK, format_digests, formatted, gathered, with_turns
 from fieldlake.llm.common import table
 from fieldlake.llm.line_dedup import dedup_lines
+from fieldlake.llm.mixing import mix_sources
+from fieldlake.llm.secrets import secret_digests
 from fieldlake.llm.warc import archive_pages
 
 QUERIES: dict = {}
@@ -80,3 +82,14 @@ FROM r
 """)
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("target_uri")
+
+
+@query()
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
+
+
+@query()
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -30,3 +30,24 @@ def running_sums(values: Column) -> Column:
         F.array(F.struct(values.alias("v"), before.alias("s"))),
         lambda x: F.transform(x["v"], lambda _, i: F.get(x["s"], whole(i)) + _sum(F.slice(x["v"], whole(i) * BLOCK + 1, i % BLOCK))),
     )[0]
+
+
+def match_spans(text: Column, pattern: str, value_group: int = 0) -> Column:
+    """Places of the leftmost non-overlapping matches, as an array of start, end (code points, end exclusive) and value.
+
+    A text is split at the matches; the lengths of what lies between and of the matches give the places.
+    """
+    parts = F.struct(
+        F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("bigint")).alias("gaps"),
+        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x).cast("bigint")).alias("sizes"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)).alias("values"),
+    )
+    placed = F.transform(F.array(parts), lambda p: F.struct(
+        p["gaps"].alias("gaps"), p["sizes"].alias("sizes"), p["values"].alias("values"),
+        running_sums(F.transform(p["sizes"], lambda s, i: s + F.get(p["gaps"], i))).alias("before"),
+    ))
+    found = F.transform(placed, lambda p: F.transform(p["values"], lambda v, i: F.struct(
+        (F.get(p["before"], i) + F.get(p["gaps"], i)).alias("start"),
+        (F.get(p["before"], i) + F.get(p["gaps"], i) + F.get(p["sizes"], i)).alias("end"), v.alias("value"),
+    )))
+    return found[0]
