@@ -66,9 +66,8 @@ def document_lines(docs: DataFrame, text: str = "text", id_name: str = "doc_id",
 def dedup_lines(docs: DataFrame, text: str = "text", id_name: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with shortened texts, and n_lines (before) and n_dropped per row."""
     lines = cut_lineage(document_lines(docs, text, id_name, min_chars))
-    repeated = (
-        lines.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first < last").drop("last")
-    )
+    repeated = lines.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first < last").drop("last")
+    repeated = cut_lineage(repeated)  # so that the join gets a shuffle of its own, whose hot hashes can be split
     lost = (
         lines.join(repeated, ["h1", "h2"]).filter("d > first").groupBy("d").agg(F.collect_set(F.struct("h1", "h2")).alias("_lost"))
     )
