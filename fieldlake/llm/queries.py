@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldlake.llm.chat import MARK, format_digests, formatted, gathered, with_turns
 from fieldlake.llm.common import table
+from fieldlake.llm.decontaminate import find_leaks
 from fieldlake.llm.line_dedup import dedup_lines
 from fieldlake.llm.mixing import mix_sources
 from fieldlake.llm.secrets import secret_digests
@@ -93,3 +94,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of document and benchmark item that it leaks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
