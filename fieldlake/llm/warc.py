@@ -10,6 +10,9 @@ manifest). Equality, IN and prefix predicates on the header columns are pushed
 down. A record's header is parsed first; a record that the predicates reject, or
 any block when ``payload`` is ``false``, is skipped by seeking, not decoded.
 
+With ``compression`` ``gzip`` each record is a gzip member whose extra field ``SL`` holds the member's length, so
+records are skipped without inflating them; members without it are read in sequence.
+
 Paths may be on any file system that pyarrow opens by URI.
 
 Defined cases: a null payload is an empty one; a null header value leaves the
@@ -24,7 +27,9 @@ import datetime
 import gzip
 import io
 import json
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +42,7 @@ from pyspark.sql.datasource import (
 )
 
 from fieldlake.llm.common import col
-from fieldlake.session import shared_dir
+from fieldlake.session import cut_lineage, shared_dir
 
 SCHEMA = (
     "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, "
@@ -48,6 +53,7 @@ HEADERS = {
     "record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date",
     "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "WARC-Payload-Bytes",
 }
+_COLUMN = {v.lower(): k for k, v in HEADERS.items()}
 VERSION = b"WARC/1.1"
 MIN_REVISIT_BYTES = 100
 _ARROW = pa.schema([
@@ -82,6 +88,25 @@ def record_bytes(row: dict) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def gzip_member(data: bytes, level: int = 4) -> bytes:
+    """A gzip member with its own length and that of the data in the extra field ``SL``."""
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sH", 12, b"SL", 8)
+    sizes = struct.pack("<II", len(head) + 8 + len(body) + 8, len(data) & 0xFFFFFFFF)
+    return head + sizes + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def _member(source) -> tuple[int, int] | None:
+    """(start of the deflated data, end of the member) of the member that starts here; None without ``SL``."""
+    start = source.tell()
+    head = source.read(24)
+    if len(head) == 24 and head[:4] == b"\x1f\x8b\x08\x04" and head[10:16] == struct.pack("<H2sH", 12, b"SL", 8):
+        return start + 24, start + struct.unpack("<I", head[16:20])[0]
+    source.seek(start)
+    return None
+
+
 class _Split(InputPartition):
     def __init__(self, path: str, start: int, end: int | None):
         super().__init__(path)
@@ -127,7 +152,7 @@ class _Writer(DataSourceArrowWriter):
                     out, at, splits = system.open_output_stream(f"{folder}/{name}", compression=None), 0, [0]
                 row["date"] = row.get("date") or self.date
                 data = record_bytes(row)
-                data = gzip.compress(data, 6) if self.gzip else data
+                data = gzip_member(data) if self.gzip else data
                 if at - splits[-1] >= self.split:
                     splits.append(at)
                 out.write(data)
@@ -201,10 +226,15 @@ class _Reader(DataSourceReader):
             raw.seek(partition.start)
             stop = None if partition.end is None else partition.end - partition.start
             source = io.BufferedReader(_Part(raw, stop), 1 << 18)
-            if partition.path.endswith(".gz"):
-                source = gzip.GzipFile(fileobj=source)
+            if not partition.path.endswith(".gz"):
+                found = self.records(source)
+            elif (first := _member(source)) is not None:
+                source.seek(first[0] - 24)
+                found = self.members(source)
+            else:
+                found = self.records(gzip.GzipFile(fileobj=source))
             rows, size = [], 0
-            for row in self.records(source):
+            for row in found:
                 rows.append(row)
                 size += 200 + len(row["payload"] or b"")
                 if size >= self.batch_bytes:
@@ -213,24 +243,45 @@ class _Reader(DataSourceReader):
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    def records(self, source) -> Iterator[dict]:
-        back = {v.lower(): k for k, v in HEADERS.items()}
-        while True:
+    def members(self, source) -> Iterator[dict]:
+        """Records in members with known lengths: only the beginning is inflated unless the record is wanted."""
+        while (place := _member(source)) is not None:
+            begin, end = place
+            unpack = zlib.decompressobj(-15)
+            head = unpack.decompress(source.read(min(2048, end - 8 - begin)), 8192)
+            if b"\r\n\r\n" in head:
+                row, _ = self.header(io.BytesIO(head))
+                if not self.wanted(row) or not self.payload:
+                    source.seek(end)
+                    if self.wanted(row):
+                        yield row
+                    continue
+            source.seek(begin)
+            yield from self.records(io.BytesIO(zlib.decompress(source.read(end - 8 - begin), -15)))
+            source.seek(end)
+
+    def header(self, source) -> tuple[dict, int] | None:
+        """The next record's header columns and the length of its block."""
+        line = source.readline()
+        while line in (b"\r\n", b"\n"):
             line = source.readline()
-            while line in (b"\r\n", b"\n"):
-                line = source.readline()
-            if not line:
-                return
-            if not line.startswith(b"WARC/"):
-                raise ValueError(f"no record starts here: {line[:40]!r}")
-            row, length = dict.fromkeys(_ARROW.names), 0
-            while (line := source.readline()) not in (b"\r\n", b"\n", b""):
-                key, _, value = line.decode("utf-8", "replace").partition(":")
-                key, value = key.strip().lower(), value.strip()
-                if key == "content-length":
-                    length = int(value)
-                elif key in back:
-                    row[back[key]] = int(value) if back[key] == "payload_bytes" else value
+        if not line:
+            return None
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record starts here: {line[:40]!r}")
+        row, length = dict.fromkeys(_ARROW.names), 0
+        while (line := source.readline()) not in (b"\r\n", b"\n", b""):
+            key, _, value = line.decode("utf-8", "replace").partition(":")
+            key, value = key.strip().lower(), value.strip()
+            if key == "content-length":
+                length = int(value)
+            elif key in _COLUMN:
+                row[_COLUMN[key]] = int(value) if _COLUMN[key] == "payload_bytes" else value
+        return row, length
+
+    def records(self, source) -> Iterator[dict]:
+        while (head := self.header(source)) is not None:
+            row, length = head
             if not self.wanted(row) or not self.payload:
                 source.seek(length, io.SEEK_CUR)
                 if self.wanted(row):
@@ -298,7 +349,9 @@ def page_records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -
     rows = pages.select(
         col("page_id").cast("bigint").alias("page_id"), col("url").cast("string").alias("target_uri"), payload.alias("payload")
     ).withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
-    firsts = rows.filter(F.col("payload_bytes") >= min_revisit_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
+    firsts = rows.filter(F.col("payload_bytes") >= min_revisit_bytes).groupBy("payload_digest").agg(
+        F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = cut_lineage(firsts)  # a join with shuffles of its own: hot digests can be split
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return rows.join(firsts, "payload_digest", "left").select(
@@ -317,7 +370,7 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    write_warc(page_records(pages), path)
+    write_warc(page_records(pages), path, compression="gzip")
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("bigint")
     responses = read_warc(spark, path).filter(F.col("record_type") == "response").select(
         page(F.col("record_id")).alias("page_id"), F.octet_length("payload").cast("bigint").alias("payload_bytes"),
