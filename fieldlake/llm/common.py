@@ -114,3 +114,20 @@ def grouped(texts: list[str], chars: int = PIECE_CHARS) -> Iterator[tuple[int, l
 def segments(lengths: np.ndarray) -> np.ndarray:
     """Offsets of consecutive segments, one more than there are segments."""
     return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def shingle_groups(texts: list[str], width: int = 5) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
+    """Per group of texts the place of the first, and each text's word hashes and shingle hashes (in order, repeats included).
+
+    A text with fewer than ``width`` words has one shingle, one without words none.
+    """
+    for begin, some in grouped(texts):
+        lists = [WORD.findall(t.lower()) for t in some]
+        token = hash_tokens([w for words in lists for w in words])
+        offsets = segments(np.array([len(x) for x in lists], np.int64))
+        whole = windows(token, width) if len(token) >= width else np.empty(0, np.uint64)
+        words, shingles = [], []
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            words.append(token[a:b])
+            shingles.append(whole[a : b - width + 1] if b - a >= width else windows(token[a:b], width))
+        yield begin, words, shingles

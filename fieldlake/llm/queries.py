@@ -9,6 +9,7 @@ from fieldlake.llm.chat import MARK, format_digests, formatted, gathered, with_t
 from fieldlake.llm.common import table
 from fieldlake.llm.decontaminate import find_leaks
 from fieldlake.llm.line_dedup import dedup_lines
+from fieldlake.llm.minhash import duplicate_classes
 from fieldlake.llm.mixing import mix_sources
 from fieldlake.llm.secrets import secret_digests
 from fieldlake.llm.warc import archive_pages
@@ -101,3 +102,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of document and benchmark item that it leaks."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query()
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its class, and the first document with the same words."""
+    return duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
