@@ -11,6 +11,7 @@ from fieldlake.llm.decontaminate import find_leaks
 from fieldlake.llm.line_dedup import dedup_lines
 from fieldlake.llm.minhash import duplicate_classes
 from fieldlake.llm.mixing import mix_sources
+from fieldlake.llm.multi_index import linked_vectors
 from fieldlake.llm.secrets import secret_digests
 from fieldlake.llm.warc import archive_pages
 
@@ -108,3 +109,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its class, and the first document with the same words."""
     return duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
