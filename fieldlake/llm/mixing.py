@@ -131,7 +131,9 @@ def _repair(rows: DataFrame, sources: DataFrame) -> DataFrame:
             "copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
         taken = now.groupBy("_key").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
         gaps = sources.join(taken, "_key").select("_key", (F.col("target") - F.col("taken")).alias("gap"), "target")
-        gaps = gaps.filter(F.abs("gap") > F.greatest(NEAR * F.col("target"), F.lit(0.5)))
+        gaps = cut_lineage(gaps.filter(F.abs("gap") > F.greatest(NEAR * F.col("target"), F.lit(0.5))))
+        if gaps.isEmpty():
+            break
         left = F.col("gap") - F.signum("gap") * F.col("size")
         able = F.when(F.col("gap") > 0, F.col("copies") < MAX_COPIES).otherwise(F.col("copies") > 0)
         best = now.join(gaps, "_key").filter(able & (F.abs(left) < F.abs("gap"))).groupBy("_key").agg(F.min(F.struct(
