@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlake.llm.chat import MARK, format_digests, formatted, gathered, with_turns
-from fieldlake.llm.common import table
+from fieldlake.llm.common import held_back, table
 from fieldlake.llm.decontaminate import find_leaks
+from fieldlake.llm.language import identify, train
 from fieldlake.llm.line_dedup import dedup_lines
 from fieldlake.llm.minhash import duplicate_classes
 from fieldlake.llm.mixing import mix_sources
@@ -114,3 +115,12 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    part = held_back("doc_id", 4)
+    model, calibration = train(docs.filter(part != 2), "text", "lang")
+    found = identify(docs.withColumn("held_out", part == 2), model, calibration, keep=["doc_id", "held_out"])
+    return found.withColumnsRenamed({"lang_score": "score", "lang_rejected": "rejected"}).drop("lang_entropy")
