@@ -13,6 +13,7 @@ from fieldlake.llm.line_dedup import dedup_lines
 from fieldlake.llm.minhash import duplicate_classes
 from fieldlake.llm.mixing import mix_sources
 from fieldlake.llm.multi_index import linked_vectors
+from fieldlake.llm.quality import quality_scores
 from fieldlake.llm.secrets import secret_digests
 from fieldlake.llm.warc import archive_pages
 
@@ -124,3 +125,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, calibration = train(docs.filter(part != 2), "text", "lang")
     found = identify(docs.withColumn("held_out", part == 2), model, calibration, keep=["doc_id", "held_out"])
     return found.withColumnsRenamed({"lang_score": "score", "lang_rejected": "rejected"}).drop("lang_entropy")
+
+
+@query()
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
