@@ -41,9 +41,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies that the mix takes of each document that it takes."""
+    """The copies of each document of which the mix takes words."""
     mixed = mix_sources(docs)
-    return mixed.filter("copies > 0").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return mixed.filter("taken > 0").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 STAGES = [
