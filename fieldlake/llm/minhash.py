@@ -11,8 +11,10 @@ Documents with the same words in the same order are one class, of which one goes
 on. ``BANDS`` bands of ``ROWS`` samples make buckets. A bucket's members meet
 three of its members (the smallest id, the largest, one by hash); the pairs are
 verified by weighted Jaccard similarity of the whole texts. Where a bucket still
-holds several components, one member of each meets all members of the others, so
-large groups cost a few pairs per document and no bucket is gathered or capped.
+holds several components, its members' samples are compared block by block; each
+member's most similar one in every other component, if at least ``NEAR`` of the
+samples agree, is verified, too. So large groups cost a few pairs per document,
+tasks hold two blocks of ``BLOCK_ROWS``, and no bucket is gathered or capped.
 
 Defined cases: null, empty and wordless texts link with nothing; rows that share
 an id are one document that has all their links; a null id is a document of its
@@ -22,6 +24,7 @@ only those named like an added one are replaced.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +43,10 @@ BANDS, ROWS = 16, 4
 IDF_SHARE = 0.25
 COUNTERS_LOG2 = 20
 BLOCK = 1 << 12
+BLOCK_ROWS = 1024
+NEAR = 0.56  # five standard deviations below the similarity sought
 TABLE_LOG2 = 16
+ID_BITS_LOG2 = 27  # 16 MB
 SEED = 20240
 
 
@@ -50,6 +56,17 @@ def _counters(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    kind = np.min_scalar_type(int(counts.max()))
+    return zlib.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _unpacked(data: bytes, block: int) -> np.ndarray:
+    raw = zlib.decompress(data)
+    kind = f"<u{len(raw) // BLOCK}" if block >= 0 else "<i8"
+    return np.frombuffer(raw, kind).astype(np.int64)
+
+
 def frequency_weights(docs: DataFrame, text: str = "text"):
     """Broadcast weights (float32, one per counter) from the document frequencies of all shingles."""
 
@@ -65,7 +82,7 @@ def frequency_weights(docs: DataFrame, text: str = "text"):
         blocks = total.reshape(-1, BLOCK)
         used = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([-1, *used], pa.int32()), pa.array([np.int64(rows).tobytes(), *(blocks[i].tobytes() for i in used)], pa.binary())],
+            [pa.array([-1, *used], pa.int32()), pa.array([zlib.compress(np.int64(rows).tobytes()), *(_packed(blocks[i]) for i in used)], pa.binary())],
             names=["block", "counts"],
         )
 
@@ -73,10 +90,10 @@ def frequency_weights(docs: DataFrame, text: str = "text"):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(counts, np.int64)
+                part = _unpacked(counts, block)
                 sums[block] = sums[block] + part if block in sums else part
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"]
+            [pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["block", "counts"]
         )
 
     spark = docs.sparkSession
@@ -85,9 +102,9 @@ def frequency_weights(docs: DataFrame, text: str = "text"):
     total, n = np.zeros(1 << COUNTERS_LOG2), 0
     for row in found.collect():  # at most one row per block: the size of the table of counters
         if row.block < 0:
-            n += int(np.frombuffer(row.counts, np.int64)[0])
+            n += int(_unpacked(row.counts, row.block)[0])
         else:
-            total[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, np.int64)
+            total[row.block * BLOCK : (row.block + 1) * BLOCK] = _unpacked(row.counts, row.block)
     return spark.sparkContext.broadcast(idf_weights(total, n))
 
 
@@ -160,7 +177,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, weights, text: str, id_name: str) -> DataFrame:
-    """(id, k1, k2, bands) of the documents with words; k1, k2 are a hash of the words in order."""
+    """(id, k1, k2, bands, samples) of the documents with words; k1, k2 are a hash of the words in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler()
@@ -172,24 +189,27 @@ def _sketches(docs: DataFrame, weights, text: str, id_name: str) -> DataFrame:
                     continue
                 sets = [weighted_set(shingles[i], weights.value) for i in some]
                 sizes = np.array([len(h) for h, _ in sets])
-                keys = band_keys(sampler.signatures(np.concatenate([h for h, _ in sets]), np.concatenate([w for _, w in sets]), sizes))
+                samples = sampler.signatures(np.concatenate([h for h, _ in sets]), np.concatenate([w for _, w in sets]), sizes)
+                keys, short = band_keys(samples), np.ascontiguousarray(samples.astype("<u4"))
                 same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(words[i].tobytes()) for i in some), "<i8").reshape(-1, 2)
                 bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel().view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[[begin + i for i in some]], pa.int64()), pa.array(same[:, 0].copy()), pa.array(same[:, 1].copy()), bands],
-                    names=["id", "k1", "k2", "bands"],
+                    [pa.array(ids[[begin + i for i in some]], pa.int64()), pa.array(same[:, 0].copy()), pa.array(same[:, 1].copy()), bands,
+                     pa.array([x.tobytes() for x in short], pa.binary())],
+                    names=["id", "k1", "k2", "bands", "samples"],
                 )
 
     source = docs.select(id_of(id_name).alias("id"), col(text).cast("string").alias("t"))
-    return source.mapInArrow(run, "id bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return source.mapInArrow(run, "id bigint, k1 bigint, k2 bigint, bands array<bigint>, samples binary")
 
 
 # ---- pairs ----------------------------------------------------------------
 
 def _verified(pairs: DataFrame, docs: DataFrame, weights, text: str, id_name: str, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar, with their similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = cut_lineage(docs.select(id_of(id_name).alias("id"), col(text).cast("string").alias("t")).join(ids, "id").distinct())
+    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    some = _among(docs.select(id_of(id_name).alias("id"), col(text).cast("string").alias("t")), ids)
+    texts = cut_lineage(some.join(ids, "id").distinct())
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
@@ -208,6 +228,50 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights, text: str, id_name: st
     return cut_lineage(both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, similarity double"))
 
 
+def _bits(ids: np.ndarray) -> np.ndarray:
+    return (mixed(ids.view(np.uint64)) >> np.uint64(64 - ID_BITS_LOG2)).astype(np.int64)
+
+
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be among ``ids``, by a bitmap of fixed size, so that texts of no use are not shuffled."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unique(_bits(column_of(batch, "id").to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array((np.uint64(1) << (bits & 63).astype(np.uint64)).view(np.int64))], names=["w", "b"])
+
+    found = ids.mapInArrow(slots, "w bigint, b bigint").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bitmap = np.zeros(1 << (ID_BITS_LOG2 - 6), np.uint64)
+    bitmap[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = _bits(column_of(batch, "id").to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array((shared.value[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) == 1))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
+def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs of which at least ``NEAR`` of the samples agree."""
+    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    samples = cut_lineage(reps.join(ids, "rep").groupBy("rep").agg(F.collect_set("samples").alias("s")))
+    both = pairs.join(samples.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a").join(
+        samples.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda v: np.frombuffer(b"".join(v), "<u4").reshape(-1, BANDS * ROWS)
+        for batch in batches:
+            good = [
+                (read(x)[:, None, :] == read(y)[None, :, :]).mean(2).max() >= NEAR
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return cut_lineage(both.mapInArrow(keep, "a bigint, b bigint"))
+
+
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -218,7 +282,7 @@ def duplicate_classes(
     """(doc_id, class_id, copy_of): for each id the smallest id of its component, and the smallest with the same words."""
     weights = frequency_weights(docs, text)
     sketches = cut_lineage(_sketches(docs, weights, text, id_name))
-    reps = cut_lineage(sketches.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
+    reps = cut_lineage(sketches.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("samples").alias("samples")))
     member = cut_lineage(sketches.select("id", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep").distinct())
     several = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
     rows = cut_lineage(reps.select("rep", F.posexplode("bands").alias("band", "key")).distinct())
@@ -229,10 +293,10 @@ def duplicate_classes(
     shared = cut_lineage(rows.join(centres, ["band", "key"]))  # members of buckets with more than one
     pairs = shared.select("rep", F.explode("centres").alias("c")).filter("rep <> c").select(*_ordered("rep", "c")).distinct()
     pairs = cut_lineage(pairs)
-    links = _verified(pairs, docs, weights, text, id_name, least)
+    links = _verified(_alike(pairs, reps), docs, weights, text, id_name, least)
     links = cut_lineage(links.select("a", "b").unionByName(several))
     groups = components(links)
-    more = _remaining(shared, groups, pairs)
+    more = _remaining(shared, reps, groups, pairs)
     if not more.isEmpty():
         links = links.unionByName(_verified(more, docs, weights, text, id_name, least).select("a", "b"))
         groups = components(links)
@@ -246,15 +310,42 @@ def duplicate_classes(
     )
 
 
-def _remaining(shared: DataFrame, groups: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs not tested yet in buckets that hold several components: one member of each against the members of the others."""
+def _best(key, ours: pa.Table, theirs: pa.Table) -> pa.Table:
+    """For each of our members and each other component of theirs the member whose samples agree most, if enough do."""
+    x, y = (np.frombuffer(b"".join(t.column("samples").to_pylist()), "<u4").reshape(-1, BANDS * ROWS) for t in (ours, theirs))
+    agree = np.zeros((len(x), len(y)), np.uint8)
+    for k in range(BANDS * ROWS if len(x) and len(y) else 0):
+        agree += x[:, k, None] == y[None, :, k]
+    comp, other = ours.column("comp").to_numpy(), theirs.column("comp").to_numpy()
+    i, j = np.nonzero((agree >= NEAR * BANDS * ROWS) & (comp[:, None] != other[None, :]))
+    order = np.lexsort((theirs.column("rep").to_numpy()[j], -agree[i, j].astype(np.int16), other[j], i))
+    i, j = i[order], j[order]
+    first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (other[j][1:] != other[j][:-1])])) if len(i) else np.empty(0, int)
+    i, j = i[first], j[first]
+    return pa.table({
+        "rep": ours.column("rep").take(pa.array(i)), "of": pa.array(other[j], pa.int64()), "near": theirs.column("rep").take(pa.array(j)),
+        "agree": pa.array(agree[i, j].astype(np.int32)),
+    })
+
+
+def _remaining(shared: DataFrame, reps: DataFrame, groups: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs not tested yet in buckets that hold several components: each member and its best match in every other component."""
     placed = shared.select("band", "key", "rep").join(groups, F.col("rep") == F.col("node"), "left").select(
         "band", "key", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = cut_lineage(placed)
-    mixed_up = placed.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("band", "key")
-    placed = cut_lineage(placed.join(mixed_up, ["band", "key"]))
-    leaders = placed.groupBy("band", "key", F.col("comp").alias("of")).agg(F.min("rep").alias("leader"))
-    pairs = placed.join(cut_lineage(leaders), ["band", "key"]).filter("comp <> of").select(*_ordered("rep", "leader")).distinct()
+    mixed_up = placed.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x < y")
+    mixed_up = cut_lineage(mixed_up.select("band", "key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
+    samples = reps.groupBy("rep").agg(F.first("samples").alias("samples"))
+    placed = cut_lineage(placed.join(mixed_up, ["band", "key"]).join(samples, "rep"))
+    own, all_ = F.pmod(F.xxhash64("rep"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    ours = placed.select("band", "key", own.alias("a"), all_.alias("b"), "rep", "comp", "samples")
+    theirs = placed.select(
+        F.col("band").alias("t"), F.col("key").alias("k"), all_.alias("a_"), own.alias("b_"), F.col("rep").alias("rep"), F.col("comp").alias("comp"),
+        F.col("samples").alias("samples"))
+    best = ours.groupBy("band", "key", "a", "b").cogroup(theirs.groupBy("t", "k", "a_", "b_")).applyInArrow(
+        _best, "rep bigint, of bigint, near bigint, agree int")
+    best = best.groupBy("rep", "of").agg(F.max(F.struct("agree", "near")).alias("m")).select("rep", F.col("m.near").alias("near"))
+    pairs = best.select(*_ordered("rep", "near")).distinct()
     return cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
 
 
