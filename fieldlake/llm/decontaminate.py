@@ -4,8 +4,8 @@ Every text is canonicalised word by word: numbers become ``<num>``, units that
 follow a number ``<unit>``, capitalised words inside a sentence ``<name>``; what
 stood there is the slot's value. Hashes of windows of ``WIDTH`` canonical words
 are joined between documents and benchmark items. Windows with fewer than
-``MIN_PLAIN`` plain words are too general and are not used (a short item is one
-window of all its words).
+``MIN_PLAIN`` plain words are too general and are not used. A shorter item is one
+window of all its words; documents then have windows of that length, too.
 
 Names are the one slot that spelling decides, so each window also has a hash in
 which names stay plain lower-cased words; a text in capitals still meets its item.
@@ -17,8 +17,8 @@ leak when, at one alignment, windows cover at least ``MIN_COVER`` of the item's
 and the slots are consistent: each value of the item always became the same
 value. Equal values make it a ``copy``, changed ones ``reparameterised``.
 
-Defined cases: a null or empty text has no windows; an item without words is
-never found; repeated rows and rows that share an id are one document, covered
+Defined cases: a null or empty text has no windows; an item of fewer than
+``MIN_PLAIN`` words is never found; repeated rows and rows that share an id are one document, covered
 by the windows of all of them; a null id is a document of its own; an empty
 benchmark or table gives an empty result; extra columns take no part.
 """
@@ -51,7 +51,7 @@ UNITS = set(
     "month months year years percent dollar dollars euro euros cent cents pound pounds usd eur degree degrees c f k".split()
 )
 NUM, UNIT, NAME = (np.uint64(x) for x in hash_tokens(["<num>", "<unit>", "<name>"]))
-WINDOW_TYPE = "pos int, h bigint, slots array<string>"
+WINDOW_TYPE = "pos int, h bigint, slots array<string>, width int"
 
 
 class Canonical:
@@ -91,18 +91,19 @@ class Canonical:
         return self._low[self._at[i]]
 
 
-def _starts(offsets: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(owners, starts, window width): the windows of all texts; those with fewer words than ``width`` have one."""
+def _starts(offsets: np.ndarray, widths: list[int] | None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(owners, starts, window width): all windows of the given widths. Without them those of an item: all of ``WIDTH`` words, or the whole."""
     sizes = np.diff(offsets)
-    for n in np.unique(np.minimum(sizes[sizes > 0], width)):
-        owners = np.flatnonzero(sizes >= n if n == width else sizes == n)
+    whole = widths is None
+    for n in np.unique(np.minimum(sizes[sizes >= MIN_PLAIN], WIDTH)) if whole else widths:
+        owners = np.flatnonzero(sizes >= n if n == WIDTH or not whole else sizes == n)
         counts = sizes[owners] - n + 1
         owner = np.repeat(owners, counts)
         yield owner, np.repeat(offsets[owners] - segments(counts)[:-1], counts) + np.arange(counts.sum()), int(n)
 
 
-def _batch_windows(texts: list[str], wanted: np.ndarray | None, width: int) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(place of the text, position, hash, slot values) of usable windows; with ``wanted``, of those whose bit is set."""
+def _batch_windows(texts: list[str], wanted: np.ndarray | None, widths: list[int] | None) -> Iterator[tuple[int, int, int, list[str], int]]:
+    """(place of the text, position, hash, slot values, width) of usable windows; with ``wanted``, of those whose bit is set."""
     for begin, some in grouped(texts):
         words = Canonical(some)
         names = segments(words.name)
@@ -110,9 +111,11 @@ def _batch_windows(texts: list[str], wanted: np.ndarray | None, width: int) -> I
             if token is words.plain and not names[-1]:
                 continue
             slots = segments(slot)
-            for owner, at, n in _starts(words.offsets, width):
+            for owner, at, n in _starts(words.offsets, widths):
+                if not len(at):
+                    continue
                 h = windows(token, n)[at]
-                use = n - (slots[at + n] - slots[at]) >= min(MIN_PLAIN, n)
+                use = n - (slots[at + n] - slots[at]) >= MIN_PLAIN
                 if token is words.plain:  # windows without names are the same as before
                     use &= names[at + n] > names[at]
                 if wanted is not None:
@@ -120,23 +123,23 @@ def _batch_windows(texts: list[str], wanted: np.ndarray | None, width: int) -> I
                 for k in np.flatnonzero(use):
                     i = at[k]
                     values = [words.value(j) for j in range(i, i + n) if slot[j]] if slots[i + n] > slots[i] else []
-                    yield begin + int(owner[k]), int(i - words.offsets[owner[k]]), int(h[k]), values
+                    yield begin + int(owner[k]), int(i - words.offsets[owner[k]]), int(h[k]), values, n
 
 
-def template_windows(rows: DataFrame, text: str, key: str, wanted=None, width: int = WIDTH) -> DataFrame:
-    """(key, pos, h, slots) of the usable windows of the rows' texts; ``wanted`` is a broadcast bitmap."""
+def template_windows(rows: DataFrame, text: str, key: str, wanted=None, widths: list[int] | None = None) -> DataFrame:
+    """(k, pos, h, slots, width) of the usable windows of the rows' texts; ``wanted`` is a broadcast bitmap, ``widths`` as in _starts."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if wanted is None else wanted.value
         for batch in batches:
             ids = column_of(batch, "k").to_numpy(zero_copy_only=False)
-            found = list(_batch_windows(texts_of(batch, "t"), bits, width))
+            found = list(_batch_windows(texts_of(batch, "t"), bits, widths))
             place = np.array([f[0] for f in found], np.int64)
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids[place] if len(place) else np.empty(0, np.int64), pa.int64()), pa.array([f[1] for f in found], pa.int32()),
                 pa.array(np.array([f[2] for f in found], np.uint64).view(np.int64), pa.int64()),
-                pa.array([f[3] for f in found], pa.list_(pa.string())),
-            ], names=["k", "pos", "h", "slots"])
+                pa.array([f[3] for f in found], pa.list_(pa.string())), pa.array([f[4] for f in found], pa.int32()),
+            ], names=["k", "pos", "h", "slots", "width"])
 
     source = rows.select(id_of(key).alias("k"), col(text).cast("string").alias("t"))
     return source.mapInArrow(explode, "k bigint, " + WINDOW_TYPE)
@@ -156,12 +159,13 @@ def _bitmap(items: DataFrame):
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", id_name: str = "doc_id", item_text: str = "text",
-    item_id: str = "item_id", min_cover: float = MIN_COVER, width: int = WIDTH,
+    item_id: str = "item_id", min_cover: float = MIN_COVER,
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, cover, kind): the items that each document leaks."""
-    items = cut_lineage(template_windows(benchmark, item_text, item_id, width=width).withColumnsRenamed({"k": "item", "pos": "item_pos", "slots": "item_slots"}))
+    items = cut_lineage(template_windows(benchmark, item_text, item_id).withColumnsRenamed({"k": "item", "pos": "item_pos", "slots": "item_slots"}))
     sizes = items.groupBy("item").agg(F.countDistinct("item_pos").alias("n_item"))
-    hits = template_windows(docs, text, id_name, wanted=_bitmap(items), width=width)
+    widths = sorted(r.width for r in items.select("width").distinct().collect())  # WIDTH and the lengths of shorter items
+    hits = template_windows(docs, text, id_name, _bitmap(items), widths).drop("width")
     met = cut_lineage(hits.join(items, "h").select("k", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "slots", "item_slots"))
     pair = ["k", "item", "shift"]
     values = met.filter(F.size("slots") > 0).filter(F.size("slots") == F.size("item_slots"))

@@ -205,13 +205,13 @@ class _Reader(DataSourceReader):
         found = system.get_file_info(fs.FileSelector(folder))
         manifests = [x.path for x in found if x.base_name.startswith("manifest-")]
         if not manifests:
-            return [_Split(x.path, 0, None) for x in found if x.base_name.endswith((".warc", ".warc.gz"))]
+            return [_Split(x.path, 0, None) for x in found if x.base_name.endswith((".warc", ".warc.gz"))] or [_Split("", 0, 0)]
         splits = []
         for path in manifests:
             with system.open_input_stream(path) as f:
                 for name, starts, size in json.loads(f.read()):
                     splits += [_Split(f"{folder}/{name}", a, b) for a, b in zip(starts, [*starts[1:], size])]
-        return splits
+        return splits or [_Split("", 0, 0)]  # nothing to read
 
     def wanted(self, row: dict) -> bool:
         for name, kind, value in self.tests:
@@ -221,6 +221,8 @@ class _Reader(DataSourceReader):
         return True
 
     def read(self, partition: _Split) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
         system, _ = _open(self.path)
         with system.open_input_file(partition.path) as raw:
             raw.seek(partition.start)
