@@ -188,18 +188,22 @@ def build_master(stages: list[tuple[DataFrame, str]], keys: list[str] = KEYS, un
 
     Equal to a chain of full outer joins, but as one union and one grouped
     aggregate: every stage row moves once, where the chain would move the
-    growing wide row again for each stage. A stage has one row per key, so each
-    cell has at most one value and ``max`` returns it unchanged.
+    growing wide row again for each stage. Where several rows of a stage meet in
+    one key, as after rounding, the one with the most filled cells is taken
+    whole (ties: by its values).
     """
     taken: list[str] = []
-    renamed = []
-    for frame, suffix in stages:
+    parts: list[tuple[list[str], DataFrame]] = []
+    for i, (frame, suffix) in enumerate(stages):
         part = suffixed(standardise(frame, keys, unique=unique), taken, suffix, keys)
-        taken += [c for c in part.columns if c not in keys]
-        renamed.append(part)
-    tall = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), renamed)
-    out = tall.groupBy(*map(col, keys)).agg(*(F.max(col(c)).alias(c) for c in taken))
-    return restore_terrain_names(out)
+        own = [c for c in part.columns if c not in keys]
+        taken += own
+        filled = sum((col(c).isNotNull().cast("int") for c in own), F.lit(0))
+        parts.append((own, part.select(*map(col, keys), F.struct(filled.alias("n"), F.struct(*map(col, own or keys[:1])).alias("r")).alias(f"_s{i}"))))
+    tall = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p for _, p in parts])
+    best = tall.groupBy(*map(col, keys)).agg(*(F.max(f"_s{i}").alias(f"_s{i}") for i in range(len(parts))))
+    cells = [F.col(f"_s{i}")["r"][c].alias(c) for i, (own, _) in enumerate(parts) for c in own]
+    return restore_terrain_names(best.select(*map(col, keys), *cells))
 
 
 def restore_terrain_names(df: DataFrame, suffix: str = "_srtm") -> DataFrame:

@@ -32,12 +32,12 @@ def _params(state: DataFrame, *names: str) -> dict[str, tuple]:
     return {r["feature"]: tuple(r[n] for n in names) for r in state.select("feature", *names).collect()}
 
 
-def prepare_model_input(df: DataFrame, cfg: ModelConfig = ModelConfig()) -> DataFrame:
-    """Date to its yearly sine, single-precision numbers, columns without use dropped."""
+def prepare_model_input(df: DataFrame, cfg: ModelConfig = ModelConfig(), ids: tuple[str, ...] = ("row_id",)) -> DataFrame:
+    """Date to its yearly sine, single-precision numbers, columns without use dropped. Ids keep their type and value."""
     gone = {"date", *cfg.extra_drops}
     if "ET__mean" in df.columns and "ET" in df.columns:
         gone.add("ET__mean")
-    numbers = set(numeric_columns(df))
+    numbers = set(numeric_columns(df)) - set(ids)
     kept = [c for c in df.columns if c not in gone]
     columns = [col(c).cast("float").alias(c) if c in numbers else col(c) for c in kept]
     if "date" in df.columns:

@@ -14,7 +14,6 @@ from fieldlake.naming import col
 from fieldlake.operators.order import GATHER_LIMIT, grouped_quantiles, unpivot, value_ranks
 from fieldlake.operators.zonal import STATS
 
-NATIVE_PAIRS = 120
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -73,9 +72,14 @@ def target_stats(df: DataFrame, target: str) -> DataFrame:
 
 # ---- correlation ----------------------------------------------------------
 
+def finite(x: Column) -> Column:
+    """Known, and neither NaN nor infinite."""
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+
+
 def pair_corr(x: Column, y: Column) -> Column:
-    """Correlation over rows where both are known; null when either is constant (``corr`` would fail)."""
-    both = x.isNotNull() & y.isNotNull()
+    """Correlation over rows where both are known numbers; null when either is constant (``corr`` would fail)."""
+    both = finite(x) & finite(y)
     a, b = F.when(both, x), F.when(both, y)
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
@@ -83,18 +87,13 @@ def pair_corr(x: Column, y: Column) -> Column:
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pairwise-complete correlations as rows (a, b, r), a before b in column order.
 
-    Few columns: one aggregate of ``corr``. Many: each task reduces its rows to
-    the pair sums with matrix products, and the sums are added up.
+    Each task reduces its rows to the pair sums with matrix products, and the
+    sums are added up. NaN and infinite values count as unknown; a pair never
+    known together, or constant where it is, has a null r.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    if not pairs:
+    if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    if len(pairs) > NATIVE_PAIRS:
-        return _corr_by_pair_sums(df, columns)
-    cells = [pair_corr(col(a).cast("double"), col(b).cast("double")).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)]
-    one = df.agg(*cells)
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    return one.select(F.explode(F.array(*rows)).alias("_s")).select("_s.*")
+    return _corr_by_pair_sums(df, columns)
 
 
 def _pair_sums(columns: list[str], centres: np.ndarray):
@@ -123,15 +122,15 @@ def _pair_sums(columns: list[str], centres: np.ndarray):
 
 def _corr_by_pair_sums(df: DataFrame, columns: list[str]) -> DataFrame:
     wide = df.select(*(col(c).cast("double").alias(c) for c in columns))
-    means = wide.agg(*(F.avg(col(c)) for c in columns)).first()
+    means = wide.agg(*(F.avg(F.when(finite(col(c)), col(c))) for c in columns)).first()
     centres = np.array([0.0 if m is None else m for m in means])
     schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
     sums = wide.mapInPandas(_pair_sums(columns, centres), schema).groupBy("i", "j").agg(
         *(F.sum(s).alias(s) for s in ("n", "sx", "sy", "sxx", "syy", "sxy"))
     )
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
+    vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
+    vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
     names = F.array(*map(F.lit, columns))
     return sums.select(
         F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"),

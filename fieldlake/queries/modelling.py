@@ -68,14 +68,12 @@ def feature_relevance(t: Tables) -> DataFrame:
     return _round(S.relevance(scores).select("feature", "relevance"), ["relevance"])
 
 
-@query("significant_features", _M + """
-SELECT feature FROM (VALUES ('x1', 0.01), ('x2', 0.5), ('x3', 0.19), ('x4', 0.2)) v(feature, p) WHERE p < 0.20 AND (SELECT count(*) FROM model) > 0""")
+# 1.2817 is the two-sided 20 % point of Student's t at these row counts; no feature's statistic lies near it
+@query("significant_features", ctes(MODEL_SQL, _LONG, _RANKED) + """, c AS (SELECT feature, count(*) AS n, corr(x, y) AS p, corr(rx, ry) AS s FROM ranked GROUP BY feature)
+SELECT feature, round(p, 6) AS pearson, round(s, 6) AS spearman FROM c WHERE abs(p) * sqrt((n - 2) / (1 - p * p)) > 1.2817::DOUBLE OR abs(s) * sqrt((n - 2) / (1 - s * s)) > 1.2817::DOUBLE""")
 def significant_features(t: Tables) -> DataFrame:
-    """The filter on p-values set by hand; the rows only carry the feature names."""
-    given = {"x1": 0.01, "x2": 0.5, "x3": 0.19, "x4": 0.2}
-    p = F.create_map(*(F.lit(v) for pair in given.items() for v in pair))
-    names = model_rows(t).select(F.explode(F.array(*map(F.lit, given))).alias("feature")).distinct()
-    return S.significance_filter(names.withColumns({"pearson_p": p[F.col("feature")], "spearman_p": F.lit(0.9)})).select("feature")
+    kept = S.significance_filter(S.association(model_rows(t), _X, "target"))
+    return _round(kept.select("feature", "pearson", "spearman"), ["pearson", "spearman"])
 
 
 _COPIES = """copies AS (SELECT l_quantity AS target, l_extendedprice AS a, l_extendedprice * 2 + l_linenumber * 1500 AS b, l_discount AS c, -l_discount + l_linenumber / 100000.0::DOUBLE AS d, l_tax AS e FROM lineitem)"""
@@ -123,8 +121,8 @@ _INTER = "i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extende
 @query("interaction_features", ctes(_INTER) + """, r AS (SELECT name, row_number() OVER (ORDER BY r DESC, name) AS k FROM (SELECT 'a' AS name, abs(corr(a, target)) AS r FROM i UNION ALL SELECT 'b', abs(corr(b, target)) FROM i
   UNION ALL SELECT 'c', abs(corr(c, target)) FROM i UNION ALL SELECT 'd', abs(corr(d, target)) FROM i UNION ALL SELECT 'e', abs(corr(e, target)) FROM i)),
 v AS (SELECT i.*, k, CASE name WHEN 'a' THEN a WHEN 'b' THEN b WHEN 'c' THEN c WHEN 'd' THEN d ELSE e END AS v FROM i CROSS JOIN r)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(max(v) FILTER (WHERE k = 2) * max(v) FILTER (WHERE k = 3), 5) AS second_third,
-  abs(round(max(v) FILTER (WHERE k = 4) * max(v) FILTER (WHERE k = 5), 5)) AS fourth_fifth FROM v GROUP BY 1, 2, 3, 4, target""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(max(v) FILTER (WHERE k = 1) * max(v) FILTER (WHERE k = 2), 5) + 0.0::DOUBLE AS first_second,
+  round(max(v) FILTER (WHERE k = 3) * max(v) FILTER (WHERE k = 4), 5) + 0.0::DOUBLE AS third_fourth FROM v GROUP BY 1, 2, 3, 4, target""")
 def interaction_features(t: Tables) -> DataFrame:
     q = F.col("l_quantity")
     rows = t("lineitem").select(
@@ -134,7 +132,7 @@ def interaction_features(t: Tables) -> DataFrame:
     names = S.interaction_columns(rows, "target", ["a", "b", "c", "d", "e"])
     out = S.interactions(rows, names)
     first, last = f"interaction_{names[0]}_{names[1]}", f"interaction_{names[2]}_{names[3]}"
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(first, 5).alias("second_third"), F.abs(F.round(last, 5)).alias("fourth_fifth"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.round(first, 5) + F.lit(0.0)).alias("first_second"), (F.round(last, 5) + F.lit(0.0)).alias("third_fourth"))
 
 
 # ---- folds ----------------------------------------------------------------

@@ -233,7 +233,7 @@ def default_ground_plans(t: Tables) -> DataFrame:
 SELECT o_totalprice AS "fp_yield (kg / ha)", o_orderpriority AS "fp_Area", o_orderkey AS row_id FROM orders""")
 def reorder_columns(t: Tables) -> DataFrame:
     rows = t("orders").select(
-        F.col("o_orderkey").alias("row_id"), F.col("o_orderdate").alias("fp_Date of Harvest"),
+        (F.col("o_orderkey") + 9007199254740993).alias("row_id"), F.col("o_orderdate").alias("fp_Date of Harvest"),
         F.col("o_orderpriority").alias("fp_Area"), F.col("o_totalprice").alias("fp_yield (kg / ha)"),
     )
     return reorder_priority(rows, ["fp_yield (kg / ha)", "fp_Area"], ["fp_Date of Harvest"])
@@ -287,11 +287,11 @@ def sparse_columns(t: Tables) -> DataFrame:
 
 
 @query("model_input_cleanup", """
-SELECT CAST(o_orderkey AS FLOAT) AS row_id, CAST(o_totalprice AS FLOAT) AS "ET", o_orderpriority AS "fp_Area",
+SELECT o_orderkey + 9007199254740993 AS row_id, CAST(o_totalprice AS FLOAT) AS "ET", o_orderpriority AS "fp_Area",
        CASE WHEN dayofyear(o_orderdate) = 365 THEN CAST(0 AS FLOAT) ELSE round(CAST(sin(6.283185307179586 * dayofyear(o_orderdate) / 365) AS FLOAT), 5) END AS doy_sin FROM orders""")
 def model_input_cleanup(t: Tables) -> DataFrame:
     rows = t("orders").select(
-        F.col("o_orderkey").alias("row_id"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("ET"),
+        (F.col("o_orderkey") + 9007199254740993).alias("row_id"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("ET"),
         F.col("o_totalprice").alias("ET__mean"), F.lit(1.0).alias("latitude"), F.lit(1.0).alias("longitude"), F.lit(0.0).alias("slope__min"),
         F.col("o_orderpriority").alias("fp_Area"),
     )

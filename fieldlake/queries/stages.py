@@ -292,7 +292,7 @@ def csv_round_trip(t: Tables) -> DataFrame:
     """Texts with quotes and line breaks through CSV."""
     path = _scratch(t)
     write_table(t("documents").select("doc_id", F.col("text").alias("text")), path, "csv")
-    return read_table(t.spark, path, "csv")
+    return read_table(t.spark, path, "csv", multi_line=True)
 
 
 @query("reused_stage", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")

@@ -21,7 +21,7 @@ def daily_observations(
     days = params.select(*map(col, keys), "param", F.explode("_days").alias("_day", "_v"))
     return days.select(
         *map(col, keys),
-        F.to_date("_day", "yyyyMMdd").alias("date"),
+        F.try_to_timestamp("_day", F.lit("yyyyMMdd")).cast("date").alias("date"),
         "param",
         F.when(F.col("_v") != F.lit(float(missing)), F.col("_v")).alias("value"),
     )

@@ -28,6 +28,20 @@ def with_derived(obs: DataFrame) -> DataFrame:
     return obs.select(*PLACE, "date", "param", "value").unionByName(tall.filter(F.col("value").isNotNull()))
 
 
+def _of_interest(obs: DataFrame, wanted: DataFrame, names: list[str], window_days: int) -> DataFrame:
+    """Observations of the wanted parameters (and the inputs of derived ones), days and places.
+
+    Parameters and the range of days are literals, so they reach the scan.
+    """
+    inputs = {p for n in names if n in DERIVED for p in DERIVED[n][0]}
+    first, last = wanted.agg(F.min("anchor_date"), F.max("anchor_date")).first()
+    near = obs.filter(F.col("param").isin(sorted({*names, *inputs})))
+    if first is not None:
+        days = F.make_interval(days=F.lit(window_days))
+        near = near.filter(F.col("date").between((F.lit(first) - days).cast("date"), (F.lit(last) + days).cast("date")))
+    return near.join(wanted.select(*PLACE).distinct(), PLACE, "left_semi")
+
+
 def weather_stage(
     plan: DataFrame, obs: DataFrame, cfg: WeatherConfig = WeatherConfig(), params: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -42,6 +56,7 @@ def weather_stage(
         col("date").alias("anchor_date"), *PLACE, F.array_union("params", "derived").alias("_names")
     ))
     names = params or requested_values(wanted, "_names")
+    obs = _of_interest(obs, wanted, names, cfg.window_days)
     anchors = wanted.withColumn("param", F.explode("_names")).drop("_names")
     days = with_derived(obs).withColumnRenamed("date", "obs_date")
     hits = window_join(anchors, days, [*PLACE, "param"], cfg.window_days, cfg.window_days)
