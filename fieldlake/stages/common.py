@@ -2,38 +2,66 @@
 
 from __future__ import annotations
 
+import datetime
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlake.naming import KEYS, col
-from fieldlake.operators.joins import asof_earliest, asof_nearest, buffer_join, window_join
+from fieldlake.operators.joins import METRES_PER_DEGREE, asof_earliest, asof_nearest, buffer_join, window_join
 from fieldlake.operators.zonal import median_composite, zonal_stats
 from fieldlake.session import cut_lineage
 
 PLACE = ["latitude", "longitude"]
-MAX_VARIABLES = 2000
 
 
 def requested_values(requests: DataFrame, column: str) -> list[str]:
-    """Distinct tokens of an array column, sorted. One row per variable name, bounded."""
-    rows = requests.select(F.explode(col(column)).alias("v")).distinct().orderBy("v").limit(MAX_VARIABLES + 1).collect()
-    if len(rows) > MAX_VARIABLES:
-        raise ValueError(f"more than {MAX_VARIABLES} distinct variables in the plan")
-    return [r["v"] for r in rows]
+    """Distinct tokens of an array column, sorted: the variables that become columns of the wide result."""
+    return sorted(r["v"] for r in requests.select(F.explode(col(column)).alias("v")).distinct().collect())
 
 
 def places_of(requests: DataFrame) -> DataFrame:
     return requests.select(*PLACE).distinct()
 
 
+def in_extent(requests: DataFrame, pixels: DataFrame, buffer_m: float) -> DataFrame:
+    """Pixels in the box round all requested places, as literals that reach the scan.
+
+    Longitudes are left alone where the box would cross the antimeridian or come near a pole.
+    """
+    box = requests.agg(*(f(c).alias(f"{n}_{c}") for c in PLACE for n, f in (("low", F.min), ("high", F.max)))).first()
+    if box["low_latitude"] is None:
+        return pixels.filter(F.lit(False))
+    pad = 1.001 * buffer_m / METRES_PER_DEGREE + 1e-6
+    south, north = box["low_latitude"] - pad, box["high_latitude"] + pad
+    near = pixels.filter(col("lat").between(south, north))
+    widest = max(abs(south), abs(north))
+    if widest < 89:
+        pad = pad / math.cos(math.radians(widest))
+        west, east = box["low_longitude"] - pad, box["high_longitude"] + pad
+        if west > -180 and east < 180:
+            near = near.filter(col("lon").between(west, east))
+    return near
+
+
+def scenes_in_windows(scenes: DataFrame, requests: DataFrame, days: int) -> DataFrame:
+    """Scenes taken in the time from the first to the last requested window, as literals."""
+    first, last = requests.agg(F.min("date"), F.max("date")).first()
+    if first is None:
+        return scenes.filter(F.lit(False))
+    ends = (first - datetime.timedelta(days), last + datetime.timedelta(days + 1))
+    return scenes.filter((col("scene_ts") >= F.lit(ends[0]).cast("timestamp")) & (col("scene_ts") < F.lit(ends[1]).cast("timestamp")))
+
+
 def region_pixels(requests: DataFrame, pixels: DataFrame, buffer_m: float) -> DataFrame:
     """Pixels inside each requested place's circle; dates play no part yet, so each place is met once."""
-    return buffer_join(places_of(requests), pixels, buffer_m)
+    return buffer_join(places_of(requests), in_extent(requests, pixels, buffer_m), buffer_m)
 
 
 def near_pixels(requests: DataFrame, pixels: DataFrame, buffer_m: float) -> DataFrame:
     """Pixels near any requested place, each once: input of neighbourhood operators."""
-    return buffer_join(places_of(requests), pixels, buffer_m).select(*map(col, pixels.columns)).distinct()
+    return buffer_join(places_of(requests), in_extent(requests, pixels, buffer_m), buffer_m).select(*map(col, pixels.columns)).distinct()
 
 
 def scene_window_stats(

@@ -39,7 +39,9 @@ def reanalysis_stage(plan: DataFrame, hourly: DataFrame, cfg: ReanalysisConfig =
     """
     requests = cut_lineage(reanalysis_requests(source_rows(plan, "reanalysis")))
     bands = requested_values(requests, "bands")
-    slim = hourly.filter(F.col("band").isin(*bands)).withColumn("date", F.to_date("ts"))
+    first, last = requests.agg(F.min("date"), F.max("date")).first()
+    days = (F.col("ts") >= F.lit(first).cast("timestamp")) & (F.col("ts") < F.date_add(F.lit(last), 1).cast("timestamp"))
+    slim = hourly.filter(F.col("band").isin(*bands) & days).withColumn("date", F.to_date("ts"))
     region = region_pixels(requests, slim, cfg.buffer_m)
     asked = requests.select(*KEYS, "irrigation", F.explode("bands").alias("band"))
     # Only days that some key asks for are reduced.

@@ -14,11 +14,13 @@ from fieldlake.operators.zonal import pivot_stats, suppress_zero, vci_by_region,
 from fieldlake.plans.requests import match_bands, optical_requests, source_rows, wants_vci
 from fieldlake.session import cut_lineage
 from fieldlake.sources.scenes import scene_pixels, select_scenes
-from fieldlake.stages.common import PLACE, region_pixels, scene_window_stats
+from fieldlake.stages.common import PLACE, region_pixels, scene_window_stats, scenes_in_windows
 
 INPUT_BANDS = ("B2", "B4", "B5", "B8")
 PIXEL = [*PLACE, "scene_id", "obs_date", "px_row", "px_col"]
 
+EXTREME_DAYS = 366  # the condition index compares with the extremes of the calendar year
+
 
 def product_days(product: str, cfg: OpticalConfig) -> int:
     return cfg.s2_days if product == "S2" else cfg.modis_et_days if product == "MOD16A2" else cfg.modis_days
@@ -40,7 +42,7 @@ def s2_layers(region: DataFrame) -> DataFrame:
 
 
 def _region(rows: DataFrame, scenes: DataFrame, pixels: DataFrame, product: str, cfg: OpticalConfig) -> DataFrame:
-    usable = scene_pixels(select_scenes(scenes, product, cfg), pixels.filter(F.col("product") == product))
+    usable = scene_pixels(scenes_in_windows(select_scenes(scenes, product, cfg), rows, product_days(product, cfg) + EXTREME_DAYS), pixels.filter(F.col("product") == product))
     near = region_pixels(rows, usable, cfg.buffer_m)
     return near.select(*PLACE, "scene_id", F.to_date("scene_ts").alias("obs_date"), "px_row", "px_col", "band", "value")
 

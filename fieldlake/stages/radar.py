@@ -14,7 +14,7 @@ from fieldlake.operators.zonal import median_composite, pivot_stats, suppress_ze
 from fieldlake.plans.requests import sar_requests, source_rows
 from fieldlake.session import cut_lineage
 from fieldlake.sources.scenes import scene_pixels, select_scenes
-from fieldlake.stages.common import PLACE, near_pixels, region_pixels
+from fieldlake.stages.common import PLACE, near_pixels, region_pixels, scenes_in_windows
 
 
 def despeckled(requests: DataFrame, scenes: DataFrame, pixels: DataFrame, cfg: RadarConfig) -> DataFrame:
@@ -22,7 +22,7 @@ def despeckled(requests: DataFrame, scenes: DataFrame, pixels: DataFrame, cfg: R
 
     The filter runs only on pixels near some place, with a rim wide enough for the neighbourhood.
     """
-    usable = scene_pixels(select_scenes(scenes, "S1", radar=cfg), pixels.filter(F.col("product") == "S1"), list(cfg.polarisations))
+    usable = scene_pixels(scenes_in_windows(select_scenes(scenes, "S1", radar=cfg), requests, cfg.window_days), pixels.filter(F.col("product") == "S1"), list(cfg.polarisations))
     slim = usable.select("scene_id", "scene_ts", "band", "px_row", "px_col", "lat", "lon", "value")
     near = near_pixels(requests, slim, cfg.buffer_m + 2.0 * cfg.pixel_m)
     smooth = focal_median(near, ["scene_id", "band"], carry=["scene_ts", "lat", "lon"])
