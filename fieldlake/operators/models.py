@@ -21,7 +21,6 @@ from fieldlake.operators.metrics import regression_metrics
 from fieldlake.session import cut_lineage
 
 FOLD = "fold"
-GREEDY_GROUPS = 100_000
 
 
 # ---- folds ----------------------------------------------------------------
@@ -36,26 +35,51 @@ def group_key(columns: list[str]) -> Column:
     return F.concat_ws("_", *(F.coalesce(col(c).cast("string"), F.lit("nan")) for c in columns))
 
 
+def fold_runs(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """The greedy walk in closed form: (group size, first place, last place, folds).
+
+    ``sizes`` is (group size, number of groups), largest size first. Groups of one size are interchangeable, so their
+    folds follow from the loads: first the lighter folds fill up, one pick at a time, then the folds take turns. A run
+    whose folds are fewer than its places repeats them in order.
+    """
+    load, out = [0] * k, []
+    for size, count in sizes:
+        place = 0
+        while place < count and max(load) - min(load) >= size:
+            i = min(range(k), key=lambda f: load[f])
+            others = min((load[f] for f in range(k) if f != i), default=load[i])
+            times = min(count - place, max(1, (others - load[i]) // size))
+            out.append((size, place, place + times - 1, [i]))
+            load[i] += times * size
+            place += times
+        if place < count:
+            turns = sorted(range(k), key=lambda f: (load[f], f))
+            out.append((size, place, count - 1, turns))
+            for j, f in enumerate(turns):
+                load[f] += size * ((count - place - j + k - 1) // k)
+    return out
+
+
 def group_kfold(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """Whole groups to folds, largest group first to the lightest fold (ties: smaller key, lower fold).
 
-    The greedy walk takes the 100000 largest groups (one row each); any smaller
-    groups beyond those are spread by hash, where single groups no longer matter
-    for balance. A group's rows always share a fold.
+    The walk needs only how many groups there are of each size. A group's place among those of its size comes from
+    ranges of (size, key) and the counts of the ranges before it.
     """
     keyed = df.withColumn("_group", group_key(columns))
     sizes = keyed.groupBy("_group").agg(F.count("*").alias("n"))
-    largest = sizes.orderBy(F.desc("n"), "_group").limit(GREEDY_GROUPS).collect()
-    load = [0] * k
-    fold_of = []
-    for r in largest:
-        lightest = min(range(k), key=lambda i: load[i])
-        load[lightest] += r["n"]
-        fold_of.append((r["_group"], lightest))
-    table = df.sparkSession.createDataFrame(fold_of, "_group string, _f int")
-    spread = F.pmod(F.xxhash64("_group"), F.lit(k)).cast("int")
-    # The fold table has at most GREEDY_GROUPS rows of two short fields.
-    return keyed.join(F.broadcast(table), "_group", "left").withColumn(FOLD, F.coalesce("_f", spread)).drop("_group", "_f")
+    ranged = cut_lineage(sizes.repartitionByRange(F.desc("n"), F.asc("_group")).withColumn("_part", F.spark_partition_id()))
+    per_part = ranged.groupBy("_part", "n").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("n").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select("_part", "n", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy("_part", "n").orderBy("_group"))
+    placed = ranged.withColumn("_in", inside).join(offsets, ["_part", "n"]).select("_group", "n", (F.col("_in") - 1 + F.col("_off")).alias("_place"))
+    # One row per size of group: at most about the square root of twice the row count.
+    counts = [(r["n"], r["c"]) for r in ranged.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect()]
+    runs = df.sparkSession.createDataFrame(fold_runs(counts, k), "n bigint, _from bigint, _to bigint, _turns array<int>")
+    hit = placed.join(runs, "n").filter(F.col("_place").between(F.col("_from"), F.col("_to")))
+    fold = F.get("_turns", ((F.col("_place") - F.col("_from")) % F.size("_turns")).cast("int"))
+    return keyed.join(hit.select("_group", fold.alias(FOLD)), "_group").drop("_group")
 
 
 # ---- model settings -------------------------------------------------------

@@ -143,3 +143,11 @@ def test_interpolation_by_position_and_ends(spark):
 def test_cut_lineage_round_trip(spark):
     frame = spark.createDataFrame([(1, "a b", 2.0)], "id int, `odd (name / x)` string, T2M__max double")
     assert [tuple(r) for r in cut_lineage(frame).collect()] == [(1, "a b", 2.0)]
+
+
+def test_master_takes_whole_rows_where_keys_meet(spark):
+    a = spark.createDataFrame(
+        [("2020-01-01", 40.00000011, 1.0, 1, 9), ("2020-01-01", 40.00000012, 1.0, 5, 2), ("2020-01-01", 41.0, 1.0, 7, None), ("2020-01-01", 41.0, 1.0, 3, 4)],
+        "date string, latitude double, longitude double, x int, y int")
+    got = {r["latitude"]: (r["x"], r["y"]) for r in build_master([(a, "")], unique=True).collect()}
+    assert got == {40.0: (5, 2), 41.0: (3, 4)}

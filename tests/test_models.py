@@ -93,3 +93,39 @@ def test_interactions_need_four_whole_features(spark):
     frame = spark.createDataFrame([(float(i), float(i * i), None) for i in range(9)], "y double, a double, b double")
     with pytest.raises(ValueError, match="gap-free"):
         S.interaction_columns(frame, "y")
+
+
+def test_fold_runs_are_the_greedy_walk():
+    import random
+
+    from fieldlake.operators.models import fold_runs
+
+    rng = random.Random(1)
+    for _ in range(200):
+        k = rng.randint(1, 6)
+        sizes = [(n, rng.randint(1, 30)) for n in sorted({rng.randint(1, 60) for _ in range(rng.randint(1, 8))}, reverse=True)]
+        load, want = [0] * k, []
+        for n, count in sizes:
+            for place in range(count):
+                lightest = min(range(k), key=lambda f: load[f])
+                load[lightest] += n
+                want.append((n, place, lightest))
+        got = [(n, p, turns[(p - a) % len(turns)]) for n, a, b, turns in fold_runs(sizes, k) for p in range(a, b + 1)]
+        assert sorted(got) == sorted(want)
+
+
+def test_correlations_of_gaps_that_never_meet(spark):
+    rows = [(float(i), None, float("nan"), 1.0) if i % 2 else (None, float(i), float(i), 1.0) for i in range(40)]
+    frame = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    wide = frame.select("*", *(frame["a"].alias(f"a{i}") for i in range(20)))
+    for f in (frame, wide):
+        got = {(r["a"], r["b"]): r["r"] for r in corr_matrix(f, f.columns).collect()}
+        assert got["a", "b"] is None and got["a", "c"] is None and got["a", "d"] is None and got["b", "c"] == pytest.approx(1.0)
+
+
+def test_row_ids_stay_whole(spark):
+    from fieldlake.operators.prep import prepare_model_input
+
+    ids = [2**24, 2**24 + 1, 2**53 + 1, 2**53 + 2]
+    out = prepare_model_input(spark.createDataFrame([(i, 1.5) for i in ids], "row_id bigint, x double"))
+    assert sorted(r.row_id for r in out.collect()) == ids and dict(out.dtypes) == {"row_id": "bigint", "x": "float"}

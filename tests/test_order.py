@@ -15,10 +15,12 @@ def values(seed, kind):
         return rng.normal(size=3000)
     if kind == "hot":
         return np.where(rng.random(3000) < 0.4, 7.0, rng.normal(size=3000) * 1e6)
+    if kind == "wide":
+        return 10.0 ** rng.uniform(-300, 298, 3000) * rng.choice([-1, 1], 3000)
     return np.concatenate([rng.normal(size=2990), [1e300, -1e300, 1e-300] * 3, [0.0]])
 
 
-@pytest.mark.parametrize("kind", ["smooth", "hot", "outliers"])
+@pytest.mark.parametrize("kind", ["smooth", "hot", "outliers", "wide"])
 def test_narrowed_quantiles_are_exact(spark, kind):
     data = {g: values(i, kind) for i, g in enumerate("ab")}
     frame = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs], "g string, v double")
