@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,11 @@ from fieldlake.operators import models as M
 from fieldlake.operators import screen as S
 from fieldlake.operators.prep import Preprocessor, median_impute_apply, median_impute_fit
 from fieldlake.operators.profile import corr_matrix
-from fieldlake.operators.score import ScoringState, score
+from fieldlake.operators.score import ScoringState, load_scoring_state, save_scoring_state, score
 from fieldlake.operators.metrics import psi_reference
 from fieldlake.queries.base import MODEL_SQL, Tables, ctes, model_rows, query
 from fieldlake.queries.profiling import _PREDICTED, predicted
+from fieldlake.session import shared_dir
 
 _M = ctes(MODEL_SQL)
 _X = ["x1", "x2", "x3", "x4"]
@@ -246,4 +249,6 @@ def scored_rows(t: Tables) -> DataFrame:
     features = ["T2M__mean", "RH2M__mean", "VV__mean", "fp_Area_2-HIGH"]
     fitted = M.fit_all(ready, [M.elastic_net_spec(ratios=(0.5,), penalties=(0.01,), inner=2)], features, "target", "row_id")
     state = ScoringState(steps, features, fitted, {"elastic_net": 1.0}, [], psi_reference(train, ["T2M__mean"]))
-    return score(rows.drop("target"), state)[0]
+    path = f"{shared_dir(t.spark).rstrip('/')}/state-{uuid.uuid4().hex}"
+    save_scoring_state(state, t.spark, path)
+    return score(rows.drop("target"), load_scoring_state(t.spark, path))[0]

@@ -129,3 +129,22 @@ def test_row_ids_stay_whole(spark):
     ids = [2**24, 2**24 + 1, 2**53 + 1, 2**53 + 2]
     out = prepare_model_input(spark.createDataFrame([(i, 1.5) for i in ids], "row_id bigint, x double"))
     assert sorted(r.row_id for r in out.collect()) == ids and dict(out.dtypes) == {"row_id": "bigint", "x": "float"}
+
+
+def test_stored_state_scores_like_the_one_in_memory(spark, tmp_path):
+    from fieldlake.config import ModelConfig
+    from fieldlake.operators import models as M
+    from fieldlake.operators.prep import Preprocessor
+    from fieldlake.operators.score import ScoringState, load_scoring_state, save_scoring_state, score
+
+    rows = [(2**53 + 1 + i, 3.0 * i + i % 5, float(i), None if i % 9 == 0 else float(i % 7)) for i in range(120)]
+    frame = spark.createDataFrame(rows, "row_id bigint, target double, T2M__mean double, sand_mean double")
+    steps = Preprocessor(ModelConfig(target="target", category_columns=()))
+    ready = steps.fit_transform(frame)
+    features = ["T2M__mean", "sand_mean"]
+    specs = [M.elastic_net_spec(ratios=(0.5,), penalties=(0.01,), inner=2), M.kernel_regression_spec(8, (0.1,), (0.01,))]
+    state = ScoringState(steps, features, M.fit_all(ready, specs, features, "target", "row_id"), {s.name: 0.5 for s in specs}, [], None)
+    save_scoring_state(state, spark, str(tmp_path / "s"))
+    new = load_scoring_state(spark, str(tmp_path / "s"))
+    a, b = ({r.row_id: r.prediction for r in score(frame.drop("target"), s)[0].collect()} for s in (state, new))
+    assert set(a) == {r[0] for r in rows} and a == pytest.approx(b)
