@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,13 @@ PIXEL = [*PLACE, "scene_id", "obs_date", "px_row", "px_col"]
 EXTREME_DAYS = 366  # the condition index compares with the extremes of the calendar year
 
 
+def is_interpolated(name: str) -> bool:
+    """Raw bands, the six indexes and the land products whose gaps over time are filled; other columns stay as they are."""
+    # Land product bands
+    known = {"NDVI", "EVI", "VCI", "ET", "Fpar_500m", "Gpp", "PsnNet", *optical_indexes(*(F.lit(1.0) for _ in INPUT_BANDS))}
+    return name in known or name.startswith("ET") or re.fullmatch(r"B\d{1,2}A?", name) is not None
+
+
 def product_days(product: str, cfg: OpticalConfig) -> int:
     return cfg.s2_days if product == "S2" else cfg.modis_et_days if product == "MOD16A2" else cfg.modis_days
 
@@ -84,7 +93,7 @@ def optical_stage(
     wide = pivot_stats(ready, KEYS, names, ["plain", "mean", "min", "max"])
     if "VCI" in names:
         wide = wide.drop("VCI__mean", "VCI__min", "VCI__max")
-    filled = interpolate_linear(wide, [n for n in names if n in wide.columns], PLACE, ["date"])
+    filled = interpolate_linear(wide, [n for n in names if n in wide.columns and is_interpolated(n)], PLACE, ["date"])
     return drop_all_zero(filled)
 
 

@@ -9,6 +9,7 @@ from fieldlake.config import WeatherConfig
 from fieldlake.functions.weather import DERIVED, add_derived
 from fieldlake.naming import KEYS, col, stat_name
 from fieldlake.operators.joins import nearest_rank, window_join
+from fieldlake.operators.profile import drop_empty_std
 from fieldlake.operators.zonal import STATS
 from fieldlake.plans.fields import valid_coords
 from fieldlake.plans.requests import source_rows, weather_requests
@@ -69,7 +70,8 @@ def weather_stage(
         mine = F.when(F.col("param") == p, F.col("value"))
         cells.append(F.max(F.when(F.col("_best"), mine)).alias(p))
         cells += [STATS[s](mine).alias(stat_name(p, s)) for s in STAT_NAMES]
-    both = marked.groupBy(*key).agg(*cells).withColumnRenamed("anchor_date", "date")
+    # The daily table and the statistics are two views of one result: written once.
+    both = cut_lineage(marked.groupBy(*key).agg(*cells).withColumnRenamed("anchor_date", "date"))
     daily = both.select(*KEYS, *map(col, names))
     stats = both.select(*KEYS, *(col(stat_name(p, s)) for p in names for s in STAT_NAMES))
-    return daily, stats
+    return daily, drop_empty_std(stats)
