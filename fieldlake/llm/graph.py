@@ -15,14 +15,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     grow with the logarithm of the longest chain. Links of a node are aggregated, never gathered; rounds are written, so
     a lost executor costs one round at most.
     """
-    edges = cut_lineage(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    # edges are small rows: a few tasks per core are enough for them
+    tasks = 4 * links.sparkSession.sparkContext.defaultParallelism
+    cut = lambda df: cut_lineage(df.coalesce(tasks))
+    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut_lineage(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

@@ -11,10 +11,11 @@ Documents with the same words in the same order are one class, of which one goes
 on. ``BANDS`` bands of ``ROWS`` samples make buckets. A bucket's members meet
 three of its members (the smallest id, the largest, one by hash); the pairs are
 verified by weighted Jaccard similarity of the whole texts. Where a bucket still
-holds several components, its members' samples are compared block by block; each
-member's most similar one in every other component, if at least ``NEAR`` of the
-samples agree, is verified, too. So large groups cost a few pairs per document,
-tasks hold two blocks of ``BLOCK_ROWS``, and no bucket is gathered or capped.
+holds several components, its members are compared block by block: pairs of
+different components of whose samples at least ``NEAR`` agree are verified inside
+the task, and only links that join components leave it. So large groups cost a
+few pairs per document, tasks hold two blocks of ``BLOCK_ROWS`` members, and no
+bucket is gathered or capped.
 
 Defined cases: null, empty and wordless texts link with nothing; rows that share
 an id are one document that has all their links; a null id is a document of its
@@ -43,8 +44,8 @@ BANDS, ROWS = 16, 4
 IDF_SHARE = 0.25
 COUNTERS_LOG2 = 20
 BLOCK = 1 << 12
-BLOCK_ROWS = 1024
-NEAR = 0.56  # five standard deviations below the similarity sought
+BLOCK_ROWS = 512
+NEAR = 0.64  # more than three standard deviations below the similarity sought
 TABLE_LOG2 = 16
 ID_BITS_LOG2 = 27  # 16 MB
 SEED = 20240
@@ -124,8 +125,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     """Weighted Jaccard similarity of two weighted sets; 0 if one is empty."""
     if not len(a[0]) or not len(b[0]):
         return 0.0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    same = b[0][at] == a[0]
+    both = np.minimum(a[1][same], b[1][at[same]]).sum()
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
@@ -215,11 +217,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights, text: str, id_name: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: list[list] = [[], []]
-            for side, name in enumerate(("ta", "tb")):
-                for _, _, shingles in shingle_groups(texts_of(batch, name), WIDTH):
-                    sets[side] += [weighted_set(s, weights.value) for s in shingles]
-            score = np.array([similarity(x, y) for x, y in zip(*sets)])
+            coded = [column_of(batch, name).dictionary_encode() for name in ("ta", "tb")]  # a text of many pairs is read once
+            sets = [
+                [weighted_set(s, weights.value) for _, _, found in shingle_groups([t or "" for t in c.dictionary.to_pylist()], WIDTH) for s in found]
+                for c in coded
+            ]
+            at, to = (c.indices.to_numpy(zero_copy_only=False) for c in coded)
+            score = np.array([similarity(sets[0][i], sets[1][j]) for i, j in zip(at, to)])
             good = score >= least
             yield pa.RecordBatch.from_arrays([
                 column_of(batch, "a").filter(pa.array(good)), column_of(batch, "b").filter(pa.array(good)), pa.array(score[good], pa.float64()),
@@ -296,10 +300,11 @@ def duplicate_classes(
     links = _verified(_alike(pairs, reps), docs, weights, text, id_name, least)
     links = cut_lineage(links.select("a", "b").unionByName(several))
     groups = components(links)
-    more = _remaining(shared, reps, groups, pairs)
+    more = _remaining_links(shared, reps, groups, docs, weights, text, id_name, least)
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, docs, weights, text, id_name, least).select("a", "b"))
-        groups = components(links)
+        # what is linked already is as well said by its component
+        known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        groups = components(known.unionByName(more))
     named = member.groupBy("id").agg(F.min("rep").alias("rep"))
     named = named.join(groups, F.col("rep") == F.col("node"), "left").select(
         "id", F.coalesce("component", "rep").alias("class"), F.col("rep").alias("copy"))
@@ -310,43 +315,72 @@ def duplicate_classes(
     )
 
 
-def _best(key, ours: pa.Table, theirs: pa.Table) -> pa.Table:
-    """For each of our members and each other component of theirs the member whose samples agree most, if enough do."""
-    x, y = (np.frombuffer(b"".join(t.column("samples").to_pylist()), "<u4").reshape(-1, BANDS * ROWS) for t in (ours, theirs))
-    agree = np.zeros((len(x), len(y)), np.uint8)
-    for k in range(BANDS * ROWS if len(x) and len(y) else 0):
-        agree += x[:, k, None] == y[None, :, k]
-    comp, other = ours.column("comp").to_numpy(), theirs.column("comp").to_numpy()
-    i, j = np.nonzero((agree >= NEAR * BANDS * ROWS) & (comp[:, None] != other[None, :]))
-    order = np.lexsort((theirs.column("rep").to_numpy()[j], -agree[i, j].astype(np.int16), other[j], i))
-    i, j = i[order], j[order]
-    first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (other[j][1:] != other[j][:-1])])) if len(i) else np.empty(0, int)
-    i, j = i[first], j[first]
-    return pa.table({
-        "rep": ours.column("rep").take(pa.array(i)), "of": pa.array(other[j], pa.int64()), "near": theirs.column("rep").take(pa.array(j)),
-        "agree": pa.array(agree[i, j].astype(np.int32)),
-    })
-
-
-def _remaining(shared: DataFrame, reps: DataFrame, groups: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs not tested yet in buckets that hold several components: each member and its best match in every other component."""
-    placed = shared.select("band", "key", "rep").join(groups, F.col("rep") == F.col("node"), "left").select(
-        "band", "key", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = cut_lineage(placed)
+def _cross_links(weights, least: float):
+    """Links between members of two blocks of a bucket that are in different components, at most one for each merge.
+
+    Pairs whose samples agree in at least ``NEAR`` of the places are verified by their whole texts, the likeliest first;
+    pairs of components that a link has joined by then are left out. A pair that meets in several buckets is taken in the
+    first only.
+    """
+
+    def run(key, ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        band, found = key[0].as_py(), []
+        if ours.num_rows and theirs.num_rows:
+            sides = (ours, theirs)
+            samples = [np.frombuffer(b"".join(t.column("samples").to_pylist()), "<u4").reshape(-1, BANDS * ROWS) for t in sides]
+            bands = [np.array(t.column("bands").combine_chunks().values).reshape(-1, BANDS) for t in sides]
+            comps, reps = ([t.column(c).to_numpy() for t in sides] for c in ("comp", "rep"))
+            agree = np.zeros((ours.num_rows, theirs.num_rows), np.uint8)
+            for k in range(BANDS * ROWS):
+                agree += samples[0][:, k, None] == samples[1][None, :, k]
+            open_ = (agree >= NEAR * BANDS * ROWS) & (comps[0][:, None] != comps[1][None, :]) & (reps[0][:, None] < reps[1][None, :])
+            for k in range(band):
+                open_ &= bands[0][:, k, None] != bands[1][None, :, k]
+            i, j = np.nonzero(open_)
+            order = np.argsort(-agree[i, j].astype(np.int16), kind="stable")
+            texts = [t.column("t").to_pylist() for t in sides]
+            sets: list[dict[int, tuple]] = [{}, {}]
+            head: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while head.get(c, c) != c:
+                    c = head[c]
+                return c
+
+            def weighted(side: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+                if n not in sets[side]:
+                    (_, _, shingles), = shingle_groups([texts[side][n] or ""], WIDTH)
+                    sets[side][n] = weighted_set(shingles[0], weights.value)
+                return sets[side][n]
+
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                p, q = root(int(comps[0][x])), root(int(comps[1][y]))
+                if p != q and similarity(weighted(0, x), weighted(1, y)) >= least:
+                    head[max(p, q)] = min(p, q)
+                    found.append((int(reps[0][x]), int(reps[1][y])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return run
+
+
+def _remaining_links(shared: DataFrame, reps: DataFrame, groups: DataFrame, docs: DataFrame, weights, text: str, id_name: str, least: float) -> DataFrame:
+    """Links between components that share a bucket, found block by block."""
+    placed = cut_lineage(shared.select("band", "key", "rep").join(groups, F.col("rep") == F.col("node"), "left").select(
+        "band", "key", "rep", F.coalesce("component", "rep").alias("comp")))
     mixed_up = placed.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x < y")
     mixed_up = cut_lineage(mixed_up.select("band", "key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
-    samples = reps.groupBy("rep").agg(F.first("samples").alias("samples"))
-    placed = cut_lineage(placed.join(mixed_up, ["band", "key"]).join(samples, "rep"))
-    own, all_ = F.pmod(F.xxhash64("rep"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    ours = placed.select("band", "key", own.alias("a"), all_.alias("b"), "rep", "comp", "samples")
+    placed = cut_lineage(placed.join(mixed_up, ["band", "key"]))
+    ids = cut_lineage(placed.select(F.col("rep").alias("id")).distinct())
+    texts = _among(docs.select(id_of(id_name).alias("id"), col(text).cast("string").alias("t")), ids).join(ids, "id")
+    known = cut_lineage(texts.join(reps.select(F.col("rep").alias("id"), "samples", "bands"), "id").select(F.col("id").alias("rep"), "samples", "bands", "t"))
+    placed = placed.join(known, "rep")
+    own, every = F.pmod(F.xxhash64("rep"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = ["rep", "comp", "samples", "bands", "t"]
+    ours = placed.select("band", "key", own.alias("a"), every.alias("b"), *cells)
     theirs = placed.select(
-        F.col("band").alias("t"), F.col("key").alias("k"), all_.alias("a_"), own.alias("b_"), F.col("rep").alias("rep"), F.col("comp").alias("comp"),
-        F.col("samples").alias("samples"))
-    best = ours.groupBy("band", "key", "a", "b").cogroup(theirs.groupBy("t", "k", "a_", "b_")).applyInArrow(
-        _best, "rep bigint, of bigint, near bigint, agree int")
-    best = best.groupBy("rep", "of").agg(F.max(F.struct("agree", "near")).alias("m")).select("rep", F.col("m.near").alias("near"))
-    pairs = best.select(*_ordered("rep", "near")).distinct()
-    return cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
+        F.col("band").alias("band_"), F.col("key").alias("key_"), every.alias("a_"), own.alias("b_"), *(F.col(c).alias(c) for c in cells))
+    met = ours.groupBy("band", "key", "a", "b").cogroup(theirs.groupBy("band_", "key_", "a_", "b_"))
+    return cut_lineage(met.applyInArrow(_cross_links(weights, least), "a bigint, b bigint"))
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", id_name: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
