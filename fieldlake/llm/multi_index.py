@@ -1,19 +1,18 @@
-"""Near-duplicate embeddings: an inverted multi-index, searched to a target recall and verified.
+"""Near-duplicate embeddings: an inverted multi-index, searched exactly and verified.
 
 Unit vectors are cut into halves, each with a codebook of its own (k-means on a
 sample of at most ``SAMPLE`` vectors). The pairs of codewords are the cells of
 the index, which holds every vector. A vector visits cells in order of a lower
 bound of its squared distance to them (how far it lies beyond the border of each
 codeword's region, halves added), walking the two sorted lists together. It
-stops at the bound below which lie ``RECALL`` of the cells of vectors that are
-exactly as far as the threshold allows, measured on the sample with random
-directions, or where the threshold itself ends. What it meets is verified by
-cosine in double precision.
+stops where the bound passes the distance of the threshold, so no vector that
+links can lie in a cell left out. What it meets is verified by cosine in double
+precision.
 
 Equal vectors are one entry with a count. Cells are cut into blocks of about
 ``BLOCK_ROWS`` entries and their visitors too, so a task holds two bounded
 blocks; it returns counts per vector and a spanning forest of the links, never
-all pairs. A link that only one of the two found counts for both.
+all pairs. Both vectors of a link find it.
 
 Defined cases: null, zero, non-finite or partly null vectors link with nothing;
 vectors of another length than most are searched exactly among their like; rows
@@ -36,7 +35,7 @@ from fieldlake.llm.graph import components
 from fieldlake.session import cut_lineage
 
 COSINE = 0.95
-RECALL = 0.9995
+ROUNDING = 1e-9  # added to the bound; far above the rounding of squared distances
 SAMPLE = 20_000
 BLOCK_ROWS = 2048
 CELL_ROWS = 1024
@@ -89,18 +88,12 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 class Grid:
     """Codebooks of the halves, and the bound up to which cells are visited."""
 
-    def __init__(self, sample: np.ndarray, words: int, cosine: float, recall: float):
+    def __init__(self, sample: np.ndarray, words: int, cosine: float):
         self.dim, half = sample.shape[1], sample.shape[1] // 2
         self.half, self.words = half, words
         self.books = [k_means(sample[:, :half], words), k_means(sample[:, half:], words)] if half else []
-        rng = np.random.default_rng(SEED)
-        far = rng.standard_normal(sample.shape)
-        far -= (far * sample).sum(1, keepdims=True) * sample
-        far /= np.maximum(np.linalg.norm(far, axis=1, keepdims=True), 1e-300)
-        moved = cosine * sample + np.sqrt(1 - cosine**2) * far
-        cells, bounds, row = self.cells(moved), self.bounds(sample), np.arange(len(sample))
-        slack = bounds[row, cells // words] + bounds[row, words + cells % words]
-        self.stop = min(2 - 2 * cosine, float(np.quantile(slack, recall)))
+        self.gaps = [np.array([np.linalg.norm(book - c, axis=1) for c in book]) for book in self.books]
+        self.stop = 2 - 2 * cosine + ROUNDING
 
     def _squares(self, x: np.ndarray) -> list[np.ndarray]:
         parts = [x[:, : self.half], x[:, self.half :]]
@@ -113,11 +106,10 @@ class Grid:
     def bounds(self, x: np.ndarray) -> np.ndarray:
         """Lower bounds of the squared distances to the regions of all codewords, those of both halves side by side."""
         out = []
-        for s, book in zip(self._squares(x), self.books):
+        for s, gap in zip(self._squares(x), self.gaps):
             near = s.argmin(1)
-            gap = np.sqrt(np.maximum((book**2).sum(1)[:, None] - 2 * book @ book.T + (book**2).sum(1), 0))
-            beyond = (s - s[np.arange(len(s)), near][:, None]) / np.maximum(2 * gap[near], 1e-300)
-            beyond[np.arange(len(s)), near] = 0
+            # less the rounding of the squares, which counts where codewords are equal or nearly so
+            beyond = (s - s[np.arange(len(s)), near][:, None] - 1e-12) / np.maximum(2 * gap[near], 1e-300)
             out.append(np.maximum(beyond, 0) ** 2)
         return np.hstack(out)
 
@@ -173,39 +165,28 @@ def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = new
 
 
-def _search(grid, cosine: float):
+def _search(cosine: float):
     def run(key, data: pa.Table, probes: pa.Table) -> pa.Table:
-        g = grid.value
         a, b, n = [], [], []
         if data.num_rows and probes.num_rows:
             x, y = _matrix(probes.column("unit").combine_chunks()), _matrix(data.column("y_unit").combine_chunks())
             xs, ys = probes.column("id").to_numpy(), data.column("y_id").to_numpy()
-            many_x, many_y = probes.column("n").to_numpy(), data.column("y_n").to_numpy()
+            many_y = data.column("y_n").to_numpy()
             links = (x @ y.T >= cosine) & (xs[:, None] != ys[None, :])
             one, two = np.flatnonzero(links.any(1)), np.flatnonzero(links.any(0))
             if len(one):
                 links = links[np.ix_(one, two)]
-                # links that the other side doesn't find count for it here
-                missed = links
-                if data.column("c")[0].as_py() >= 0:
-                    bounds, cells = g.bounds(y[two]), probes.column("home").to_numpy()[one]
-                    reach = bounds[:, cells // g.words] + bounds[:, g.words + cells % g.words]
-                    missed = links & (reach > g.stop).T
-                else:
-                    missed = np.zeros_like(links)
                 rows, columns = forest(links)
-                a = np.concatenate([xs[one], ys[two], xs[one], ys[two]])
-                b = np.concatenate([xs[one][rows], xs[one][columns], np.zeros(len(one) + len(two), np.int64)])
-                n = np.concatenate([np.zeros(len(one) + len(two), np.int64), links @ many_y[two], missed.T @ many_x[one]])
-                keep = (n > 0) | (np.arange(len(n)) < len(one) + len(two))  # counts of 0 say nothing; 0 marks the forest
-                a, b, n = a[keep], b[keep], n[keep]
+                a = np.concatenate([xs[one], ys[two], xs[one]])
+                b = np.concatenate([xs[one][rows], xs[one][columns], np.zeros(len(one), np.int64)])
+                n = np.concatenate([np.zeros(len(one) + len(two), np.int64), links @ many_y[two]])  # 0 marks the forest
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return run
 
 
 def linked_vectors(
-    vectors: DataFrame, vector: str = "embedding", id_name: str = "vec_id", cosine: float = COSINE, recall: float = RECALL,
+    vectors: DataFrame, vector: str = "embedding", id_name: str = "vec_id", cosine: float = COSINE,
     sample: int = SAMPLE, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per distinct id."""
@@ -223,10 +204,10 @@ def linked_vectors(
     words = min(words, len(points))
     if dim < 2 or words < 1:
         points, words = np.zeros((1, 0)), 1
-    grid = spark.sparkContext.broadcast(Grid(points, words, cosine, recall) if points.shape[1] else _NoGrid())
+    grid = spark.sparkContext.broadcast(Grid(points, words, cosine) if points.shape[1] else _NoGrid())
     placed = cut_lineage(_placed(entries.select("id", "n", "dim", "unit"), grid))
     data = placed.select("id", "n", "unit", "cell")
-    probes = placed.select("id", "n", "unit", F.col("cell").alias("home"), F.explode("visits").alias("cell"))
+    probes = placed.select("id", "unit", F.explode("visits").alias("cell"))
     parts = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
     shape = cut_lineage(parts(data, "blocks").join(parts(probes.select("cell"), "chunks"), "cell"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -235,9 +216,9 @@ def linked_vectors(
     probes = probes.join(shape, "cell").withColumn("chunk", own(F.col("chunks"))).withColumn("block", spread(F.col("blocks")))
     key = ["cell", "block", "chunk"]
     data = data.select(*key, "id", "n", "unit").toDF("c", "b", "k", "y_id", "y_n", "y_unit")
-    probes = probes.select(*key, "id", "n", "unit", "home")
+    probes = probes.select(*key, "id", "unit")
     met = data.groupBy("c", "b", "k").cogroup(probes.groupBy(*key))
-    met = cut_lineage(met.applyInArrow(_search(grid, cosine), "a bigint, b bigint, n bigint"))
+    met = cut_lineage(met.applyInArrow(_search(cosine), "a bigint, b bigint, n bigint"))
     counts = met.groupBy("a").agg(F.sum("n").alias("links"))
     groups = components(met.filter("n = 0").select("a", "b"))
     per_id = distinct.select("id", "k1", "k2").join(entries.select("k1", "k2", F.col("id").alias("entry"), "n"), ["k1", "k2"])

@@ -133,6 +133,24 @@ def test_registered_query_reaches_brute_force(spark):
     assert [got[r.vec_id].n_links for r in table] == links.sum(1).tolist()
 
 
+def test_every_true_pair_lies_in_visited_cells_of_a_fine_grid():
+    rng = np.random.default_rng(4)
+    u = rng.standard_normal((4000, 8)) @ rng.standard_normal((8, 384)) + 0.01 * rng.standard_normal((4000, 384))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    far = rng.standard_normal((4000, 8)) @ np.linalg.svd(u, full_matrices=False)[2][:8]  # neighbours differ inside the subspace
+    far -= (far * u).sum(1, keepdims=True) * u
+    v = 0.9501 * u + np.sqrt(1 - 0.9501**2) * far / np.linalg.norm(far, axis=1, keepdims=True)
+    grid = multi_index.Grid(u, 64, 0.95)
+    home, visited = grid.cells(v), [set(grid.visits(b)) for b in grid.bounds(u)]
+    assert all(c in s for c, s in zip(home, visited))
+    home, visited = grid.cells(u), [set(grid.visits(b)) for b in grid.bounds(v)]
+    assert all(c in s for c, s in zip(home, visited))
+    assert np.mean([len(s) for s in visited]) < 0.5 * 64 * 64
+    # equal codewords
+    same = multi_index.Grid(np.repeat(u[:1], 20, 0), 4, 0.95)
+    assert all(len(same.visits(b)) == 16 for b in same.bounds(u[:1]))
+
+
 def test_forest_spans_the_links():
     m = np.zeros((3, 4), bool)
     m[0, 0] = m[0, 2] = m[1, 1] = m[1, 2] = m[2, 3] = True
