@@ -13,9 +13,12 @@ which names stay plain lower-cased words; a text in capitals still meets its ite
 Documents meet the items in two steps: a bitmap of fixed size (``BITS`` bits,
 however large the benchmark) of the item windows drops windows in the map task;
 the windows that are left are joined by hash. A pair of document and item is a
-leak when, at one alignment, windows cover at least ``MIN_COVER`` of the item's
-and the slots are consistent: each value of the item always became the same
-value. Equal values make it a ``copy``, changed ones ``reparameterised``.
+leak when windows with consistent slots cover at least ``MIN_COVER`` of the
+item's. Names are consistent when, at one alignment, a name of the item became
+the same name at more than half of its places; windows over its other places
+don't count, and none over its places where no name has more than half. Numbers
+and units stand for themselves at each place, since equal ones may be
+independent. Equal values make it a ``copy``, changed ones ``reparameterised``.
 
 Defined cases: a null or empty text has no windows; an item of fewer than
 ``MIN_PLAIN`` words is never found; repeated rows and rows that share an id are one document, covered
@@ -51,7 +54,7 @@ UNITS = set(
     "month months year years percent dollar dollars euro euros cent cents pound pounds usd eur degree degrees c f k".split()
 )
 NUM, UNIT, NAME = (np.uint64(x) for x in hash_tokens(["<num>", "<unit>", "<name>"]))
-WINDOW_TYPE = "pos int, h bigint, slots array<string>, width int"
+WINDOW_TYPE = "pos int, h bigint, slots array<string>, names array<int>, width int"
 
 
 class Canonical:
@@ -102,8 +105,8 @@ def _starts(offsets: np.ndarray, widths: list[int] | None) -> Iterator[tuple[np.
         yield owner, np.repeat(offsets[owners] - segments(counts)[:-1], counts) + np.arange(counts.sum()), int(n)
 
 
-def _batch_windows(texts: list[str], wanted: np.ndarray | None, widths: list[int] | None) -> Iterator[tuple[int, int, int, list[str], int]]:
-    """(place of the text, position, hash, slot values, width) of usable windows; with ``wanted``, of those whose bit is set."""
+def _batch_windows(texts: list[str], wanted: np.ndarray | None, widths: list[int] | None) -> Iterator[tuple[int, int, int, list[str], list[int], int]]:
+    """(place of the text, position, hash, slot values, the offset of each in the window if a name, else -1, width) of usable windows; with ``wanted``, of those whose bit is set."""
     for begin, some in grouped(texts):
         words = Canonical(some)
         names = segments(words.name)
@@ -122,12 +125,13 @@ def _batch_windows(texts: list[str], wanted: np.ndarray | None, widths: list[int
                     use &= (wanted[(h >> np.uint64(6)) & np.uint64(len(wanted) - 1)] >> (h & np.uint64(63))) & np.uint64(1) == 1
                 for k in np.flatnonzero(use):
                     i = at[k]
-                    values = [words.value(j) for j in range(i, i + n) if slot[j]] if slots[i + n] > slots[i] else []
-                    yield begin + int(owner[k]), int(i - words.offsets[owner[k]]), int(h[k]), values, n
+                    places = [j for j in range(i, i + n) if slot[j]] if slots[i + n] > slots[i] else []
+                    values, named = [words.value(j) for j in places], [int(j - i) if words.name[j] else -1 for j in places]
+                    yield begin + int(owner[k]), int(i - words.offsets[owner[k]]), int(h[k]), values, named, n
 
 
 def template_windows(rows: DataFrame, text: str, key: str, wanted=None, widths: list[int] | None = None) -> DataFrame:
-    """(k, pos, h, slots, width) of the usable windows of the rows' texts; ``wanted`` is a broadcast bitmap, ``widths`` as in _starts."""
+    """(k, pos, h, slots, names, width) of the usable windows of the rows' texts; ``wanted`` is a broadcast bitmap, ``widths`` as in _starts."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if wanted is None else wanted.value
@@ -138,8 +142,9 @@ def template_windows(rows: DataFrame, text: str, key: str, wanted=None, widths:
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids[place] if len(place) else np.empty(0, np.int64), pa.int64()), pa.array([f[1] for f in found], pa.int32()),
                 pa.array(np.array([f[2] for f in found], np.uint64).view(np.int64), pa.int64()),
-                pa.array([f[3] for f in found], pa.list_(pa.string())), pa.array([f[4] for f in found], pa.int32()),
-            ], names=["k", "pos", "h", "slots", "width"])
+                pa.array([f[3] for f in found], pa.list_(pa.string())), pa.array([f[4] for f in found], pa.list_(pa.int32())),
+                pa.array([f[5] for f in found], pa.int32()),
+            ], names=["k", "pos", "h", "slots", "names", "width"])
 
     source = rows.select(id_of(key).alias("k"), col(text).cast("string").alias("t"))
     return source.mapInArrow(explode, "k bigint, " + WINDOW_TYPE)
@@ -157,6 +162,16 @@ def _bitmap(items: DataFrame):
     return spark.sparkContext.broadcast(bits)
 
 
+def _contradictions(met: DataFrame, pair: list[str]) -> DataFrame:
+    """Per alignment ``wrong``, the item's places at which a name became another than at more than half of that name's places."""
+    named = met.select(*pair, "item_pos", F.explode(F.arrays_zip("names", "item_slots", "slots")).alias("z")).filter("z.names >= 0")
+    named = named.select(*pair, (F.col("item_pos") + F.col("z.names")).alias("place"), F.col("z.item_slots").alias("a"), F.col("z.slots").alias("v"))
+    became = named.distinct().groupBy(*pair, "a", "v").agg(F.collect_set("place").alias("places"))  # at most the item's length
+    name = became.groupBy(*pair, "a").agg(F.sum(F.size("places")).alias("all"), F.collect_list("places").alias("groups"))
+    minor = F.flatten(F.filter("groups", lambda g: 2 * F.size(g) <= F.col("all")))
+    return name.select(*pair, minor.alias("wrong")).filter(F.size("wrong") > 0).groupBy(*pair).agg(F.flatten(F.collect_list("wrong")).alias("wrong"))
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", id_name: str = "doc_id", item_text: str = "text",
     item_id: str = "item_id", min_cover: float = MIN_COVER,
@@ -165,17 +180,15 @@ def find_leaks(
     items = cut_lineage(template_windows(benchmark, item_text, item_id).withColumnsRenamed({"k": "item", "pos": "item_pos", "slots": "item_slots"}))
     sizes = items.groupBy("item").agg(F.countDistinct("item_pos").alias("n_item"))
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # WIDTH and the lengths of shorter items
-    hits = template_windows(docs, text, id_name, _bitmap(items), widths).drop("width")
-    met = cut_lineage(hits.join(items, "h").select("k", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "slots", "item_slots"))
+    hits = template_windows(docs, text, id_name, _bitmap(items), widths).drop("width", "names")
+    met = hits.join(items, "h").filter(F.size("slots") == F.size("item_slots"))
+    met = cut_lineage(met.select("k", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "slots", "item_slots", "names", "width"))
     pair = ["k", "item", "shift"]
-    values = met.filter(F.size("slots") > 0).filter(F.size("slots") == F.size("item_slots"))
-    values = values.select(*pair, F.explode(F.arrays_zip("item_slots", "slots")).alias("z"))
-    values = values.groupBy(*pair, F.col("z.item_slots").alias("a")).agg(F.min("z.slots").alias("lo"), F.max("z.slots").alias("hi"))
-    values = values.groupBy(*pair).agg(
-        F.max(F.col("lo") != F.col("hi")).alias("mixed"), F.max((F.col("lo") != F.col("a")) | (F.col("hi") != F.col("a"))).alias("changed")
-    )
-    judged = met.select(*pair, "item_pos").distinct().join(values, pair, "left").filter(~F.coalesce("mixed", F.lit(False)))
-    best = judged.groupBy("k", "item").agg(F.countDistinct("item_pos").alias("n"), F.max(F.coalesce("changed", F.lit(False))).alias("changed"))
+    judged = met.select(*pair, "item_pos", "width", (F.col("slots") != F.col("item_slots")).alias("changed"))
+    judged = judged.join(_contradictions(met, pair), pair, "left")
+    inside = lambda x: (x >= F.col("item_pos")) & (x < F.col("item_pos") + F.col("width"))
+    judged = judged.filter(~F.coalesce(F.exists("wrong", inside), F.lit(False)))
+    best = judged.groupBy("k", "item").agg(F.countDistinct("item_pos").alias("n"), F.max("changed").alias("changed"))
     out = best.join(sizes, "item").withColumn("cover", F.col("n") / F.col("n_item")).filter(F.col("cover") >= min_cover)
     null = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))
     return out.select(

@@ -185,6 +185,18 @@ def test_reparameterised_questions(spark):
     assert find_leaks(cases.odd_documents(spark), items).count() == 0
 
 
+def pairs(spark, items, docs):
+    frame = lambda x, k: spark.createDataFrame(list(enumerate(x)), f"{k} bigint, text string")
+    return {(r.doc_id, r.item_id): r.kind for r in find_leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+
+
+def test_a_contradiction_removes_only_its_windows(spark):
+    boys = "the teacher asked 3 boys and 3 girls to share every apple that they had found under the tree"
+    name = "we know that Anna went to the market because she needed bread and milk while Anna had no money left after the long holidays with all of her family so Anna went home again"
+    docs = [boys.replace("3", "4", 1).replace("3", "5"), name.replace("Anna", "Berta", 1), name[::-1]]
+    assert pairs(spark, [boys, name], docs) == {(0, 0): "reparameterised", (1, 1): "copy"}
+
+
 def test_leaks_match_plain_windows(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(MID + "/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(MID + "/benchmark.parquet").collect()]
