@@ -4,8 +4,10 @@ Every text is canonicalised word by word: numbers become ``<num>``, units that
 follow a number ``<unit>``, capitalised words inside a sentence ``<name>``; what
 stood there is the slot's value. Hashes of windows of ``WIDTH`` canonical words
 are joined between documents and benchmark items. Windows with fewer than
-``MIN_PLAIN`` plain words are too general and are not used. A shorter item is one
-window of all its words; documents then have windows of that length, too.
+``MIN_PLAIN`` plain words are too general for slots: they are hashed as the words
+that stand there, and match exact copies only. A shorter item is one window of
+all its words; documents then have windows of that length, too. An item of fewer
+than ``MIN_PLAIN`` words only matches a document that has no other words.
 
 Names are the one slot that spelling decides, so each window also has a hash in
 which names stay plain lower-cased words; a text in capitals still meets its item.
@@ -20,8 +22,7 @@ don't count, and none over its places where no name has more than half. Numbers
 and units stand for themselves at each place, since equal ones may be
 independent. Equal values make it a ``copy``, changed ones ``reparameterised``.
 
-Defined cases: a null or empty text has no windows; an item of fewer than
-``MIN_PLAIN`` words is never found; repeated rows and rows that share an id are one document, covered
+Defined cases: a null or empty text has no windows; repeated rows and rows that share an id are one document, covered
 by the windows of all of them; a null id is a document of its own; an empty
 benchmark or table gives an empty result; extra columns take no part.
 """
@@ -54,13 +55,13 @@ UNITS = set(
     "month months year years percent dollar dollars euro euros cent cents pound pounds usd eur degree degrees c f k".split()
 )
 NUM, UNIT, NAME = (np.uint64(x) for x in hash_tokens(["<num>", "<unit>", "<name>"]))
-WINDOW_TYPE = "pos int, h bigint, slots array<string>, names array<int>, width int"
+WINDOW_TYPE = "pos int, h bigint, slots array<string>, names array<int>, width int, literal boolean"
 
 
 class Canonical:
     """The canonical words of some texts, one after the other; ``offsets`` tells where each text's begin.
 
-    ``token`` has the hashes with all slots, ``plain`` those with names as words; ``number`` (numbers and units) and ``name`` mark
+    ``token`` has the hashes with all slots, ``plain`` those with names as words, ``literal`` those without slots; ``number`` (numbers and units) and ``name`` mark
     the slots, ``value(i)`` is the lower-cased word that stood at i.
     """
 
@@ -82,10 +83,10 @@ class Canonical:
         after = lambda x: np.concatenate([[False], x[:-1]]) & ~first if len(x) else x
         unit &= after(number) & ~number
         name = title & ~first & ~after(mark) & ~number & ~unit
-        plain = hash_tokens(low)[at] if len(at) else np.empty(0, np.uint64)
-        plain = np.where(number, NUM, np.where(unit, UNIT, plain))
+        literal = hash_tokens(low)[at] if len(at) else np.empty(0, np.uint64)
+        plain = np.where(number, NUM, np.where(unit, UNIT, literal))
         words = ~mark
-        self.token, self.plain = np.where(name, NAME, plain)[words], plain[words]
+        self.token, self.plain, self.literal = np.where(name, NAME, plain)[words], plain[words], literal[words]
         self.number, self.name = (number | unit)[words], name[words]
         self._at, self._low = at[words], low
         self.offsets = segments(words)[segments(sizes)]
@@ -98,40 +99,40 @@ def _starts(offsets: np.ndarray, widths: list[int] | None) -> Iterator[tuple[np.
     """(owners, starts, window width): all windows of the given widths. Without them those of an item: all of ``WIDTH`` words, or the whole."""
     sizes = np.diff(offsets)
     whole = widths is None
-    for n in np.unique(np.minimum(sizes[sizes >= MIN_PLAIN], WIDTH)) if whole else widths:
-        owners = np.flatnonzero(sizes >= n if n == WIDTH or not whole else sizes == n)
+    for n in np.unique(np.minimum(sizes[sizes > 0], WIDTH)) if whole else widths:
+        owners = np.flatnonzero(sizes >= n if n == WIDTH or n >= MIN_PLAIN and not whole else sizes == n)
         counts = sizes[owners] - n + 1
         owner = np.repeat(owners, counts)
         yield owner, np.repeat(offsets[owners] - segments(counts)[:-1], counts) + np.arange(counts.sum()), int(n)
 
 
-def _batch_windows(texts: list[str], wanted: np.ndarray | None, widths: list[int] | None) -> Iterator[tuple[int, int, int, list[str], list[int], int]]:
-    """(place of the text, position, hash, slot values, the offset of each in the window if a name, else -1, width) of usable windows; with ``wanted``, of those whose bit is set."""
+def _batch_windows(texts: list[str], wanted: np.ndarray | None, widths: list[int] | None) -> Iterator[tuple[int, int, int, list[str], list[int], int, bool]]:
+    """(place of the text, position, hash, slot values, the offset of each in the window if a name, else -1, width, literal) of usable windows; with ``wanted``, of those whose bit is set."""
     for begin, some in grouped(texts):
         words = Canonical(some)
         names = segments(words.name)
-        for token, slot in ((words.token, words.number | words.name), (words.plain, words.number)):
-            if token is words.plain and not names[-1]:
-                continue
-            slots = segments(slot)
-            for owner, at, n in _starts(words.offsets, widths):
-                if not len(at):
+        numbers, slots = segments(words.number), segments(words.number | words.name)
+        for owner, at, n in _starts(words.offsets, widths):
+            few = n - (numbers[at + n] - numbers[at]) < MIN_PLAIN
+            for token, slot, use in (
+                (words.token, words.number | words.name, n - (slots[at + n] - slots[at]) >= MIN_PLAIN),
+                (words.plain, words.number, ~few & (names[at + n] > names[at])),  # windows without names are the same as before
+                (words.literal, np.zeros_like(words.number), few),
+            ):
+                if not use.any():
                     continue
                 h = windows(token, n)[at]
-                use = n - (slots[at + n] - slots[at]) >= MIN_PLAIN
-                if token is words.plain:  # windows without names are the same as before
-                    use &= names[at + n] > names[at]
                 if wanted is not None:
-                    use &= (wanted[(h >> np.uint64(6)) & np.uint64(len(wanted) - 1)] >> (h & np.uint64(63))) & np.uint64(1) == 1
+                    use = use & (wanted[(h >> np.uint64(6)) & np.uint64(len(wanted) - 1)] >> (h & np.uint64(63))) & np.uint64(1) == 1
                 for k in np.flatnonzero(use):
                     i = at[k]
                     places = [j for j in range(i, i + n) if slot[j]] if slots[i + n] > slots[i] else []
                     values, named = [words.value(j) for j in places], [int(j - i) if words.name[j] else -1 for j in places]
-                    yield begin + int(owner[k]), int(i - words.offsets[owner[k]]), int(h[k]), values, named, n
+                    yield begin + int(owner[k]), int(i - words.offsets[owner[k]]), int(h[k]), values, named, n, token is words.literal
 
 
 def template_windows(rows: DataFrame, text: str, key: str, wanted=None, widths: list[int] | None = None) -> DataFrame:
-    """(k, pos, h, slots, names, width) of the usable windows of the rows' texts; ``wanted`` is a broadcast bitmap, ``widths`` as in _starts."""
+    """(k, pos, h, slots, names, width, literal) of the usable windows of the rows' texts; ``wanted`` is a broadcast bitmap, ``widths`` as in _starts."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if wanted is None else wanted.value
@@ -143,8 +144,8 @@ def template_windows(rows: DataFrame, text: str, key: str, wanted=None, widths:
                 pa.array(ids[place] if len(place) else np.empty(0, np.int64), pa.int64()), pa.array([f[1] for f in found], pa.int32()),
                 pa.array(np.array([f[2] for f in found], np.uint64).view(np.int64), pa.int64()),
                 pa.array([f[3] for f in found], pa.list_(pa.string())), pa.array([f[4] for f in found], pa.list_(pa.int32())),
-                pa.array([f[5] for f in found], pa.int32()),
-            ], names=["k", "pos", "h", "slots", "names", "width"])
+                pa.array([f[5] for f in found], pa.int32()), pa.array([f[6] for f in found], pa.bool_()),
+            ], names=["k", "pos", "h", "slots", "names", "width", "literal"])
 
     source = rows.select(id_of(key).alias("k"), col(text).cast("string").alias("t"))
     return source.mapInArrow(explode, "k bigint, " + WINDOW_TYPE)
@@ -178,18 +179,22 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, cover, kind): the items that each document leaks."""
     items = cut_lineage(template_windows(benchmark, item_text, item_id).withColumnsRenamed({"k": "item", "pos": "item_pos", "slots": "item_slots"}))
-    sizes = items.groupBy("item").agg(F.countDistinct("item_pos").alias("n_item"))
+    template = F.when(~F.col("literal"), F.col("item_pos"))
+    sizes = items.groupBy("item").agg(F.countDistinct("item_pos").alias("n_item"), F.countDistinct(template).alias("n_template"))
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # WIDTH and the lengths of shorter items
-    hits = template_windows(docs, text, id_name, _bitmap(items), widths).drop("width", "names")
+    hits = template_windows(docs, text, id_name, _bitmap(items), widths).drop("width", "names", "literal")
     met = hits.join(items, "h").filter(F.size("slots") == F.size("item_slots"))
-    met = cut_lineage(met.select("k", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "slots", "item_slots", "names", "width"))
+    met = cut_lineage(met.select("k", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "slots", "item_slots", "names", "width", "literal"))
     pair = ["k", "item", "shift"]
-    judged = met.select(*pair, "item_pos", "width", (F.col("slots") != F.col("item_slots")).alias("changed"))
+    judged = met.select(*pair, "item_pos", "width", "literal", (F.col("slots") != F.col("item_slots")).alias("changed"))
     judged = judged.join(_contradictions(met, pair), pair, "left")
     inside = lambda x: (x >= F.col("item_pos")) & (x < F.col("item_pos") + F.col("width"))
     judged = judged.filter(~F.coalesce(F.exists("wrong", inside), F.lit(False)))
-    best = judged.groupBy("k", "item").agg(F.countDistinct("item_pos").alias("n"), F.max("changed").alias("changed"))
-    out = best.join(sizes, "item").withColumn("cover", F.col("n") / F.col("n_item")).filter(F.col("cover") >= min_cover)
+    best = judged.groupBy("k", "item").agg(
+        F.countDistinct("item_pos").alias("n"), F.countDistinct(template).alias("n_same"), F.max("changed").alias("changed"))
+    # where numbers changed, only windows with slots can match: then their own share counts
+    cover = F.greatest(F.col("n") / F.col("n_item"), F.coalesce(F.try_divide("n_same", "n_template"), F.lit(0.0)))
+    out = best.join(sizes, "item").withColumn("cover", cover).filter(F.col("cover") >= min_cover)
     null = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))
     return out.select(
         null("k").alias("doc_id"), null("item").alias("item_id"), F.col("n").alias("n_windows"), "cover",

@@ -197,6 +197,13 @@ def test_a_contradiction_removes_only_its_windows(spark):
     assert pairs(spark, [boys, name], docs) == {(0, 0): "reparameterised", (1, 1): "copy"}
 
 
+def test_windows_full_of_slots_and_few_words_are_found_as_copies(spark):
+    dense = "What is 12 times 7 plus 30"
+    mixed = "add 3 kg 4 kg 5 kg 6 kg 7 kg to the load of the old truck before it leaves"
+    docs = [f"Question: {dense} please", dense.replace("12", "13"), mixed.replace("6", "9"), "Who ran?", "who ran? nobody knows that"]
+    assert pairs(spark, [dense, mixed, "Who ran"], docs) == {(0, 0): "copy", (2, 1): "copy", (3, 2): "copy"}
+
+
 def test_leaks_match_plain_windows(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(MID + "/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(MID + "/benchmark.parquet").collect()]
