@@ -16,7 +16,8 @@ Documents meet the items in two steps: a bitmap of fixed size (``BITS`` bits,
 however large the benchmark) of the item windows drops windows in the map task;
 the windows that are left are joined by hash. A pair of document and item is a
 leak when windows with consistent slots cover at least ``MIN_COVER`` of the
-item's. Names are consistent when, at one alignment, a name of the item became
+item's, or when such windows follow each other over ``MIN_RUN`` words of it at one
+alignment, however long the item is. Names are consistent when, at one alignment, a name of the item became
 the same name at more than half of its places; windows over its other places
 don't count, and none over its places where no name has more than half. Numbers
 and units stand for themselves at each place, since equal ones may be
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlake.llm.common import col, column_of, grouped, hash_tokens, id_of, segments, texts_of, windows
@@ -43,6 +44,7 @@ from fieldlake.session import cut_lineage
 WIDTH = 8
 MIN_PLAIN = 5
 MIN_COVER = 0.5
+MIN_RUN = 13  # words
 BITS = 1 << 26  # 8 MB
 NUMBER = re.compile(
     r"[0-9]+(?:[.,][0-9]+)*|zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|hundred|thousand|million"
@@ -175,7 +177,7 @@ def _contradictions(met: DataFrame, pair: list[str]) -> DataFrame:
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", id_name: str = "doc_id", item_text: str = "text",
-    item_id: str = "item_id", min_cover: float = MIN_COVER,
+    item_id: str = "item_id", min_cover: float = MIN_COVER, min_run: int = MIN_RUN,
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, cover, kind): the items that each document leaks."""
     items = cut_lineage(template_windows(benchmark, item_text, item_id).withColumnsRenamed({"k": "item", "pos": "item_pos", "slots": "item_slots"}))
@@ -189,12 +191,16 @@ def find_leaks(
     judged = met.select(*pair, "item_pos", "width", "literal", (F.col("slots") != F.col("item_slots")).alias("changed"))
     judged = judged.join(_contradictions(met, pair), pair, "left")
     inside = lambda x: (x >= F.col("item_pos")) & (x < F.col("item_pos") + F.col("width"))
-    judged = judged.filter(~F.coalesce(F.exists("wrong", inside), F.lit(False)))
+    judged = cut_lineage(judged.filter(~F.coalesce(F.exists("wrong", inside), F.lit(False))).drop("wrong"))
+    runs = judged.filter(F.col("width") == WIDTH).select(*pair, "item_pos").distinct()
+    runs = runs.withColumn("run", F.col("item_pos") - F.row_number().over(Window.partitionBy(*pair).orderBy("item_pos")))
+    runs = runs.groupBy(*pair, "run").agg(F.count("*").alias("n_run")).groupBy("k", "item").agg(F.max("n_run").alias("n_run"))
     best = judged.groupBy("k", "item").agg(
         F.countDistinct("item_pos").alias("n"), F.countDistinct(template).alias("n_same"), F.max("changed").alias("changed"))
     # where numbers changed, only windows with slots can match: then their own share counts
     cover = F.greatest(F.col("n") / F.col("n_item"), F.coalesce(F.try_divide("n_same", "n_template"), F.lit(0.0)))
-    out = best.join(sizes, "item").withColumn("cover", cover).filter(F.col("cover") >= min_cover)
+    out = best.join(sizes, "item").join(runs, ["k", "item"], "left").withColumn("cover", cover)
+    out = out.filter((F.col("cover") >= min_cover) | (F.col("n_run") >= max(min_run - WIDTH + 1, 1)))
     null = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))
     return out.select(
         null("k").alias("doc_id"), null("item").alias("item_id"), F.col("n").alias("n_windows"), "cover",

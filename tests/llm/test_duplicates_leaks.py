@@ -204,6 +204,12 @@ def test_windows_full_of_slots_and_few_words_are_found_as_copies(spark):
     assert pairs(spark, [dense, mixed, "Who ran"], docs) == {(0, 0): "copy", (2, 1): "copy", (3, 2): "copy"}
 
 
+def test_a_long_quote_of_a_longer_item_is_a_leak(spark):
+    words = [f"{a}{b}" for a in "bcdfghjklm" for b in ("ax", "ex", "ix", "ox", "ux", "yx")][:59]
+    say = lambda a, b: "some other words " + " ".join(words[a:b]) + " and then some more"
+    assert pairs(spark, [" ".join(words)], [say(10, 40), say(10, 23), say(10, 22)]) == {(0, 0): "copy", (1, 0): "copy"}
+
+
 def test_leaks_match_plain_windows(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(MID + "/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(MID + "/benchmark.parquet").collect()]
