@@ -85,6 +85,17 @@ def test_odd_texts_and_rejection(spark):
     assert language.known_language(docs).count() == docs.count()  # clean documents stay
 
 
+def test_mislabelled_rows_of_one_language_leave_rejection_on(spark):
+    rng = np.random.default_rng(6)
+    say = lambda letters: " ".join("".join(rng.choice(list(letters), 4)) for _ in range(30))
+    rows = [(say("abcde"), "aa") for _ in range(1200)] + [(say("mnopq"), "bb") for _ in range(1200)]
+    rows += [(say("абвгд"), "aa") for _ in range(6)]  # 0.5 % of that language, in a script that no model has
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = spark.sparkContext.broadcast(language.fit(docs.limit(2400).filter("text rlike '^[a-z ]+$'")))
+    limits = language.calibrate(docs, model).limit
+    assert limits["bb"] < 1 < limits["aa"]
+
+
 # ---- quality --------------------------------------------------------------
 
 def test_risk_gradient_and_clamp():
