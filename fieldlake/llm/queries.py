@@ -14,6 +14,7 @@ from fieldlake.llm.line_dedup import dedup_lines
 from fieldlake.llm.minhash import duplicate_classes
 from fieldlake.llm.mixing import mix_sources
 from fieldlake.llm.multi_index import linked_vectors
+from fieldlake.llm.periodic import run_digests, with_planted_runs
 from fieldlake.llm.quality import quality_scores
 from fieldlake.llm.secrets import secret_digests
 from fieldlake.llm.warc import archive_pages
@@ -160,3 +161,8 @@ SELECT * FROM z WHERE part = 'pair' OR rank <= 50
 """)
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
