@@ -15,6 +15,7 @@ from fieldlake.llm.minhash import duplicate_classes
 from fieldlake.llm.mixing import mix_sources
 from fieldlake.llm.multi_index import linked_vectors
 from fieldlake.llm.periodic import run_digests, with_planted_runs
+from fieldlake.llm.personal import personal_digests
 from fieldlake.llm.quality import quality_scores
 from fieldlake.llm.secrets import secret_digests
 from fieldlake.llm.warc import archive_pages
@@ -166,3 +167,8 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query()
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))

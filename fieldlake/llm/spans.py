@@ -51,3 +51,27 @@ def match_spans(text: Column, pattern: str, value_group: int = 0) -> Column:
         (F.get(p["before"], i) + F.get(p["gaps"], i) + F.get(p["sizes"], i)).alias("end"), v.alias("value"),
     )))
     return found[0]
+
+
+def match_contexts(text: Column, pattern: str, width: int) -> Column:
+    """Places and values of the matches as in :func:`match_spans`, with up to ``width`` code points ``before`` and ``after`` each.
+
+    The context ends at the neighbouring match's far end, so all contexts together take time in proportion to the text.
+    """
+    sizes = lambda a: F.transform(a, lambda x: F.length(x).cast("bigint"))
+    parts = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"))
+    sized = F.transform(F.array(parts), lambda p: F.struct(
+        p["between"].alias("between"), p["values"].alias("values"), sizes(p["between"]).alias("gaps"), sizes(p["values"]).alias("sizes"),
+    ))
+    placed = F.transform(sized, lambda p: F.struct(
+        p["between"].alias("between"), p["values"].alias("values"), p["gaps"].alias("gaps"), p["sizes"].alias("sizes"),
+        running_sums(F.transform(p["sizes"], lambda s, i: s + F.get(p["gaps"], i))).alias("before"),
+    ))
+    near = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+    found = F.transform(placed, lambda p: F.transform(p["values"], lambda v, i: F.struct(
+        (F.get(p["before"], i) + F.get(p["gaps"], i)).alias("start"),
+        (F.get(p["before"], i) + F.get(p["gaps"], i) + F.get(p["sizes"], i)).alias("end"), v.alias("value"),
+        F.substring(F.concat(near(p["values"], i - 1), near(p["between"], i)), -width, width).alias("before"),
+        F.substring(F.concat(near(p["between"], i + 1), near(p["values"], i + 1)), 1, width).alias("after"),
+    )))
+    return found[0]
