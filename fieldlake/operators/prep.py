@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fieldlake.config import TERRAIN_NAMES, ModelConfig, in_family
 from fieldlake.functions.features import doy_sin
 from fieldlake.naming import col
+from fieldlake.operators.impute import iterative_impute_apply, iterative_impute_fit
 from fieldlake.operators.order import GATHER_LIMIT, column_quantiles
 from fieldlake.operators.profile import numeric_columns
 from fieldlake.session import at_most, cut_lineage
@@ -290,94 +291,6 @@ def knn_impute(
     return filled.select(*(made[c].alias(c) if c in made else col(c) for c in df.columns))
 
 
-# ---- iterative imputation -------------------------------------------------
-
-def _moments(df: DataFrame, y: str, inputs: list[str], only: Column) -> tuple[float, np.ndarray, np.ndarray]:
-    """Count, means and centred cross-products of (inputs, y) over rows of ``only``: two aggregates."""
-    names = [*inputs, y]
-    rows = df.filter(only)
-    first = rows.agg(F.count("*"), *(F.avg(col(c)) for c in names)).first()
-    n, mean = float(first[0]), np.array([0.0 if v is None else v for v in first[1:]])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = rows.agg(*(
-        F.sum((col(names[i]) - F.lit(float(mean[i]))) * (col(names[j]) - F.lit(float(mean[j])))).alias(f"s{q}") for q, (i, j) in enumerate(pairs)
-    )).first()
-    gram = np.zeros((len(names), len(names)))
-    for q, (i, j) in enumerate(pairs):
-        gram[i, j] = gram[j, i] = sums[q] or 0.0
-    return n, mean, gram
-
-
-def bayesian_ridge(n: float, gram: np.ndarray, rounds: int = 300, tol: float = 1e-3) -> np.ndarray:
-    """Evidence-maximising ridge weights from centred cross-products (MacKay 1992); last row/column is the target."""
-    xx, xy, yy = gram[:-1, :-1], gram[:-1, -1], float(gram[-1, -1])
-    values, vectors = np.linalg.eigh(xx)
-    values = np.clip(values, 0.0, None)
-    rotated = vectors.T @ xy
-    prior = 1e-6
-    noise, strength = 1.0 / (yy / max(n, 1.0) + np.finfo(float).eps), 1.0
-    weights = np.zeros(len(xy))
-    for _ in range(rounds):
-        fresh = vectors @ (rotated / (values + strength / noise))
-        error = max(yy - 2.0 * fresh @ xy + fresh @ xx @ fresh, 0.0)
-        effective = float(np.sum(noise * values / (strength + noise * values)))
-        strength = (effective + 2.0 * prior) / (float(fresh @ fresh) + 2.0 * prior)
-        noise = (n - effective + 2.0 * prior) / (error + 2.0 * prior)
-        settled = np.sum(np.abs(fresh - weights)) < tol
-        weights = fresh
-        if settled:
-            break
-    return weights
-
-
-def iterative_impute_fit(df: DataFrame, columns: list[str], rounds: int = 10, tol: float = 1e-3) -> DataFrame:
-    """Round-robin regression of every gap column on the others: step, feature, intercept, weights.
-
-    Starts from the column means; columns with fewer gaps go first. Each
-    regression needs two aggregates; the small solve runs on the driver.
-    """
-    first = df.agg(*(F.avg(col(c).cast("double")) for c in columns), *(F.avg(col(c).isNull().cast("double")) for c in columns),
-                   *(F.max(F.abs(col(c).cast("double"))) for c in columns)).first()
-    k = len(columns)
-    means, shares, sizes = first[:k], first[k: 2 * k], first[2 * k:]
-    gaps = sorted((c for i, c in enumerate(columns) if shares[i] and means[i] is not None), key=lambda c: (shares[columns.index(c)], c))
-    mean_of = {c: float(means[i]) if means[i] is not None else 0.0 for i, c in enumerate(columns)}
-    flags = [col(c).isNotNull().alias(f"_has_{i}") for i, c in enumerate(columns)]
-    current = cut_lineage(df.select(*flags, *(F.coalesce(col(c).cast("double"), F.lit(mean_of[c])).alias(c) for c in columns)))
-    steps: list[tuple] = [(0, c, mean_of[c], [], []) for c in columns]
-    scale = tol * max((s or 0.0) for s in sizes) if k else 0.0
-    for r in range(1, rounds + 1 if gaps and k > 1 else 1):
-        biggest = 0.0
-        for c in gaps:
-            inputs = [o for o in columns if o != c]
-            known = F.col(f"_has_{columns.index(c)}")
-            n, mean, gram = _moments(current, c, inputs, known)
-            w = bayesian_ridge(n, gram)
-            intercept = float(mean[-1] - w @ mean[:-1])
-            guess = sum((F.lit(float(b)) * col(o) for o, b in zip(inputs, w)), F.lit(intercept))
-            moved = current.withColumn("_new", F.when(known, col(c)).otherwise(guess))
-            change = moved.agg(F.max(F.abs(F.col("_new") - col(c)))).first()[0]
-            biggest = max(biggest, change or 0.0)
-            current = cut_lineage(_replace(moved, {c: F.col("_new")}).drop("_new"))
-            steps.append((len(steps), c, intercept, inputs, [float(b) for b in w]))
-        if biggest < scale:
-            break
-    return df.sparkSession.createDataFrame(steps, "step int, feature string, intercept double, inputs array<string>, weights array<double>")
-
-
-def iterative_impute_apply(df: DataFrame, state: DataFrame, columns: list[str]) -> DataFrame:
-    """Replay the fitted steps as projections."""
-    steps = state.orderBy("step").collect()
-    marks = {c: f"_gap_{i}" for i, c in enumerate(columns)}
-    start = {s["feature"]: s["intercept"] for s in steps if not s["inputs"]}
-    out = df.withColumns({m: col(c).isNull() for c, m in marks.items()})
-    out = _replace(out, {c: F.coalesce(col(c).cast("double"), F.lit(start.get(c, 0.0))) for c in columns})
-    for s in (s for s in steps if s["inputs"]):
-        guess = sum((F.lit(w) * col(o) for o, w in zip(s["inputs"], s["weights"])), F.lit(s["intercept"]))
-        out = _replace(out, {s["feature"]: F.when(col(marks[s["feature"]]), guess).otherwise(col(s["feature"]))})
-    return out.drop(*marks.values())
-
-
 # ---- whole preprocessor ---------------------------------------------------
 
 class Preprocessor:
