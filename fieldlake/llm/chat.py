@@ -161,6 +161,27 @@ def read_back(text: Column) -> Column:
     ))
 
 
+def learned_texts(text: Column, mask: Column) -> Column:
+    """The unescaped texts that a mask cuts out of a formatted text, in order; an error where a cut leaves its turn.
+
+    Each cut is made inside the piece of its turn, whose place follows from the text alone, so all take time in
+    proportion to the text.
+    """
+    pieces = F.split(text, "<\\|im_end\\|>\n")
+    # structs in one-element arrays, so that the text is split once and not per cut
+    sized = F.transform(F.array(F.struct(pieces.alias("p"), mask.alias("m"))), lambda x: F.struct(
+        x["p"].alias("p"), x["m"].alias("m"), running_sums(F.transform(x["p"], lambda p: (F.length(p) + (len(END) + 1)).cast("bigint"))).alias("at")
+    ))
+
+    def cut(x: Column, m: Column) -> Column:
+        piece, at = F.get(x["p"], m["turn"]), F.get(x["at"], m["turn"])
+        inside = (m["start"] >= at + len(START)) & (m["start"] <= m["end"]) & (m["end"] <= at + F.length(piece))
+        text = F.substring(piece, (m["start"] - at + 1).cast("int"), (m["end"] - m["start"]).cast("int"))
+        return F.when(inside, unescape(text)).otherwise(F.raise_error(F.lit("the loss mask leaves its turn")))
+
+    return F.transform(sized, lambda x: F.transform(x["m"], lambda m: cut(x, m)))[0]
+
+
 def gathered(rows: DataFrame) -> DataFrame:
     """Turn rows (conv_id, turn, role, text) as records: conv_id and turns, in order."""
     turn = F.struct(
@@ -174,10 +195,9 @@ def format_digests(records: DataFrame) -> DataFrame:
     """Digests of formatted records, all read back from ``formatted`` and ``loss_mask``."""
     got = records.withColumn("_back", read_back(F.col("formatted")))
     got = got.withColumn("_plain", F.transform("_back", lambda x: F.struct(x["role"].alias("role"), unescape(x["body"]).alias("text"))))
-    fits = lambda m: F.length(F.get("_back", m["turn"])["body"]) == m["end"] - m["start"]
-    learned = F.array_join(F.transform("loss_mask", lambda m: F.when(fits(m), F.get("_plain", m["turn"])["text"])), "")
+    got = got.withColumn("_learned", F.array_join(learned_texts(F.col("formatted"), F.col("loss_mask")), ""))
     whole = F.array_join(F.transform("_plain", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    return got.withColumn("_learned", learned).select(
+    return got.select(
         "conv_id", F.size("_back").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
         F.length("_learned").cast("bigint").alias("loss_chars"), F.sha2("_learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"), "layout",

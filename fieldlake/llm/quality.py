@@ -1,7 +1,8 @@
 """Text quality by positive-unlabelled learning.
 
-Trusted positives are rows labelled 1; unlabelled text is a mixture of good and
-bad with a class prior that is estimated, too. A logistic scorer over binned
+Trusted positives are rows labelled 1. All text, whatever its label, stands for
+the unlabelled mixture of good and bad, whose class prior is estimated, too; so
+the mixture stays whole however many rows are labelled. A logistic scorer over binned
 surface features minimises the non-negative unbiased risk
 
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])
@@ -10,8 +11,8 @@ The prior is the best bin's: a first scorer tells positives from unlabelled, and
 the least ratio of unlabelled to positive shares above a score, with a margin
 for chance, bounds the share of positives among the unlabelled.
 
-The fit uses at most ``POSITIVES`` labelled and ``UNLABELLED`` unlabelled rows,
-chosen by hash of the id; every text is scored whole.
+The fit uses at most ``POSITIVES`` labelled and ``UNLABELLED`` unlabelled ids,
+chosen by hash, with one text each; every text is scored whole.
 
 Defined cases: a null text is an empty one and is scored; without any positive
 or unlabelled row all scores are 0.5; an id with several labels takes the lowest;
@@ -168,9 +169,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_name: str =
     ids = docs.select(col(id_name).alias("_id")).filter("_id IS NOT NULL").distinct()
     by_hash = lambda df, n: df.orderBy(F.xxhash64("_id"), "_id").limit(n)
     good = by_hash(ids.join(known.filter("_y = 1"), "_id", "left_semi"), POSITIVES).withColumn("_p", F.lit(True))
-    open_ = by_hash(ids.join(known, "_id", "left_anti"), UNLABELLED).withColumn("_p", F.lit(False))
+    open_ = by_hash(ids, UNLABELLED).withColumn("_p", F.lit(False))
     chosen = F.broadcast(good.unionByName(open_))  # at most POSITIVES + UNLABELLED ids
     rows = docs.select(col(id_name).alias("_id"), col(text).cast("string").alias("_t")).join(chosen, "_id")
+    rows = rows.groupBy("_id", "_p").agg(F.min("_t").alias("_t"))  # one row per id, however often it repeats
     found = with_features(rows, "_t", ["_id", "_p"]).toArrow()
     x = np.array(found.column("features").combine_chunks().values.to_numpy()).reshape(found.num_rows, -1) if found.num_rows else np.zeros((0, 1))
     order = np.argsort(found.column("_id").to_numpy(), kind="stable")

@@ -35,7 +35,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 IDENT = r"""(?i:\b(?:user(?:_?name|_?id)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9@._-]{3,})"""
-ENDPOINT = r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s"'<>]*)?|(?i:\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"""
+# possessive: a repeated group that may give back would take stack for every label
+ENDPOINT = r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s"'<>]*)?|(?i:\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"""
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"

@@ -11,9 +11,10 @@ down. A record's header is parsed first; a record that the predicates reject, or
 any block when ``payload`` is ``false``, is skipped by seeking, not decoded.
 
 With ``compression`` ``gzip`` each record is a gzip member whose extra field ``SL`` holds the member's length, so
-records are skipped without inflating them; members without it are read in sequence.
+records are skipped without inflating them; from the first member without it on, a file is read in sequence.
 
-Paths may be on any file system that pyarrow opens by URI.
+Paths may be on any file system that pyarrow opens by URI. A folder with manifests holds what they list; other files in
+it are leftovers of lost tasks and are not read, unless the option ``unlisted`` is ``true``.
 
 Defined cases: a null payload is an empty one; a null header value leaves the
 header out and reads back as null; line breaks in header values are written
@@ -183,6 +184,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
         self.payload = str(options.get("payload", "true")).lower() != "false"
+        self.unlisted = str(options.get("unlisted", "false")).lower() == "true"
         self.batch_bytes = int(options.get("batch_bytes", 8 << 20))
         self.tests: list[tuple[str, str, object]] = []
 
@@ -206,11 +208,14 @@ class _Reader(DataSourceReader):
         manifests = [x.path for x in found if x.base_name.startswith("manifest-")]
         if not manifests:
             return [_Split(x.path, 0, None) for x in found if x.base_name.endswith((".warc", ".warc.gz"))] or [_Split("", 0, 0)]
-        splits = []
+        splits, listed = [], set()
         for path in manifests:
             with system.open_input_stream(path) as f:
                 for name, starts, size in json.loads(f.read()):
+                    listed.add(name)
                     splits += [_Split(f"{folder}/{name}", a, b) for a, b in zip(starts, [*starts[1:], size])]
+        if self.unlisted:
+            splits += [_Split(x.path, 0, None) for x in found if x.base_name.endswith((".warc", ".warc.gz")) and x.base_name not in listed]
         return splits or [_Split("", 0, 0)]  # nothing to read
 
     def wanted(self, row: dict) -> bool:
@@ -246,7 +251,10 @@ class _Reader(DataSourceReader):
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     def members(self, source) -> Iterator[dict]:
-        """Records in members with known lengths: only the beginning is inflated unless the record is wanted."""
+        """Records in members with known lengths, of which only the beginning is inflated unless the record is wanted.
+
+        From the first member without a length on all are read in sequence.
+        """
         while (place := _member(source)) is not None:
             begin, end = place
             unpack = zlib.decompressobj(-15)
@@ -261,6 +269,8 @@ class _Reader(DataSourceReader):
             source.seek(begin)
             yield from self.records(io.BytesIO(zlib.decompress(source.read(end - 8 - begin), -15)))
             source.seek(end)
+        # members of another writer follow, or nothing
+        yield from self.records(gzip.GzipFile(fileobj=source))
 
     def header(self, source) -> tuple[dict, int] | None:
         """The next record's header columns and the length of its block."""

@@ -128,6 +128,18 @@ def test_quality_of_held_out_rows(spark):
     assert np.mean([r.predicted for r in own if truth[r.doc_id] == 1]) > 0.97
 
 
+def test_quality_with_every_row_labelled(spark):
+    """Rows labelled 0 belong to the unlabelled mixture, so there is something to learn from; repeated ids count once."""
+    rng = np.random.default_rng(3)
+    words = ["the", "rain", "falls", "on", "green", "hills", "and", "rivers"]
+    rows = [(i, " ".join(rng.choice(words, 40)) + "." if i % 2 else "$$$ !!! BUY 1234 " * 10, i % 2) for i in range(400)] + [(1, "the rain", 1)] * 500
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows[:400]], "doc_id bigint, quality int")
+    found = quality.quality_scores(docs, labels).collect()
+    own = [r for r in found if r.held_out]
+    assert cases.auc([r.doc_id % 2 for r in own], [r.score for r in own]) > 0.95 and {r.predicted for r in own} == {0, 1}
+
+
 def test_quality_of_odd_and_empty_tables(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (7, None), (9, 1), (10, 1)], "doc_id bigint, quality int")
     rows = quality.quality_scores(cases.odd_documents(spark), labels).collect()

@@ -90,6 +90,21 @@ def test_odd_turns_read_back(spark):
     assert chat.format_digests(chat.formatted(chat.with_turns(chat.gathered(frame.limit(0)), ignore=("conv_id",)))).count() == 0
 
 
+def test_the_learned_text_is_cut_by_the_mask(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "question"), (1, 1, "assistant", "a long enough <s> answer")], "conv_id bigint, turn bigint, role string, text string")
+    made = chat.formatted(chat.with_turns(chat.gathered(rows), ignore=("conv_id",)))
+
+    def moved(by_start, by_end):
+        shift = F.transform("loss_mask", lambda m: F.struct(m["turn"].alias("turn"), (m["start"] + by_start).alias("start"), (m["end"] + by_end).alias("end")))
+        return chat.format_digests(made.withColumn("loss_mask", shift)).first()
+
+    assert moved(0, 0).loss_sha256 == cases.sha("a long enough <s> answer")
+    assert moved(2, 0).loss_sha256 == cases.sha("long enough <s> answer")
+    assert moved(-3, -3).loss_sha256 != moved(0, 0).loss_sha256
+    with pytest.raises(Exception, match="mask"):
+        moved(7, 7)
+
+
 def test_running_sums_and_spans(spark):
     values = list(range(1, 700))
     row = spark.createDataFrame([(values, [], "abXcdXX" * 400)], "v array<bigint>, e array<bigint>, t string").select(
@@ -135,3 +150,20 @@ def test_foreign_gzip_and_empty_archives(spark, tmp_path):
     assert [bytes(r.payload) for r in warc.read_warc(spark, str(tmp_path / "f")).collect()] == [b"hello"] * 3
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.archive_pages(pages).count() == 0
+
+
+def test_archives_of_several_writers_are_read_whole(spark, tmp_path):
+    import gzip
+
+    row = dict.fromkeys(warc._ARROW.names) | {"record_type": "response", "record_id": "r", "payload": b"hello", "date": "d"}
+    own = spark.createDataFrame([(i, "u", f"page {i}") for i in range(3)], "page_id bigint, url string, html string")
+    warc.write_warc(warc.page_records(own).coalesce(1), str(tmp_path / "own"), compression="gzip")
+    mine = b"".join(p.read_bytes() for p in sorted((tmp_path / "own").glob("*.warc.gz")))
+    (tmp_path / "mixed").mkdir()
+    (tmp_path / "mixed" / "a.warc.gz").write_bytes(mine + gzip.compress(warc.record_bytes(row)) * 5 + mine)
+    read = warc.read_warc(spark, str(tmp_path / "mixed"))
+    assert read.count() == 11 and read.filter("record_id = 'r'").count() == 5
+    assert warc.read_warc(spark, str(tmp_path / "mixed"), payload="false").count() == 11
+    (tmp_path / "own" / "late.warc.gz").write_bytes(gzip.compress(warc.record_bytes(row)))
+    assert warc.read_warc(spark, str(tmp_path / "own")).count() == 3
+    assert warc.read_warc(spark, str(tmp_path / "own"), unlisted="true").count() == 4

@@ -46,6 +46,16 @@ def test_weak_parts_need_their_complements(spark):
     assert scan_secrets(cases.odd_documents(spark)).count() == 13
 
 
+def test_long_runs_of_every_piece(spark):
+    pieces = ["a.", "-", "x@", "password=abcdef ", "AKIA", "0f", "user=b ", "https://a", "/", ":1", "host=", "Ab1/", "_", "é", '"', "= "]
+    docs = spark.createDataFrame([(i, p) for i, p in enumerate(pieces)], "doc_id bigint, p string").repartition(8)
+    for head in ("host=", "user=", "https://"):
+        found = scan_secrets(docs.select("doc_id", F.concat(F.lit(head), F.repeat("p", 20_000)).alias("text")))
+        assert found.count() == len(pieces)
+    one = spark.range(1).select(F.lit(1).alias("doc_id"), F.concat(F.lit("user: alice password=hunter22 host="), F.repeat(F.lit("a."), 1_000_000), F.lit("b")).alias("text"))
+    assert [KINDS[s.kind] for s in scan_secrets(one).first().spans] == ["ident", "assign", "endpoint"]
+
+
 def targets(sizes, weights=(1, 2, 3)):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     w = {s: weights[i % 3] for i, s in enumerate(names)}
