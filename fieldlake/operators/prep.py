@@ -6,8 +6,6 @@ the table into literals of a projection: no join, no shuffle, any row count.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +13,12 @@ from fieldlake.config import TERRAIN_NAMES, ModelConfig, in_family
 from fieldlake.functions.features import doy_sin
 from fieldlake.naming import col
 from fieldlake.operators.impute import iterative_impute_apply, iterative_impute_fit
+from fieldlake.operators.neighbours import knn_impute
 from fieldlake.operators.order import GATHER_LIMIT, column_quantiles
 from fieldlake.operators.profile import numeric_columns
 from fieldlake.session import at_most, cut_lineage
 
 MAX_LEVELS = 20_000
-KNN_CHUNK = 4096
 
 
 def _replace(df: DataFrame, made: dict[str, Column]) -> DataFrame:
@@ -196,101 +194,6 @@ def assert_no_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-# ---- nearest-neighbour imputation -----------------------------------------
-
-def _top_donors(columns: list[str], context: list[str], row_id: str, k: int):
-    """Grouped function on one (gap chunk, donor chunk): k best donors per gap row and column."""
-    axes = [*columns, *context]
-
-    def best(gaps: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        out = {row_id: [], "feature": [], "donor": [], "distance": [], "value": []}
-        if len(gaps) and len(donors):
-            donors = donors.sort_values(row_id)
-            b, ids = donors[axes].to_numpy(dtype=float), donors[row_id].to_numpy()
-            known_b = ~np.isnan(b)
-            filled_b = np.where(known_b, b, 0.0)
-            for start in range(0, len(gaps), 256):
-                part = gaps.iloc[start: start + 256]
-                a = part[axes].to_numpy(dtype=float)
-                known_a = ~np.isnan(a)
-                shared = known_a.astype(float) @ known_b.T.astype(float)
-                total = np.zeros(shared.shape)
-                for j in range(len(axes)):
-                    both = known_a[:, j, None] & known_b[None, :, j]
-                    total += np.where(both, np.square(np.where(known_a[:, j], a[:, j], 0.0)[:, None] - filled_b[None, :, j]), 0.0)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    distance = np.where(shared > 0, total * len(axes) / shared, np.nan)
-                for r, gap_id in enumerate(part[row_id].to_numpy()):
-                    for j, name in enumerate(columns):
-                        if known_a[r, j]:
-                            continue
-                        usable = np.flatnonzero(known_b[:, j] & ~np.isnan(distance[r]))
-                        if len(usable) > k:
-                            edge = np.partition(distance[r, usable], k - 1)[k - 1]
-                            usable = usable[distance[r, usable] <= edge]
-                        nearest = usable[np.argsort(distance[r, usable], kind="stable")[:k]]
-                        for d in nearest:
-                            out[row_id].append(gap_id)
-                            out["feature"].append(name)
-                            out["donor"].append(ids[d])
-                            out["distance"].append(distance[r, d])
-                            out["value"].append(b[d, j])
-        return pd.DataFrame(out)
-
-    return best
-
-
-def knn_impute(
-    df: DataFrame, columns: list[str], context: list[str], row_id: str, block: list[str] | None = None,
-    k: int = 5, donors: DataFrame | None = None, chunk: int = KNN_CHUNK,
-) -> DataFrame:
-    """Fill gaps with the mean of the k nearest donors of the same block.
-
-    Distance is Euclidean over the coordinates both rows know, scaled up by the
-    share known; ties go to the smaller id. A gap without usable donors in its
-    block takes the mean of the column in ``donors``.
-
-    Rows meet chunk by chunk: every task holds one gap chunk and one donor
-    chunk of bounded size, and passes on only k candidates per gap and column.
-    A block of any size is thus searched whole, over many tasks.
-    """
-    pool = donors if donors is not None else df
-    block = block or []
-    axes = list(dict.fromkeys([*columns, *context]))
-    slim = lambda d: d.select(col(row_id), *map(col, block), *(col(c).cast("double").alias(c) for c in axes))
-    has_gap = ~F.lit(True)
-    for c in columns:
-        has_gap = has_gap | col(c).isNull()
-    gaps, pool_rows = slim(df.filter(has_gap)), slim(pool)
-    key = F.concat_ws("\x1f", F.lit("b"), *(_level(b) for b in block))
-    gaps, pool_rows = gaps.withColumn("_block", key), pool_rows.withColumn("_block", key)
-
-    def chunks_of(rows: DataFrame, name: str) -> DataFrame:
-        size = F.ceil(F.count("*") / F.lit(chunk)).cast("int")
-        return rows.groupBy("_block").agg(size.alias(name))
-
-    counts = chunks_of(gaps, "_ng").join(chunks_of(pool_rows, "_nd"), "_block")
-    counts = F.broadcast(counts) if at_most(counts, MAX_LEVELS) else counts
-    place = lambda n: F.pmod(F.xxhash64(col(row_id)), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = gaps.join(counts, "_block").withColumn("_g", place("_ng")).withColumn("_d", upto("_nd"))
-    right = pool_rows.join(counts, "_block").withColumn("_d", place("_nd")).withColumn("_g", upto("_ng"))
-    # Both sides may come from one frame; new column ids keep the grouping unambiguous.
-    right = right.select(*(col(c).alias(c) for c in right.columns))
-    cell = ["_block", "_g", "_d"]
-    id_type = dict(df.dtypes)[row_id]
-    schema = f"`{row_id}` {id_type}, feature string, donor {id_type}, distance double, value double"
-    best = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_top_donors(columns, context, row_id, k), schema)
-    order = Window.partitionBy(col(row_id), "feature").orderBy("distance", "donor")
-    kept = best.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
-    means = kept.groupBy(col(row_id), "feature").agg(F.avg("value").alias("value"))
-    wide = means.groupBy(col(row_id)).agg(*(F.max(F.when(F.col("feature") == c, F.col("value"))).alias(f"_f_{c}") for c in columns))
-    overall = pool.agg(*(F.avg(col(c).cast("double")).alias(c) for c in columns)).first()
-    filled = df.join(wide, row_id, "left")
-    made = {c: F.coalesce(col(c).cast("double"), col(f"_f_{c}"), F.lit(overall[i])) for i, c in enumerate(columns)}
-    return filled.select(*(made[c].alias(c) if c in made else col(c) for c in df.columns))
-
-
 # ---- whole preprocessor ---------------------------------------------------
 
 class Preprocessor:
@@ -347,9 +250,8 @@ class Preprocessor:
             if fitting:
                 self.donors = cut_lineage(coded.select(col(self.row_id), *map(col, [*plants, *context])))
                 self.state["donors"] = self.donors
-            if plant_gaps:
-                donors = self.state["donors"]
-                coded = knn_impute(coded, plants, context, self.row_id, donors=donors)
+            if plant_gaps:  # read several times by the search and by the steps after it
+                coded = cut_lineage(knn_impute(cut_lineage(coded), plants, context, self.row_id, donors=self.state["donors"]))
             out = coded.drop(*context)
         elif plants:
             out = median_impute_apply(out, self._fitted("plants", fitting, lambda: median_impute_fit(out, plants, self.limit)))

@@ -94,6 +94,19 @@ def neighbour_imputed_rows(t: Tables) -> DataFrame:
     return _round(out.select("row_id", "x2", "x3", "x4"), ["x2", "x4"])
 
 
+@query("neighbour_imputed_unblocked", ctes(MODEL_SQL,
+"""g AS (SELECT DISTINCT x1, x3 FROM (SELECT round(x1, 0) AS x1, x3, x4 FROM model) WHERE x4 IS NULL)""",
+"""c AS (SELECT g.x1, g.x3, b.x4, (coalesce(pow(g.x1 - b.x1, 2), 0) + pow(g.x3 - b.x3, 2)) * 3 / ((g.x1 IS NOT NULL AND b.x1 IS NOT NULL)::INT + 1) AS d, b.row_id AS donor
+  FROM g JOIN (SELECT row_id, round(x1, 0) AS x1, x3, x4 FROM model WHERE x4 IS NOT NULL) b ON true)""",
+"f AS (SELECT x1, x3, avg(x4) AS v FROM (SELECT *, row_number() OVER (PARTITION BY x1, x3 ORDER BY d, donor) AS r FROM c) WHERE r <= 5 GROUP BY 1, 2)")
+ + """SELECT m.row_id, round(m.x1, 0) AS x1, m.x3, round(coalesce(m.x4, f.v), 6) AS x4 FROM model m
+LEFT JOIN f ON f.x1 IS NOT DISTINCT FROM round(m.x1, 0) AND f.x3 = m.x3""")
+def neighbour_imputed_unblocked(t: Tables) -> DataFrame:
+    """One block: every gap is searched among all rows."""
+    rows = model_rows(t).select("row_id", F.round("x1", 0).alias("x1"), "x3", "x4")
+    return _round(P.knn_impute(rows, ["x4"], ["x1", "x3"], "row_id"), ["x4"])
+
+
 @query("iterative_imputed_rows")
 def iterative_imputed_rows(t: Tables) -> DataFrame:
     rows = model_rows(t).select("row_id", *_X)

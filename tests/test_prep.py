@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldlake.config import ModelConfig
 from fieldlake.operators import impute as I
+from fieldlake.operators import neighbours as N
 from fieldlake.operators import prep as P
 
 
@@ -76,6 +77,33 @@ def test_neighbours_equal_brute_force(spark, chunk):
             assert out[i][name] == pytest.approx(want)
 
 
+def test_unblocked_neighbours_visit_few_chunks(spark):
+    """Equal to all pairs with ties, repeated rows, text ids and donors of several patterns; far fewer rows are met."""
+    rng = np.random.default_rng(4)
+    data = np.round(rng.normal(size=(1500, 3)) * 20) / 2
+    data[rng.random(1500) < 0.1, 0] = np.nan
+    data[rng.random(1500) < 0.05, 2] = np.nan
+    data[1000:1300] = data[0]
+    ids = [f"r{i:05d}" for i in range(len(data))]
+    frame = spark.createDataFrame([(i, *[None if math.isnan(v) else float(v) for v in r]) for i, r in zip(ids, data)], "row_id string, a double, b double, c double")
+    out = {r["row_id"]: r for r in P.knn_impute(frame, ["a"], ["b", "c"], "row_id", chunk=32).collect()}
+    for i in np.flatnonzero(np.isnan(data[:, 0])):
+        assert out[ids[i]]["a"] == pytest.approx(brute_knn(data, i, 0)), i
+    assert all(out[ids[i]]["a"] == data[i, 0] for i in np.flatnonzero(~np.isnan(data[:, 0])))
+    chunks = N.donor_chunks(frame, "row_id", [], ["a", "b", "c"], 5, 32)
+    assert chunks.groupBy("chunk").count().agg(F.max("count")).first()[0] <= 32
+    assert chunks.groupBy("chunk").agg(F.countDistinct("_pattern").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert chunks.filter("_a0 is not null").count() < 1300  # of equal donors the five smallest ids stay
+
+
+def test_neighbours_of_odd_tables(spark):
+    schema = "row_id bigint, blk string, a double, b double"
+    frame = spark.createDataFrame([(1, "x", None, 1.0), (2, "x", 5.0, None), (3, None, 7.0, 1.0), (4, None, float("nan"), 1.0), (5, "y|", None, None)], schema)
+    out = {r["row_id"]: r["a"] for r in P.knn_impute(frame, ["a"], ["b"], "row_id", ["blk"]).collect()}
+    assert out == {1: 6.0, 2: 5.0, 3: 7.0, 4: 7.0, 5: 6.0}  # without usable donors: the column's mean
+    assert P.knn_impute(frame.limit(0), ["a"], ["b"], "row_id", ["blk"]).count() == 0
+
+
 def test_bayesian_ridge_finds_a_line():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 2))
