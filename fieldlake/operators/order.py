@@ -1,20 +1,27 @@
 """Exact quantiles and ranks of whole columns.
 
 A column's order statistics must not gather the column in one task. Quantiles
-narrow a bracket round the wanted rank by counting; ranks come from counts per
-distinct value, cut into value slices.
+are found by counting leading bits; ranks come from counts per distinct value,
+cut into value slices.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlake.naming import col
-from fieldlake.session import cut_lineage, salted_join
+from fieldlake.session import at_most, cut_lineage, salted_join
 
-GATHER_LIMIT = 1_000_000
-BINS_PER_PASS = 1024
+RADIX_BITS = 11
+BROADCAST_ROWS = 10_000
+SHIFTS = [max(0, 64 - RADIX_BITS * i) for i in range(1, 7)]  # bits still unknown after each pass
 HOT_SHARE = 1000  # a value is hot when it holds more than 1/1000 of its group
 
 
@@ -27,97 +34,125 @@ def unpivot(df: DataFrame, columns: list[str], ids: list[str] | None = None, nam
 
 
 # ---- quantiles ------------------------------------------------------------
+#
+# The bits of a double, with those of negative numbers turned over, are whole
+# numbers in the order of the doubles. A wanted rank is found by their leading
+# bits, RADIX_BITS more in each pass: count the rows per value of the next bits
+# among those that share the bits found so far, and take the value that holds
+# the rank. Six passes settle any column, whatever its range or ties.
 
-def grouped_quantiles(
-    long: DataFrame, keys: list[str], value: str, probs: list[float], limit: int = GATHER_LIMIT
-) -> DataFrame:
-    """Exact quantiles (linear interpolation) per group: keys, p, value.
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """64-bit integers in the order of the doubles; both zeros are one."""
+    bits = (x + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
 
-    Groups of up to ``limit`` rows are gathered by ``percentile``. Otherwise
-    each pass counts rows in equal parts of the bracket and keeps the parts
-    holding the wanted ranks, until a bracket is small or is a single value.
-    """
-    if not keys:
-        raise ValueError("name at least one key column")
-    data = long.select(*map(col, keys), col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    sizes = data.groupBy(*map(col, keys)).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    grid = F.array(*(F.lit(float(p)) for p in probs))
-    sizes = cut_lineage(sizes)
-    biggest = sizes.agg(F.max("_n")).first()[0]
-    if biggest is None or biggest <= limit:
-        picked = data.groupBy(*map(col, keys)).agg(F.percentile("_v", grid).alias("_q"))
-        return picked.select(*map(col, keys), F.posexplode("_q").alias("_i", "value")).select(
-            *map(col, keys), F.element_at(grid, F.col("_i") + 1).alias("p"), "value"
-        )
-    return _narrowed_quantiles(data, sizes, keys, grid, limit)
 
+def from_ordered_bits(o: np.ndarray) -> np.ndarray:
+    return (o ^ ((o >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)
 
-def _order_key(v: Column) -> Column:
-    """A number that grows with ``v`` and spreads magnitudes evenly: about the exponent, signed."""
-    return F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * (F.log2(F.abs(v)) + F.lit(1100.0)))
 
+def _between(p: float, n: int) -> tuple[int, int, float]:
+    """The two ranks a quantile lies between, and how far on its way."""
+    place = p * (n - 1)
+    return math.floor(place), math.ceil(place), place - math.floor(place)
 
-def _narrowed_quantiles(data: DataFrame, sizes: DataFrame, keys: list[str], grid: Column, limit: int) -> DataFrame:
-    """Each wanted rank has a bracket of its own, so the part that holds it always excludes one end of the bracket.
 
-    Passes alternate between parts equal in magnitude and parts equal in value: the first leaves at most a few
-    powers of two, each of the others takes ten of the 53 bits of a double, whatever the data.
-    """
+def grouped_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Exact quantiles (linear interpolation) per group: keys, p, value. Nulls and NaN are left out."""
+    if not keys:
+        raise ValueError("name at least one key column")
+    data = long.select(*map(col, keys), col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    group = list(map(col, keys))
+    data = cut_lineage(_swapped(data, "_v", "_o", T.LongType(), ordered_bits))
+    counts = cut_lineage(data.groupBy(*group, F.shiftright("_o", SHIFTS[0]).alias("_p")).agg(F.count("*").alias("_c")))
     place = F.col("p") * (F.col("_n") - 1)
-    wanted = cut_lineage(sizes.withColumn("p", F.explode(grid)).select(
-        *map(col, keys), "p", "_lo", "_hi", F.floor(place).alias("_k0"), F.ceil(place).alias("_k1"), (place - F.floor(place)).alias("_f"), "_n"
+    sizes = counts.groupBy(*group).agg(F.sum("_c").alias("_n"))
+    wanted = cut_lineage(sizes.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in probs)))).select(
+        *group, "p", F.floor(place).alias("_k0"), F.ceil(place).alias("_k1"), (place - F.floor(place)).alias("_f")
     ))
-    group = [*keys, "_k"]
-    brackets = wanted.withColumn("_k", F.explode(F.array_distinct(F.array("_k0", "_k1")))).select(
-        *map(col, group), "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_in")
-    ).distinct()
-    running = Window.partitionBy(*map(col, group)).orderBy("_bin")
-    turn = 0
-    while True:
-        todo = brackets.filter((F.col("_in") > limit) & (F.col("_lo") < F.col("_hi")))
-        if todo.isEmpty():
-            break
-        inside = _inside(data, todo, keys)
-        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-        if turn % 2 == 0:
-            low, high = _order_key(F.col("_lo")), _order_key(F.col("_hi"))
-            share = F.when(high > low, F.try_divide(_order_key(F.col("_v")) - low, high - low)).otherwise(share)
-        turn += 1
-        counted = inside.withColumn("_bin", F.least(F.floor(share * BINS_PER_PASS), F.lit(BINS_PER_PASS - 1))).groupBy(
-            *map(col, group), "_bin"
-        ).agg(F.count("*").alias("_c"), F.min("_v").alias("_vlo"), F.max("_v").alias("_vhi"), F.first("_below").alias("_b"))
-        ranked = counted.withColumn("_through", F.col("_b") + F.sum("_c").over(running))
-        holds = (F.col("_through") > F.col("_k")) & (F.col("_through") - F.col("_c") <= F.col("_k"))
-        tight = ranked.filter(holds).select(
-            *map(col, group), F.col("_vlo").alias("_nlo"), F.col("_vhi").alias("_nhi"),
-            (F.col("_through") - F.col("_c")).alias("_nbelow"), F.col("_c").alias("_nin"),
-        )
-        brackets = cut_lineage(brackets.join(tight, group, "left").select(
-            *map(col, group), F.coalesce("_nlo", "_lo").alias("_lo"), F.coalesce("_nhi", "_hi").alias("_hi"),
-            F.coalesce("_nbelow", "_below").alias("_below"), F.coalesce("_nin", "_in").alias("_in"),
-        ))
-    flat = brackets.filter(F.col("_lo") == F.col("_hi")).select(*map(col, group), F.col("_lo").alias("_at"))
-    values = _inside(data, brackets.filter(F.col("_lo") < F.col("_hi")), keys).groupBy(*map(col, group), "_v").agg(
-        F.count("*").alias("_c"), F.first("_below").alias("_below")
-    )
-    by_value = Window.partitionBy(*map(col, group)).orderBy("_v")
-    ranked = values.withColumn("_through", F.col("_below") + F.sum("_c").over(by_value))
-    met = ranked.filter((F.col("_through") > F.col("_k")) & (F.col("_through") - F.col("_c") <= F.col("_k")))
-    at = cut_lineage(met.select(*map(col, group), F.col("_v").alias("_at")).unionByName(flat))
-    low, high = (at.select(*map(col, keys), F.col("_k").alias(k), F.col("_at").alias(v)) for k, v in (("_k0", "_a"), ("_k1", "_z")))
+    ranks = wanted.select(*group, F.explode(F.array("_k0", "_k1")).alias("_k")).distinct()
+    state = ranks.withColumns({"_prefix": F.lit(0).cast("bigint"), "_below": F.lit(0).cast("bigint")})
+    counts = counts.withColumn("_prefix", F.lit(0).cast("bigint"))
+    for before, shift in zip([None, *SHIFTS], SHIFTS):
+        if before is not None:
+            marked, open_ = data.withColumn("_prefix", F.shiftright("_o", before)), state.select(*group, "_prefix").distinct()
+            on = [*keys, "_prefix"]
+            inside = marked.join(F.broadcast(open_), on, "left_semi") if at_most(open_, BROADCAST_ROWS) else salted_join(marked, open_, on, "left_semi")
+            counts = inside.groupBy(*group, "_prefix", F.shiftright("_o", shift).alias("_p")).agg(F.count("*").alias("_c"))
+        running = F.sum("_c").over(Window.partitionBy(*group, "_prefix").orderBy("_p"))
+        met = counts.withColumn("_t", running).join(state, [*keys, "_prefix"])
+        holds = (F.col("_below") + F.col("_t") > F.col("_k")) & (F.col("_below") + F.col("_t") - F.col("_c") <= F.col("_k"))
+        state = cut_lineage(met.filter(holds).select(*group, "_k", F.col("_p").alias("_prefix"), (F.col("_below") + F.col("_t") - F.col("_c")).alias("_below")))
+    found = _swapped(state.drop("_below"), "_prefix", "_at", T.DoubleType(), from_ordered_bits)
+    low, high = (found.select(*group, F.col("_k").alias(k), F.col("_at").alias(v)) for k, v in (("_k0", "_a"), ("_k1", "_z")))
     both = wanted.join(low, [*keys, "_k0"]).join(high, [*keys, "_k1"])
     spot = (F.lit(1.0) - F.col("_f")) * F.col("_a") + F.col("_f") * F.col("_z")
-    return both.select(*map(col, keys), "p", F.when(F.col("_f") == 0, F.col("_a")).otherwise(spot).alias("value"))
+    return both.select(*group, "p", F.when(F.col("_f") == 0, F.col("_a")).otherwise(spot).alias("value"))
 
 
-def _inside(data: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows inside each bracket. Brackets are a few rows per group; groups may be hot, so salt."""
-    return salted_join(data, brackets, keys).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+def _swapped(df: DataFrame, old: str, new: str, kind: T.DataType, work: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """A column without nulls replaced by what is made of its values, batch by batch."""
+    names = df.columns
+    schema = T.StructType([T.StructField(new, kind) if f.name == old else f for f in df.schema.fields])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(work(batch.column(i).to_numpy(zero_copy_only=False))) if n == old else batch.column(i) for i, n in enumerate(names)], names=schema.names
+            )
 
-def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], limit: int = GATHER_LIMIT) -> DataFrame:
-    """Exact quantiles of many columns: feature, p, value. Columns without values give no rows."""
-    return grouped_quantiles(unpivot(df, columns), ["feature"], "x", probs, limit)
+    return df.mapInArrow(run, schema)
+
+
+def _pass(wide: DataFrame, wanted: list[np.ndarray], before: int | None, shift: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per column the next prefixes of values whose prefix is wanted, in order, and their counts: at most 2^RADIX_BITS per wanted prefix."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for f in range(len(wanted)):
+                x = batch.column(f).to_numpy(zero_copy_only=False)
+                o = ordered_bits(x[~np.isnan(x)])
+                if before is not None:
+                    o = o[np.isin(o >> before, wanted[f])]
+                fresh = np.unique(o >> shift, return_counts=True)
+                if f in held:
+                    values, at = np.unique(np.concatenate([held[f][0], fresh[0]]), return_inverse=True)
+                    fresh = values, np.bincount(at, np.concatenate([held[f][1], fresh[1]]), len(values)).astype(np.int64)
+                held[f] = fresh
+        for f, (values, counts) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), f, np.int32)), pa.array(values, pa.int64()), pa.array(counts, pa.int64())], names=["f", "v", "c"])
+
+    rows = wide.mapInArrow(count, "f int, v bigint, c bigint").groupBy("f", "v").agg(F.sum("c").alias("c")).toPandas()
+    return {f: (g["v"].to_numpy(), g["c"].to_numpy()) for f, g in rows.sort_values(["f", "v"]).groupby("f")}
+
+
+def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """Exact quantiles of many columns: feature, p, value. Columns without values give no rows.
+
+    All columns are counted in one scan a pass; only counts per leading bits, of
+    which there are a fixed number per column and rank, reach the driver.
+    """
+    wide = cut_lineage(df.select(*(col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns))))
+    first = _pass(wide, [np.empty(0, np.int64)] * len(columns), None, SHIFTS[0])
+    places = {f: [_between(p, int(c.sum())) for p in probs] for f, (_, c) in first.items()}
+    state = {f: {k: (0, 0) for a, z, _ in some for k in (a, z)} for f, some in places.items()}  # rank: prefix, rows below it
+    for before, shift in zip([None, *SHIFTS], SHIFTS):
+        wanted = [np.array(sorted({x for x, _ in state.get(f, {}).values()}), np.int64) for f in range(len(columns))]
+        counted = first if before is None else _pass(wide, wanted, before, shift)
+        for f, ranks in state.items():
+            values, counts = counted[f]
+            own = np.zeros(len(values), np.int64) if before is None else values >> (before - shift)
+            for k, (prefix, below) in ranks.items():
+                here = np.flatnonzero(own == prefix)
+                through = below + np.cumsum(counts[here])
+                i = int(np.searchsorted(through, k, "right"))
+                ranks[k] = (int(values[here[i]]), int(through[i] - counts[here[i]]))
+    rows = []
+    for f, some in places.items():
+        at = {k: float(from_ordered_bits(np.array([x], np.int64))[0]) for k, (x, _) in state[f].items()}
+        rows += [(columns[f], float(p), at[a] if part == 0 else (1.0 - part) * at[a] + part * at[z]) for p, (a, z, part) in zip(probs, some)]
+    return df.sparkSession.createDataFrame(rows, "feature string, p double, value double")
 
 
 # ---- ranks ----------------------------------------------------------------

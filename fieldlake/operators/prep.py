@@ -14,7 +14,7 @@ from fieldlake.functions.features import doy_sin
 from fieldlake.naming import col
 from fieldlake.operators.impute import iterative_impute_apply, iterative_impute_fit
 from fieldlake.operators.neighbours import knn_impute
-from fieldlake.operators.order import GATHER_LIMIT, column_quantiles
+from fieldlake.operators.order import column_quantiles
 from fieldlake.operators.profile import numeric_columns
 from fieldlake.session import at_most, cut_lineage
 
@@ -46,9 +46,9 @@ def prepare_model_input(df: DataFrame, cfg: ModelConfig = ModelConfig(), ids: tu
 
 # ---- winsorise ------------------------------------------------------------
 
-def winsor_fit(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, limit: int = GATHER_LIMIT) -> DataFrame:
+def winsor_fit(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Exact low/high percentile per column: feature, low, high."""
-    tall = column_quantiles(df, columns, [low, high], limit)
+    tall = column_quantiles(df, columns, [low, high])
     return tall.groupBy("feature").agg(
         F.max(F.when(F.col("p") == low, F.col("value"))).alias("low"),
         F.max(F.when(F.col("p") == high, F.col("value"))).alias("high"),
@@ -67,9 +67,9 @@ def winsor_apply(df: DataFrame, state: DataFrame) -> DataFrame:
 
 # ---- median imputation ----------------------------------------------------
 
-def median_impute_fit(df: DataFrame, columns: list[str], limit: int = GATHER_LIMIT) -> DataFrame:
+def median_impute_fit(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact median per column: feature, median."""
-    return column_quantiles(df, columns, [0.5], limit).select("feature", F.col("value").alias("median"))
+    return column_quantiles(df, columns, [0.5]).select("feature", F.col("value").alias("median"))
 
 
 def median_impute_apply(df: DataFrame, state: DataFrame) -> DataFrame:
@@ -166,9 +166,9 @@ def one_hot_apply(df: DataFrame, state: DataFrame) -> DataFrame:
 
 # ---- scaling --------------------------------------------------------------
 
-def robust_scale_fit(df: DataFrame, columns: list[str], limit: int = GATHER_LIMIT) -> DataFrame:
+def robust_scale_fit(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature, median, scale: the scale is the interquartile range, or 1 when that is 0."""
-    tall = column_quantiles(df, columns, [0.25, 0.5, 0.75], limit)
+    tall = column_quantiles(df, columns, [0.25, 0.5, 0.75])
     at = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
     wide = tall.groupBy("feature").agg(at(0.25).alias("_a"), at(0.5).alias("median"), at(0.75).alias("_b"))
     spread = F.col("_b") - F.col("_a")
@@ -203,8 +203,8 @@ class Preprocessor:
     (soil, terrain), median (what is left), one-hot, robust scaling.
     """
 
-    def __init__(self, cfg: ModelConfig = ModelConfig(), row_id: str = "row_id", limit: int = GATHER_LIMIT):
-        self.cfg, self.row_id, self.limit = cfg, row_id, limit
+    def __init__(self, cfg: ModelConfig = ModelConfig(), row_id: str = "row_id"):
+        self.cfg, self.row_id = cfg, row_id
         self.state: dict[str, DataFrame] = {}
         self.donors: DataFrame | None = None
         self.columns: list[str] = []
@@ -234,7 +234,7 @@ class Preprocessor:
         df = df.select(*(col(c) for c in df.columns if c in self.columns))
         numeric = self._numeric(df)
         categories = [c for c in self.cfg.category_columns if c in df.columns]
-        out = winsor_apply(df, self._fitted("winsor", fitting, lambda: winsor_fit(df, numeric, limit=self.limit)))
+        out = winsor_apply(df, self._fitted("winsor", fitting, lambda: winsor_fit(df, numeric)))
 
         weather = [c for c in numeric if in_family(c, "Meteorology")]
         if weather:
@@ -254,15 +254,15 @@ class Preprocessor:
                 coded = cut_lineage(knn_impute(cut_lineage(coded), plants, context, self.row_id, donors=self.state["donors"]))
             out = coded.drop(*context)
         elif plants:
-            out = median_impute_apply(out, self._fitted("plants", fitting, lambda: median_impute_fit(out, plants, self.limit)))
+            out = median_impute_apply(out, self._fitted("plants", fitting, lambda: median_impute_fit(out, plants)))
 
         ground = [c for c in numeric if in_family(c, "Soil") or any(t in c.lower() for t in TERRAIN_NAMES)]
         if ground:
-            out = median_impute_apply(out, self._fitted("ground", fitting, lambda: median_impute_fit(out, ground, self.limit)))
+            out = median_impute_apply(out, self._fitted("ground", fitting, lambda: median_impute_fit(out, ground)))
         out = median_impute_apply(out, self._fitted("fallback", fitting, lambda: fallback_impute_fit(out, numeric)))
         if categories:
             out = one_hot_apply(out, self._fitted("one_hot", fitting, lambda: one_hot_fit(out, categories)))
         scaled = self._numeric(out)
-        out = robust_scale_apply(out, self._fitted("scale", fitting, lambda: robust_scale_fit(out, scaled, self.limit)))
+        out = robust_scale_apply(out, self._fitted("scale", fitting, lambda: robust_scale_fit(out, scaled)))
         return assert_no_nulls(out, self._numeric(out))
 

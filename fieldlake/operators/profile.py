@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldlake.config import FAMILIES, in_family
 from fieldlake.naming import col
-from fieldlake.operators.order import GATHER_LIMIT, grouped_quantiles, unpivot, value_ranks
+from fieldlake.operators.order import grouped_quantiles, unpivot, value_ranks
 from fieldlake.operators.zonal import STATS
 
 
@@ -188,10 +188,10 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, group: str, column: str, limit: int = GATHER_LIMIT) -> DataFrame:
+def box_stats(df: DataFrame, group: str, column: str) -> DataFrame:
     """Five-number summary per group."""
     names = {0.0: "low", 0.25: "q1", 0.5: "median", 0.75: "q3", 1.0: "high"}
-    tall = grouped_quantiles(df, [group], column, list(names), limit)
+    tall = grouped_quantiles(df, [group], column, list(names))
     return tall.groupBy(col(group)).agg(*(F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in names.items()))
 
 

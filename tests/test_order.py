@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fieldlake.operators.order import average_rank, column_quantiles, grouped_quantiles, rank_lookup, value_ranks
+from fieldlake.operators.order import average_rank, column_quantiles, from_ordered_bits, grouped_quantiles, ordered_bits, rank_lookup, value_ranks
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0]
 
@@ -24,11 +24,20 @@ def values(seed, kind):
 def test_narrowed_quantiles_are_exact(spark, kind):
     data = {g: values(i, kind) for i, g in enumerate("ab")}
     frame = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs], "g string, v double")
-    for limit in (10**6, 40):
-        got = {(r["g"], r["p"]): r["value"] for r in grouped_quantiles(frame, ["g"], "v", PROBS, limit).collect()}
-        assert len(got) == len(PROBS) * 2
-        for (g, p), v in got.items():
-            assert v == pytest.approx(float(np.quantile(data[g], p)), rel=1e-9, abs=1e-12)
+    got = {(r["g"], r["p"]): r["value"] for r in grouped_quantiles(frame, ["g"], "v", PROBS).collect()}
+    wide = spark.createDataFrame([(float(a), float(b)) for a, b in zip(data["a"], data["b"])], "a double, b double")
+    columns = {(r["feature"], r["p"]): r["value"] for r in column_quantiles(wide, ["a", "b"], PROBS).collect()}
+    assert len(got) == len(PROBS) * 2 and set(columns) == set(got)
+    for (g, p), v in got.items():
+        want = float(np.quantile(data[g], p))
+        assert v == pytest.approx(want, rel=1e-9, abs=1e-12) and columns[g, p] == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
+def test_ordered_bits_keep_the_order():
+    rng = np.random.default_rng(1)
+    x = np.sort(np.concatenate([rng.normal(size=1000) * 10.0 ** rng.integers(-300, 300, 1000), [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324]]))
+    o = ordered_bits(x)
+    assert (np.diff(o) >= 0).all() and (np.diff(o)[np.diff(x) > 0] > 0).all() and (from_ordered_bits(o) == x).all()
 
 
 def test_column_quantiles_skip_empty_columns(spark):
