@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlake.naming import KEYS, STAT_SUFFIX, col
+from fieldlake.session import cut_lineage
+
+SLICE_DAYS = 256  # of a history in one task
 
 
 def _row(columns: list[str]) -> Column:
@@ -48,23 +51,51 @@ def first_non_null(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.groupBy(*map(col, keys)).agg(*picks)
 
 
+def _slice(df: DataFrame, name: str) -> Column:
+    """A whole number that grows with a date or time, ``SLICE_DAYS`` days each; 0 for other types."""
+    if dict(df.dtypes)[name] in ("date", "timestamp", "timestamp_ntz"):
+        return F.floor(F.unix_date(col(name).cast("date")) / SLICE_DAYS)
+    return F.lit(0).cast("bigint")
+
+
 def interpolate_linear(
-    df: DataFrame, columns: list[str], partition: list[str], order: list[str]
+    df: DataFrame, columns: list[str], partition: list[str], order: list[str], slice_by: Column | None = None
 ) -> DataFrame:
     """Fill gaps on the line between neighbouring known rows, by row position; ends take the nearest value.
 
-    Neighbours are searched inside ``partition`` (a location's own history).
+    Neighbours are searched inside ``partition`` (a location's own history). A
+    history is worked on in slices of time, so a long one is spread over many
+    tasks: each slice tells its size and its first and last known values, these
+    are carried across the slices of a location, and gaps are filled inside.
+    ``slice_by`` must not fall as the rows go on in ``order``; the default cuts
+    by the first order column where it is a date or a time.
     """
-    ordered = Window.partitionBy(*map(col, partition)).orderBy(*map(col, order))
-    before = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    numbered = df.withColumn("_pos", F.row_number().over(ordered))
+    keys = list(map(col, partition))
+    cut = _slice(df, order[0]) if slice_by is None else slice_by
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*map(col, order))
+    # written, so that rows equal in order keep their places in both uses
+    numbered = cut_lineage(df.withColumn("_slice", cut).withColumn("_in", F.row_number().over(inside)))
+    spot = lambda name, place: F.when(col(name).isNotNull(), F.struct(place.alias("p"), col(name).cast("double").alias("v")))
+    ends = [f(spot(name, F.col("_in"))).alias(f"_{end}{i}") for i, name in enumerate(columns) for f, end in ((F.min, "first"), (F.max, "last"))]
+    slices = numbered.groupBy(*keys, "_slice").agg(F.count("*").alias("_size"), *ends)
+    along = Window.partitionBy(*keys).orderBy("_slice")
+    earlier, later = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    slices = slices.withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    moved = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(c)["p"] + F.col("_start")).alias("p"), F.col(c)["v"].alias("v")))
+    carried = [x for i in range(len(columns)) for x in (
+        F.last(moved(f"_last{i}"), ignorenulls=True).over(earlier).alias(f"_before{i}"), F.first(moved(f"_first{i}"), ignorenulls=True).over(later).alias(f"_after{i}"))]
+    slices = slices.select(*(col(k).alias(f"_k{i}") for i, k in enumerate(partition)), F.col("_slice").alias("_k"), "_start", *carried)
+    same = numbered["_slice"].eqNullSafe(slices["_k"])
+    for i, k in enumerate(partition):
+        same = same & col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = numbered.join(slices, same).withColumn("_pos", F.col("_start") + F.col("_in"))
+    before = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     helpers = {}
     for i, name in enumerate(columns):
-        spot = F.when(col(name).isNotNull(), F.struct(F.col("_pos").alias("p"), col(name).cast("double").alias("v")))
-        helpers[f"_lo{i}"] = F.last(spot, ignorenulls=True).over(before)
-        helpers[f"_hi{i}"] = F.first(spot, ignorenulls=True).over(after)
-    found = numbered.withColumns(helpers)
+        helpers[f"_lo{i}"] = F.coalesce(F.last(spot(name, F.col("_pos")), ignorenulls=True).over(before), F.col(f"_before{i}"))
+        helpers[f"_hi{i}"] = F.coalesce(F.first(spot(name, F.col("_pos")), ignorenulls=True).over(after), F.col(f"_after{i}"))
+    found = rows.withColumns(helpers)
 
     def filled(i: int, name: str) -> Column:
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
