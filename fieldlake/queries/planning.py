@@ -321,18 +321,20 @@ def collapse_duplicate_keys(t: Tables) -> DataFrame:
 
 
 @query("interpolate_daily_gaps", ctes(OBS_SQL, """
-days AS (SELECT loc_id, obs_date, CASE WHEN (loc_id + day(obs_date)) % 3 = 0 THEN NULL ELSE CAST(value AS DOUBLE) END AS v,
-                row_number() OVER (PARTITION BY loc_id ORDER BY obs_date) AS i FROM obs WHERE param = 'view')""", """
-near AS (SELECT *, (SELECT max(i) FROM days b WHERE b.loc_id = a.loc_id AND b.i <= a.i AND b.v IS NOT NULL) AS lo,
-                   (SELECT min(i) FROM days b WHERE b.loc_id = a.loc_id AND b.i >= a.i AND b.v IS NOT NULL) AS hi FROM days a)""") + """
-SELECT n.loc_id, n.obs_date, round(CASE WHEN n.v IS NOT NULL THEN n.v WHEN n.lo IS NULL THEN h.v WHEN n.hi IS NULL THEN l.v
+days AS (SELECT loc_id, param, obs_date, CASE WHEN (loc_id + day(obs_date)) % 3 = 0 THEN NULL ELSE CAST(value AS DOUBLE) END AS v,
+                row_number() OVER (PARTITION BY loc_id, param ORDER BY obs_date) AS i FROM obs)""", """
+near AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY loc_id, param ORDER BY i) AS lo,
+                   min(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY loc_id, param ORDER BY i DESC) AS hi FROM days)""") + """
+SELECT n.loc_id, n.param, n.obs_date, round(CASE WHEN n.v IS NOT NULL THEN n.v WHEN n.lo IS NULL THEN h.v WHEN n.hi IS NULL THEN l.v
        ELSE l.v + (h.v - l.v) / (n.hi - n.lo) * (n.i - n.lo) END, 7) AS v
-FROM near n LEFT JOIN days l ON l.loc_id = n.loc_id AND l.i = n.lo LEFT JOIN days h ON h.loc_id = n.loc_id AND h.i = n.hi""")
+FROM near n LEFT JOIN days l ON l.loc_id = n.loc_id AND l.param = n.param AND l.i = n.lo
+LEFT JOIN days h ON h.loc_id = n.loc_id AND h.param = n.param AND h.i = n.hi""")
 def interpolate_daily_gaps(t: Tables) -> DataFrame:
-    rows = observations(t).filter("param = 'view'")
+    """All parameters; a history is cut into slices of a week, so that values are carried across them."""
     gap = (F.col("loc_id") + F.dayofmonth("obs_date")) % 3 == 0
-    days = rows.select("loc_id", "obs_date", F.when(~gap, F.col("value").cast("double")).alias("v"))
-    return interpolate_linear(days, ["v"], ["loc_id"], ["obs_date"]).withColumn("v", F.round("v", 7))
+    days = observations(t).select("loc_id", "param", "obs_date", F.when(~gap, F.col("value").cast("double")).alias("v"))
+    week = F.floor(F.unix_date("obs_date") / 7)
+    return interpolate_linear(days, ["v"], ["loc_id", "param"], ["obs_date"], week).withColumn("v", F.round("v", 7))
 
 
 @query("union_differing_frames", """
