@@ -1,8 +1,8 @@
 """Exact quantiles and ranks of whole columns.
 
 A column's order statistics must not gather the column in one task. Quantiles
-are found by counting leading bits; ranks come from counts per distinct value,
-cut into value slices.
+are found by counting leading bits; ranks come from ranges of the values and
+the counts of the ranges before.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from fieldlake.session import at_most, cut_lineage, salted_join
 RADIX_BITS = 11
 BROADCAST_ROWS = 10_000
 SHIFTS = [max(0, 64 - RADIX_BITS * i) for i in range(1, 7)]  # bits still unknown after each pass
-HOT_SHARE = 1000  # a value is hot when it holds more than 1/1000 of its group
 
 
 def unpivot(df: DataFrame, columns: list[str], ids: list[str] | None = None, name: str = "feature", value: str = "x") -> DataFrame:
@@ -157,59 +156,62 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> D
 
 # ---- ranks ----------------------------------------------------------------
 
-def value_ranks(long: DataFrame, keys: list[str], value: str, slices: int = 32, weight: str | None = None) -> DataFrame:
-    """Per group and distinct value: how many rows hold it, how many are smaller, and the group size.
+def with_places(rows: DataFrame, keys: list[str], value: str, weight: str | None = None, prefix: str = "") -> DataFrame:
+    """Add to each row how many rows of its group hold its value, how many a smaller one, and the group size.
 
-    Values are cut into slices at approximate quantiles. Slice totals give each
-    slice its start, and only the inside of a slice is ordered in one task.
+    The columns are named ``cnt``, ``before`` and ``n`` behind ``prefix``. Rows are cut into ranges of (keys, value,
+    hash of the row), so a hot value spreads over several ranges as long as the rows differ (equal rows should come
+    as one with a ``weight``). Rows are counted inside ranges; one small row per range and group gives the counts of
+    the ranges before, and settles values that lie across an edge. Rows without a value are left out.
     """
-    amount = F.sum(col(weight)) if weight else F.count("*")
-    counts = long.filter(col(value).isNotNull()).groupBy(*map(col, keys), col(value)).agg(amount.alias("cnt"))
-    cuts = counts.groupBy(*map(col, keys)).agg(
-        F.percentile_approx(col(value), F.array(*(F.lit(i / slices) for i in range(1, slices))), F.lit(slices * 20)).alias("_cuts")
+    group, v = list(map(col, keys)), col(value)
+    apart = F.xxhash64(*map(col, rows.columns))
+    known = rows.filter(v.isNotNull()).withColumn("_w", col(weight).cast("bigint") if weight else F.lit(1).cast("bigint"))
+    ranged = known.repartitionByRange(*group, v, apart).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("_part", *group)
+    counted = cut_lineage(ranged.withColumns({
+        "_own": F.sum("_w").over(Window.partitionBy("_part", *group, v)),
+        "_through": F.sum("_w").over(inside.orderBy(v)),  # equal values included
+    }))
+    end = F.struct(v.alias("v"), F.col("_own").alias("c"))
+    pieces = counted.groupBy("_part", *group).agg(F.max("_through").alias("_t"), F.min(end).alias("_low"), F.max(end).alias("_high"))
+    whole = Window.partitionBy(*group)  # at most one row per range and group
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.withColumns({"_start": F.coalesce(F.sum("_t").over(earlier), F.lit(0)), "_n": F.sum("_t").over(whole)})
+    edges = F.array_distinct(F.array(  # one entry where a range holds a single value
+        F.struct(F.col("_low.v"), F.col("_low.c"), F.col("_start").alias("b")),
+        F.struct(F.col("_high.v"), F.col("_high.c"), (F.col("_start") + F.col("_t") - F.col("_high.c")).alias("b")),
+    ))
+    across = Window.partitionBy(*group, "_e.v")
+    settled = starts.withColumn("_e", F.explode(edges)).select(
+        "_part", *group, "_start", "_n", F.struct("_e.v", F.sum("_e.c").over(across).alias("c"), F.min("_e.b").over(across).alias("b")).alias("_e")
     )
-    cut = salted_join(counts, cuts, keys)
-    sliced = cut.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < col(value)))).drop("_cuts")
-    totals = sliced.groupBy(*map(col, keys), "_slice").agg(F.sum("cnt").alias("_t"))
-    group = Window.partitionBy(*map(col, keys))
-    earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        *map(col, keys), "_slice",
-        F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_start"), F.sum("_t").over(group).alias("n"),
+    small = settled.groupBy(F.col("_part").alias("_p"), *(g.alias(f"_k{i}") for i, g in enumerate(group))).agg(
+        F.max("_start").alias("_start"), F.max("_n").alias("_n"), F.min("_e").alias("_low"), F.max("_e").alias("_high")
     )
-    smaller = Window.partitionBy(*map(col, keys), F.col("_slice")).orderBy(col(value)).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sliced.join(starts, [*keys, "_slice"])
-    return placed.withColumn("before", F.col("_start") + F.coalesce(F.sum("cnt").over(smaller), F.lit(0))).select(
-        *map(col, keys), col(value), "cnt", "before", "n"
+    on = [F.col("_part") == F.col("_p"), *(g.eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(group))]
+
+    def at_edge(name: str, otherwise: Column) -> Column:
+        return F.when(v == F.col("_low.v"), F.col(f"_low.{name}")).when(v == F.col("_high.v"), F.col(f"_high.{name}")).otherwise(otherwise)
+
+    return counted.join(small, on).select(
+        *map(col, rows.columns), at_edge("c", F.col("_own")).alias(f"{prefix}cnt"),
+        at_edge("b", F.col("_start") + F.col("_through") - F.col("_own")).alias(f"{prefix}before"), F.col("_n").alias(f"{prefix}n"),
     )
 
 
+def value_ranks(long: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per group and distinct value: how many rows hold it, how many are smaller, and the group size."""
+    counts = long.filter(col(value).isNotNull()).groupBy(*map(col, keys), col(value)).agg(F.count("*").alias("_rows"))
+    return with_places(counts, keys, value, "_rows").drop("_rows")
+
+
 def mean_rank(before: Column, cnt: Column) -> Column:
     """1-based rank where equal values share the mean of their places."""
     return before + (cnt + 1) / F.lit(2.0)
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, slices: int = 32) -> DataFrame:
+def average_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rank per distinct value of each group."""
-    ranks = value_ranks(df, keys, value, slices)
+    ranks = value_ranks(df, keys, value)
     return ranks.select(*map(col, keys), col(value), "cnt", mean_rank(F.col("before"), F.col("cnt")).alias("avg_rank"))
-
-
-def rank_lookup(rows: DataFrame, ranks: DataFrame, keys: list[str], value: str, prefix: str) -> DataFrame:
-    """Add count, rows-before and group size of each row's value.
-
-    Values holding over 1/1000 of a group are at most 1000 per group; they are
-    looked up in a broadcast table of that proven size. All other values meet by
-    a plain equi-join, in which no key is hot; hot rows pass it by on spread keys.
-    """
-    on = [*keys, value]
-    names = {"cnt": f"{prefix}_cnt", "before": f"{prefix}_before", "n": f"{prefix}_n"}
-    table = ranks.withColumnsRenamed(names)
-    is_hot = F.col(names["cnt"]) * HOT_SHARE > F.col(names["n"])
-    hot = table.filter(is_hot).select(*map(col, on), F.struct(*names.values()).alias("_hot"))
-    cold = table.filter(~is_hot).select(*map(col, on), F.struct(*names.values()).alias("_cold"), F.lit(0).alias("_way"))
-    first = rows.join(F.broadcast(hot), on, "left")
-    way = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(*map(col, rows.columns)), F.lit(HOT_SHARE)).cast("int"))
-    both = first.withColumn("_way", way).join(cold, [*on, "_way"], "left")
-    found = F.coalesce("_hot", "_cold")
-    return both.select(*map(col, rows.columns), *(found[n].alias(n) for n in names.values()))

@@ -203,13 +203,18 @@ def _poly(x: Column, coefficients: tuple[float, ...]) -> Column:
     return out
 
 
+# Published coefficients, highest power first, of the middle part (above, below) and of the tails.
+NORMAL_COEFFICIENTS = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+
+
 def normal_quantile(p: Column) -> Column:
     """Inverse normal distribution function (Acklam's rational approximation, |error| < 1.2e-9)."""
-    # Published coefficients.
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+    a, b, c, d = NORMAL_COEFFICIENTS
     edge = 0.02425
     low, high = F.sqrt(-2 * F.ln(p)), F.sqrt(-2 * F.ln(1 - p))
     mid, sq = p - 0.5, (p - 0.5) * (p - 0.5)
@@ -220,6 +225,9 @@ def normal_quantile(p: Column) -> Column:
     )
 
 
+QQ_RUN = 4096
+
+
 def qq_points(df: DataFrame, column: str) -> DataFrame:
     """Ordered values against normal order-statistic medians; no global sort.
 
@@ -228,8 +236,11 @@ def qq_points(df: DataFrame, column: str) -> DataFrame:
     """
     long = unpivot(df, [column])
     ranks = value_ranks(long, ["feature"], "x")
-    first = F.col("before") + 1
-    places = ranks.select("n", F.col("x").alias("value"), F.explode(F.sequence(first, F.col("before") + F.col("cnt"))).alias("i"))
+    first, last = F.col("before") + 1, F.col("before") + F.col("cnt")
+    runs = ranks.select("n", F.col("x").alias("value"), last.alias("_last"), F.explode(F.sequence(first, last, F.lit(QQ_RUN))).alias("_from"))
+    spread = runs.repartition("value", "_from")  # one row per run, so that a hot value's places are made in many tasks
+    to = F.least(F.col("_from") + (QQ_RUN - 1), F.col("_last"))
+    places = spread.select("n", "value", F.explode(F.sequence("_from", to)).alias("i"))
     end = F.pow(F.lit(0.5), 1.0 / F.col("n"))
     share = F.when(F.col("i") == F.col("n"), end).when(F.col("i") == 1, 1 - end).otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365))
     return places.select("i", "value", normal_quantile(share).alias("normal"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldlake.operators.metrics import psi, psi_reference, quality_score, regression_metrics
 from fieldlake.operators.order import average_rank, column_quantiles, grouped_quantiles, unpivot
 from fieldlake.operators.profile import (
-    box_stats, column_manifest, corr_matrix, drop_empty_std, family_profile, histogram, missing_by_group, missing_report, qq_points,
+    NORMAL_COEFFICIENTS, box_stats, column_manifest, corr_matrix, drop_empty_std, family_profile, histogram, missing_by_group, missing_report, qq_points,
     report_rows, residuals, target_corr, target_stats,
 )
 from fieldlake.queries.base import MODEL_SQL, Tables, ctes, model_rows, query
@@ -139,9 +139,35 @@ def average_ranks(t: Tables) -> DataFrame:
     return average_rank(long, ["feature"], "x")
 
 
-@query("quantile_quantile_points")
+def _sql_poly(x: str, coefficients: tuple[float, ...]) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out}) * {x} + {c!r}::DOUBLE"
+    return f"({out})"
+
+
+def _sql_normal_quantile(p: str) -> str:
+    a, b, c, d = NORMAL_COEFFICIENTS
+    low, high, mid = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))", f"({p} - 0.5::DOUBLE)"
+    square = f"({mid} * {mid})"
+    return (
+        f"CASE WHEN {p} < 0.02425 THEN {_sql_poly(low, c)} / {_sql_poly(low, d)} "
+        f"WHEN {p} > 0.97575 THEN -{_sql_poly(high, c)} / {_sql_poly(high, d)} "
+        f"ELSE {_sql_poly(square, a)} * {mid} / {_sql_poly(square, b)} END"
+    )
+
+
+@query("quantile_quantile_points", f"""
+    WITH placed AS (
+        SELECT CAST(o_totalprice AS DOUBLE) AS value, row_number() OVER (ORDER BY o_totalprice) AS i, count(*) OVER () AS n
+        FROM orders WHERE o_totalprice IS NOT NULL),
+    shares AS (
+        SELECT *, CASE WHEN i = n THEN pow(0.5::DOUBLE, 1.0::DOUBLE / n) WHEN i = 1 THEN 1 - pow(0.5::DOUBLE, 1.0::DOUBLE / n)
+            ELSE (i - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM placed)
+    SELECT i, value, round({_sql_normal_quantile("p")}, 9) AS normal FROM shares
+""")
 def quantile_quantile_points(t: Tables) -> DataFrame:
-    return qq_points(t("orders"), "o_totalprice")
+    return _rounded(qq_points(t("orders"), "o_totalprice"), ["normal"], 9)
 
 
 _PREDICTED = "p AS (SELECT o_orderkey AS row_id, o_totalprice AS y, o_totalprice * 0.9::DOUBLE + o_custkey % 100 AS m1, o_totalprice + (o_orderkey % 11 - 5) * 1000 AS m2 FROM orders)"
