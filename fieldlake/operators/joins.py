@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldlake.naming import KEYS, col
 from fieldlake.plans.fetch import standardise
-from fieldlake.session import salted_join
+from fieldlake.session import BROADCAST_ROWS, at_most, may_broadcast, replicated, salted, salted_join
 
 EARTH_RADIUS_M = 6371000.0
 METRES_PER_DEGREE = 111194.92664455873  # EARTH_RADIUS_M * pi / 180
@@ -137,24 +137,55 @@ def covered_cells(points: DataFrame, buffer_m: float) -> DataFrame:
     return points.withColumn("_clat", F.explode(lats)).withColumn("_clon", F.explode(lons))
 
 
+def in_covered_cells(cells: DataFrame, covered: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Pixels (with their cells) in the covered cells, or in coarser cells round them: no pixel is shuffled for it.
+
+    Cells are halved in number per axis until at most ``limit`` are left to broadcast, so what passes may be a little
+    more than what is covered, never less.
+    """
+    level = 0
+    while True:
+        spots = covered.select(F.shiftright("_clat", level).alias("_wlat"), F.shiftright("_clon", level).alias("_wlon")).distinct()
+        if at_most(spots, limit):
+            break
+        level += 1
+    here = (F.shiftright("_clat", level) == F.col("_wlat")) & (F.shiftright("_clon", level) == F.col("_wlon"))
+    return cells.join(F.broadcast(spots), here, "left_semi")
+
+
 def buffer_join(
-    points: DataFrame, pixels: DataFrame, buffer_m: float, on: list[str] | None = None, salts: int = 8
+    points: DataFrame, pixels: DataFrame, buffer_m: float, on: list[str] | None = None, salts: int = 8,
+    how: str = "inner", broadcast: bool | None = None,
 ) -> DataFrame:
     """Pixels within ``buffer_m`` of each point: equi-join on the cell, then the exact distance.
 
-    ``points`` has latitude/longitude, ``pixels`` has lat/lon. The join is salted,
-    because one cell may hold a large share of all pixels.
+    ``points`` has latitude/longitude, ``pixels`` has lat/lon. ``how="left_semi"`` gives each pixel near any point
+    once. Points whose covered cells are few (checked) are broadcast, and pixels stay where they are. Otherwise pixels
+    are first filtered by covered cells without a shuffle; only those that pass meet the points, by a salted join,
+    because one cell may hold a large share of them. ``broadcast`` settles the choice beforehand.
     """
-    near = salted_join(with_cell(pixels, buffer_m), covered_cells(points, buffer_m), [*(on or []), "_clat", "_clon"], salts=salts)
-    distance = haversine_m(col("latitude"), col("longitude"), col("lat"), col("lon"))
-    return near.filter(distance <= buffer_m).drop("_clat", "_clon")
+    if how not in {"inner", "left_semi"}:
+        raise ValueError(f"buffer_join cannot do {how!r}")
+    keys = [*(on or []), "_clat", "_clon"]
+    covered, cells = covered_cells(points, buffer_m), with_cell(pixels, buffer_m)
+    small = covered.withColumnsRenamed({k: f"_at{i}" for i, k in enumerate(keys)})
+    near = [col(k) == col(f"_at{i}") for i, k in enumerate(keys)]
+    if may_broadcast(small) if broadcast is None else broadcast:
+        small = F.broadcast(small)
+    else:
+        cells, small = salted(in_covered_cells(cells, covered), salts), replicated(small, salts, "_way")
+        near.append(F.col("_salt") == F.col("_way"))
+    near.append(haversine_m(col("latitude"), col("longitude"), col("lat"), col("lon")) <= buffer_m)
+    joined = cells.join(small, near, how)
+    others = [c for c in points.columns if c not in keys] if how == "inner" else []
+    return joined.select(*map(col, pixels.columns), *map(col, others))
 
 
 def filter_bounds(pixels: DataFrame, points: DataFrame, buffer_m: float, salts: int = 8) -> DataFrame:
     """(product, scene_id) of scenes with a pixel inside the buffer of any point."""
     slim = pixels.select("product", "scene_id", "lat", "lon")
     spots = points.select("latitude", "longitude").distinct()
-    return buffer_join(spots, slim, buffer_m, salts=salts).select("product", "scene_id").distinct()
+    return buffer_join(spots, slim, buffer_m, salts=salts, how="left_semi").select("product", "scene_id").distinct()
 
 
 # ---- merging stages -------------------------------------------------------

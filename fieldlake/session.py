@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def build_session(app_name: str = "fieldlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -68,6 +70,13 @@ def at_most(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def may_broadcast(df: DataFrame) -> bool:
+    """True when ``df`` is small enough for every executor: at most BROADCAST_ROWS rows and, as text, BROADCAST_BYTES."""
+    size = F.length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    rows, held = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES
+
+
 def salted(df: DataFrame, salts: int, *by: str, name: str = "_salt") -> DataFrame:
     """Add a deterministic salt taken from the row's own values (safe under task retry)."""
     columns = [F.col(f"`{c}`") for c in (by or df.columns)]

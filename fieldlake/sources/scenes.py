@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlake.config import OpticalConfig, RadarConfig
-from fieldlake.session import salted_join
+from fieldlake.operators.joins import with_cell
+from fieldlake.session import may_broadcast, salted_join
 
 
 def scene_predicate(product: str, optical: OpticalConfig = OpticalConfig(), radar: RadarConfig = RadarConfig()) -> Column:
@@ -36,10 +37,24 @@ def select_scenes(
 def scene_pixels(scenes: DataFrame, pixels: DataFrame, bands: list[str] | None = None, salts: int = 8) -> DataFrame:
     """Pixels of the given scenes with the scene time.
 
-    One scene may hold a large share of the pixels, so the join is salted.
+    A scene list of checked size is broadcast, so pixels stay where they are; a larger one meets them by a salted join,
+    because one scene may hold a large share of the pixels.
     """
     wanted = pixels.filter(F.col("band").isin(*bands)) if bands else pixels
-    return salted_join(wanted, scenes.select("product", "scene_id", "scene_ts"), ["product", "scene_id"], salts=salts)
+    listed, keys = scenes.select("product", "scene_id", "scene_ts"), ["product", "scene_id"]
+    if may_broadcast(listed):
+        return wanted.join(F.broadcast(listed), keys)
+    return salted_join(wanted, listed, keys, salts=salts)
+
+
+def write_pixels(pixels: DataFrame, path: str, buffer_m: float) -> None:
+    """Store pixels clustered by cell, so that the boxes round places skip files and row groups.
+
+    Ranges end inside a cell where one holds many pixels; adaptive execution sizes the files.
+    """
+    placed = with_cell(pixels, buffer_m)
+    order = ["_clat", "_clon", "lat", "lon"]
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_clat", "_clon").write.mode("overwrite").parquet(path)
 
 
 def available_bands(pixels: DataFrame) -> DataFrame:

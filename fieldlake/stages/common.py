@@ -14,6 +14,8 @@ from fieldlake.operators.zonal import median_composite, zonal_stats
 from fieldlake.session import cut_lineage
 
 PLACE = ["latitude", "longitude"]
+BLOCK_DEGREES = 5.625
+MAX_BOXES = 32
 
 
 def requested_values(requests: DataFrame, column: str) -> list[str]:
@@ -25,24 +27,42 @@ def places_of(requests: DataFrame) -> DataFrame:
     return requests.select(*PLACE).distinct()
 
 
+def place_boxes(requests: DataFrame) -> list[tuple[float, float, float, float]]:
+    """South, north, west, east of at most MAX_BOXES boxes that hold all requested places.
+
+    Places meet by blocks of a coarse world grid (at most 2145 rows reach the driver); blocks are doubled until few are left.
+    """
+    lat, lon = col("latitude"), col("longitude")
+    block = [F.floor((lat + 90.0) / BLOCK_DEGREES).alias("_i"), F.floor((lon + 180.0) / BLOCK_DEGREES).alias("_j")]
+    rows = requests.filter(lat.isNotNull() & lon.isNotNull()).groupBy(*block).agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).collect()
+    held = {(int(i), int(j)): box for i, j, *box in rows}
+    while len(held) > MAX_BOXES:
+        merged: dict[tuple[int, int], list[float]] = {}
+        for (i, j), (s, n, w, e) in held.items():
+            own = merged.setdefault((i // 2, j // 2), [s, n, w, e])
+            merged[i // 2, j // 2] = [min(own[0], s), max(own[1], n), min(own[2], w), max(own[3], e)]
+        held = merged
+    return [tuple(box) for _, box in sorted(held.items())]
+
+
 def in_extent(requests: DataFrame, pixels: DataFrame, buffer_m: float) -> DataFrame:
-    """Pixels in the box round all requested places, as literals that reach the scan.
+    """Pixels in the boxes round the requested places, as literals that reach the scan.
 
-    Longitudes are left alone where the box would cross the antimeridian or come near a pole.
+    Longitudes are left alone where a box would cross the antimeridian or come near a pole.
     """
-    box = requests.agg(*(f(c).alias(f"{n}_{c}") for c in PLACE for n, f in (("low", F.min), ("high", F.max)))).first()
-    if box["low_latitude"] is None:
-        return pixels.filter(F.lit(False))
-    pad = 1.001 * buffer_m / METRES_PER_DEGREE + 1e-6
-    south, north = box["low_latitude"] - pad, box["high_latitude"] + pad
-    near = pixels.filter(col("lat").between(south, north))
-    widest = max(abs(south), abs(north))
-    if widest < 89:
-        pad = pad / math.cos(math.radians(widest))
-        west, east = box["low_longitude"] - pad, box["high_longitude"] + pad
-        if west > -180 and east < 180:
-            near = near.filter(col("lon").between(west, east))
-    return near
+    inside = F.lit(False)
+    for low, high, left, right in place_boxes(requests):
+        pad = 1.001 * buffer_m / METRES_PER_DEGREE + 1e-6
+        south, north = low - pad, high + pad
+        box = col("lat").between(south, north)
+        widest = max(abs(south), abs(north))
+        if widest < 89:
+            pad = pad / math.cos(math.radians(widest))
+            west, east = left - pad, right + pad
+            if west > -180 and east < 180:
+                box = box & col("lon").between(west, east)
+        inside = inside | box
+    return pixels.filter(inside)
 
 
 def scenes_in_windows(scenes: DataFrame, requests: DataFrame, days: int) -> DataFrame:
@@ -61,7 +81,7 @@ def region_pixels(requests: DataFrame, pixels: DataFrame, buffer_m: float) -> Da
 
 def near_pixels(requests: DataFrame, pixels: DataFrame, buffer_m: float) -> DataFrame:
     """Pixels near any requested place, each once: input of neighbourhood operators."""
-    return buffer_join(places_of(requests), in_extent(requests, pixels, buffer_m), buffer_m).select(*map(col, pixels.columns)).distinct()
+    return buffer_join(places_of(requests), in_extent(requests, pixels, buffer_m), buffer_m, how="left_semi")
 
 
 def scene_window_stats(

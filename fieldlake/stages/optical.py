@@ -21,6 +21,7 @@ from fieldlake.stages.common import PLACE, region_pixels, scene_window_stats, sc
 INPUT_BANDS = ("B2", "B4", "B5", "B8")
 PIXEL = [*PLACE, "scene_id", "obs_date", "px_row", "px_col"]
 
+VCI_PRODUCT = "MOD13Q1"
 EXTREME_DAYS = 366  # the condition index compares with the extremes of the calendar year
 
 
@@ -51,7 +52,9 @@ def s2_layers(region: DataFrame) -> DataFrame:
 
 
 def _region(rows: DataFrame, scenes: DataFrame, pixels: DataFrame, product: str, cfg: OpticalConfig) -> DataFrame:
-    usable = scene_pixels(scenes_in_windows(select_scenes(scenes, product, cfg), rows, product_days(product, cfg) + EXTREME_DAYS), pixels.filter(F.col("product") == product))
+    # Only the product of the condition index needs scenes a year round the dates.
+    days = product_days(product, cfg) + (EXTREME_DAYS if product == VCI_PRODUCT else 0)
+    usable = scene_pixels(scenes_in_windows(select_scenes(scenes, product, cfg), rows, days), pixels.filter(F.col("product") == product))
     near = region_pixels(rows, usable, cfg.buffer_m)
     return near.select(*PLACE, "scene_id", F.to_date("scene_ts").alias("obs_date"), "px_row", "px_col", "band", "value")
 
@@ -79,7 +82,7 @@ def optical_stage(
         names.update(r["token"] for r in wanted.select("token").distinct().collect())
         stats = scene_window_stats(wanted.select(*KEYS, "band").distinct(), region, product_days(product, cfg), cfg.pick)
         tables.append(wanted.join(stats, [*KEYS, "band"]).select(*KEYS, F.col("token").alias("variable"), "mean", "min", "max"))
-        if product == "MOD13Q1":
+        if product == VCI_PRODUCT:
             tables.append(_vci_rows(mine, region, cfg))
             names.add("VCI")
     tall = tables[0]

@@ -6,12 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlake.operators.joins import (
-    EARTH_RADIUS_M, asof_earliest, asof_nearest, buffer_join, build_master, merge_source, window_join,
+    EARTH_RADIUS_M, asof_earliest, asof_nearest, buffer_join, build_master, covered_cells, in_covered_cells, merge_source, window_join, with_cell,
 )
 from fieldlake.operators.keyed import collapse_duplicates, dedup_first, first_non_null, interpolate_linear
 from fieldlake.plans.fetch import build_fetch_plan, pair_with_mapping
 from fieldlake.plans.requests import sar_requests, terrain_requests
 from fieldlake.session import cut_lineage, salted_join
+from fieldlake.sources.scenes import write_pixels
+from fieldlake.stages.common import in_extent, place_boxes
 
 DAY = dt.date(2020, 7, 15)
 
@@ -71,11 +73,59 @@ def test_buffer_join_equals_brute_force(spark, centre):
         lat = max(-90.0, min(90.0, centre[0] + rng.uniform(-0.02, 0.02)))
         lon = (centre[1] + rng.uniform(-wide, wide) + 180.0) % 360.0 - 180.0
         pixels.append((i, lat, lon))
-    got = buffer_join(
-        spark.createDataFrame(points, "latitude double, longitude double"), spark.createDataFrame(pixels, "id int, lat double, lon double"), 900.0
-    ).collect()
+    places = spark.createDataFrame(points, "latitude double, longitude double")
+    table = spark.createDataFrame(pixels, "id int, lat double, lon double")
     want = {p[0] for p in pixels if metres(centre, p[1:]) <= 900.0}
-    assert {r["id"] for r in got} == want and len(got) == len(want) and want
+    for broadcast in (None, False):
+        got = buffer_join(places, table, 900.0, broadcast=broadcast).collect()
+        assert {r["id"] for r in got} == want and len(got) == len(want) and want
+
+
+def test_pixels_near_any_point_come_once_and_unshuffled(spark):
+    rng = random.Random(8)
+    centres = [(10.0 + i * 1e-3, 20.0) for i in range(30)] + [(-50.0, -170.0 + i) for i in range(30)]
+    places = spark.createDataFrame(centres, "latitude double, longitude double")
+    pixels = [(i, *(c + rng.uniform(-0.02, 0.02) for c in rng.choice(centres))) for i in range(2000)]
+    table = spark.createDataFrame(pixels, "id int, lat double, lon double")
+    want = sorted(p[0] for p in pixels if any(metres(c, p[1:]) <= 300.0 for c in centres))
+    for broadcast in (None, False):
+        near = buffer_join(places, table, 300.0, how="left_semi", broadcast=broadcast)
+        assert near.columns == table.columns and sorted(r["id"] for r in near.collect()) == want
+    assert "Exchange hashpartitioning" not in buffer_join(places, table, 300.0)._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        buffer_join(places, table, 300.0, how="left_anti")
+
+
+@pytest.mark.parametrize("limit", [1, 7, 100_000])
+def test_coarser_cells_lose_no_pixel(spark, limit):
+    rng = random.Random(9)
+    places = spark.createDataFrame([(rng.uniform(-80, 80), rng.uniform(-180, 180)) for _ in range(40)], "latitude double, longitude double")
+    covered = covered_cells(places, 5000.0).cache()
+    near = places.select(F.monotonically_increasing_id().alias("id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    far = spark.createDataFrame([(10**12 + i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(500)], "id bigint, lat double, lon double")
+    left = in_covered_cells(with_cell(near.union(far), 5000.0), covered, limit)
+    assert left.filter("id < 1000000000000").count() == 40
+    if limit > 7:
+        assert left.count() < 100
+
+
+def test_boxes_hold_all_places(spark):
+    rng = random.Random(10)
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(400)]
+    boxes = place_boxes(spark.createDataFrame(spots, "latitude double, longitude double"))
+    assert 1 < len(boxes) <= 32
+    assert all(any(s <= lat <= n and w <= lon <= e for s, n, w, e in boxes) for lat, lon in spots)
+    apart = spark.createDataFrame([(10.0, 10.0), (-30.0, 140.0)], "latitude double, longitude double")
+    pixels = spark.createDataFrame([(10.0, 10.0), (-30.0, 140.0), (0.0, 60.0), (10.0, 140.0)], "lat double, lon double")
+    assert in_extent(apart, pixels, 1000.0).count() == 2 and in_extent(apart.limit(0), pixels, 1000.0).count() == 0
+
+
+def test_clustered_pixels_keep_all_rows(spark, tmp_path):
+    rng = random.Random(11)
+    pixels = spark.createDataFrame([(i, rng.uniform(0, 1), rng.uniform(0, 1)) for i in range(3000)], "id int, lat double, lon double")
+    write_pixels(pixels, str(tmp_path / "pixels"), 10_000.0)
+    back = spark.read.parquet(str(tmp_path / "pixels"))
+    assert back.columns == pixels.columns and back.exceptAll(pixels).count() == 0 and back.count() == 3000
 
 
 def test_salted_join_keeps_every_row(spark):
