@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model, Transformer
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -298,13 +299,30 @@ def simplex(models: int, parts: int, floors: list[float]) -> list[tuple[float, .
     return out
 
 
-def blend_errors(oof: DataFrame, target: str, models: list[str], candidates: list[tuple[float, ...]]) -> DataFrame:
-    """Mean absolute error of every candidate: one pass, partial sums per task. Columns id, mae."""
+def _offsets(oof: DataFrame, target: str, models: list[str]) -> DataFrame:
+    """How far each model's prediction is off, as columns; rows without target or a prediction are left out."""
     y = col(target).cast("double")
-    tried = F.array(*(F.struct(F.lit(i).alias("id"), F.array(*map(F.lit, w)).alias("w")) for i, w in enumerate(candidates)))
-    rows = oof.select(y.alias("_y"), *(col(m).cast("double").alias(f"_p{i}") for i, m in enumerate(models)), F.explode(tried).alias("_c"))
-    blend = sum((F.col("_c.w")[i] * F.col(f"_p{i}") for i in range(len(models))), F.lit(0.0))
-    return rows.groupBy(F.col("_c.id").alias("id")).agg(F.avg(F.abs(F.col("_y") - blend)).alias("mae"))
+    return oof.select(*((col(m).cast("double") - y).alias(f"_d{i}") for i, m in enumerate(models))).dropna()
+
+
+def _task_sums(rows: DataFrame, size: int, work: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Sums of ``size`` numbers made from batches of rows (a matrix): place, total, rows. One partial sum a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(size), 0
+        for batch in batches:
+            total += work(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total), pa.array(np.full(size, n))], names=["place", "total", "n"])
+
+    parts = rows.mapInArrow(run, "place int, total double, n bigint")
+    return parts.groupBy("place").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def blend_errors(oof: DataFrame, target: str, models: list[str], candidates: list[tuple[float, ...]]) -> DataFrame:
+    """Mean absolute error of every candidate (weights that sum to 1): one pass, a matrix product a batch. Columns id, mae."""
+    weights = np.array(candidates).T
+    sums = _task_sums(_offsets(oof, target, models), len(candidates), lambda d: np.abs(d @ weights).sum(axis=0))
+    return sums.select(F.col("place").alias("id"), F.try_divide("total", F.col("n").cast("double")).alias("mae"))
 
 
 def blend_weights(
@@ -335,6 +353,69 @@ def blend_weights(
     return dict(zip(models, best))
 
 
+def least_squares_on_simplex(gram: np.ndarray, floors: list[float]) -> np.ndarray:
+    """w with the smallest w'Gw among w >= floors that sum to 1: every support is tried, so for a dozen models at most."""
+    m, low = len(gram), np.array(floors)
+    free, best, least = 1.0 - low.sum(), None, np.inf
+    for size in range(1, m + 1):
+        for support in itertools.combinations(range(m), size):
+            s = list(support)
+            system = np.zeros((size + 1, size + 1))
+            system[:size, :size], system[:size, size], system[size, :size] = 2 * gram[np.ix_(s, s)], 1.0, 1.0
+            right = np.append(-2 * gram[s] @ low, free)
+            part = np.linalg.lstsq(system, right, rcond=None)[0][:size]
+            if (part < -1e-12).any() or abs(part.sum() - free) > 1e-9:
+                continue
+            w = low.copy()
+            w[s] += np.maximum(part, 0.0)
+            value = float(w @ gram @ w)
+            if value < least:
+                best, least = w, value
+    return best
+
+
+def convex_blend(
+    oof: DataFrame, target: str, models: list[str], floors: dict[str, float] | None = None, tolerance: float = 1e-7
+) -> dict[str, float]:
+    """Weights >= floor, summing to 1, with the smallest mean absolute error, which is convex in them.
+
+    Each step bounds the absolute errors from above by parabolas that touch them at the present weights, and goes to the
+    lowest point of their sum. A step is one aggregate: the exact error and the moments of the parabolas, a handful of
+    numbers whatever the rows. Parabolas grow sharper until three steps in turn lower the error no more. Rows without
+    target or a prediction are left out; without rows the free weight is shared evenly.
+    """
+    if len(models) > 12:
+        raise ValueError("at most a dozen models can be blended")
+    least = [(floors or {}).get(m, 0.0) for m in models]
+    rows = cut_lineage(_offsets(oof, target, models))
+    m = len(models)
+
+    def sums(w: np.ndarray, width: float) -> tuple[float | None, np.ndarray]:
+        def work(d: np.ndarray) -> np.ndarray:
+            r = np.abs(d @ w)
+            return np.append(r.sum(), (d / np.maximum(r, width)[:, None]).T @ d)
+
+        found = _task_sums(rows, 1 + m * m, work).collect()
+        out, n = np.zeros(1 + m * m), 0
+        for r in found:
+            out[r["place"]], n = r["total"], r["n"]
+        return (float(out[0]) / n if n else None), out[1:].reshape(m, m) / max(n, 1)
+
+    w = np.array(least) + (1.0 - sum(least)) / len(models)
+    loss, _ = sums(w, 1.0)
+    best, lowest, idle, width = w, loss, 0, (loss or 0.0) / 10
+    while loss and idle < 3:
+        loss, gram = sums(w, max(width, 1e-300))
+        if loss < lowest * (1 - tolerance):
+            idle = 0
+        elif width <= 1e-4 * lowest:
+            idle += 1
+        if loss < lowest:
+            best, lowest = w, loss
+        w, width = least_squares_on_simplex(gram, least), max(width / 4, 1e-6 * lowest)
+    return dict(zip(models, map(float, best)))
+
+
 def blended(df: DataFrame, weights: dict[str, float], name: str = "ensemble") -> DataFrame:
     return df.withColumn(name, sum((col(m) * F.lit(float(w)) for m, w in weights.items()), F.lit(0.0)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,30 +13,25 @@ from fieldlake.operators.keyed import dedup_first
 from fieldlake.plans.fields import number
 from fieldlake.plans.mapping import MAPPING_COLUMNS, dedup_mapping
 
-# A mapping up to this size travels inside the plan; a larger one is joined.
-INLINE_MAPPING_ROWS = 2000
-MAPPING_SLICES = 64
+BLOCK_ROWS = 2000
 
 
-def pair_with_mapping(fields: DataFrame, mapping: DataFrame, inline_rows: int = INLINE_MAPPING_ROWS) -> DataFrame:
-    """Each field row with each mapping row, without a nested-loop join.
+def pair_with_mapping(fields: DataFrame, mapping: DataFrame, inline_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Each field row with each mapping row, without a nested-loop join and without a shuffle.
 
-    Small mapping (checked): its rows become one array literal that every field
-    row explodes, so no field row is shuffled. Larger mapping: it is cut into
-    slices by hash and met by an equi-join on the slice number.
+    The mapping is taken in blocks of ``inline_rows``. Each block is an array literal that every field row explodes;
+    the blocks' products are put side by side. A mapping is a list of variables that people keep, so its blocks
+    travel inside the plan.
     """
-    names = mapping.columns
-    head = mapping.limit(inline_rows + 1).collect()
-    if len(head) <= inline_rows:
-        types = dict(mapping.dtypes)
-        rows = [F.struct(*(F.lit(r[c]).cast(types[c]).alias(c) for c in names)) for r in head]
-        packed = fields.select("*", F.explode(F.array(*rows)).alias("_m")) if rows else None
-        if packed is None:
-            return fields.select("*", *(F.lit(None).cast(types[c]).alias(c) for c in names)).limit(0)
-        return packed.select(*(col(c) for c in fields.columns), *(F.col("_m")[c].alias(c) for c in names))
-    sliced = mapping.withColumn("_slice", F.pmod(F.xxhash64(*map(col, names)), F.lit(MAPPING_SLICES)).cast("int"))
-    spread = fields.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(MAPPING_SLICES - 1))))
-    return spread.join(sliced, "_slice").drop("_slice")
+    names, types = mapping.columns, dict(mapping.dtypes)
+    plan = None
+    rows = mapping.toLocalIterator()
+    while block := list(itertools.islice(rows, inline_rows)):
+        made = F.array(*(F.struct(*(F.lit(r[c]).cast(types[c]).alias(c) for c in names)) for r in block))
+        packed = fields.select("*", F.explode(made).alias("_m"))
+        part = packed.select(*(col(c) for c in fields.columns), *(F.col("_m")[c].alias(c) for c in names))
+        plan = part if plan is None else plan.unionByName(part)
+    return fields.select("*", *(F.lit(None).cast(types[c]).alias(c) for c in names)).limit(0) if plan is None else plan
 
 
 def build_fetch_plan(fields: DataFrame, mapping: DataFrame, order: list[str] | None = None) -> DataFrame:

@@ -227,6 +227,17 @@ def blend_weight_row(t: Tables) -> DataFrame:
     return rows.agg(*(F.round(F.max(F.lit(w)), 9).alias(m) for m, w in weights.items()))
 
 
+# With two models the error is a sum of |a + w b|, least at the weighted median of -a / b.
+@query("blend_optimum", ctes(_PREDICTED) + """, s AS (SELECT m1 - y AS a, m2 - m1 AS b FROM p),
+  t AS (SELECT -a / b AS spot, sum(abs(b)) OVER (ORDER BY -a / b) AS run, sum(abs(b)) OVER () AS total FROM s WHERE b <> 0),
+  w AS (SELECT greatest(0.05::DOUBLE, least(1.0::DOUBLE, min(spot))) AS w2 FROM t WHERE run >= total / 2)
+SELECT count(*) AS n, round(avg(abs((1 - w2) * m1 + w2 * m2 - y)), 1) AS mae FROM p, w""")
+def blend_optimum(t: Tables) -> DataFrame:
+    rows = predicted(t)
+    weights = M.convex_blend(rows, "y", ["m1", "m2"], {"m2": 0.05})
+    return M.blended(rows, weights).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("ensemble") - F.col("y"))), 1).alias("mae"))
+
+
 @query("champion_model", ctes(_PREDICTED) + """, q AS (SELECT *, 0.25 * m1 + 0.75 * m2 AS ensemble FROM p), r AS (SELECT 'm1' AS model, round(sqrt(avg(pow(m1 - y, 2))), 6) AS rmse FROM q
   UNION ALL SELECT 'm2', round(sqrt(avg(pow(m2 - y, 2))), 6) FROM q UNION ALL SELECT 'ensemble', round(sqrt(avg(pow(ensemble - y, 2))), 6) FROM q)
 SELECT model, rmse, rmse = min(rmse) OVER () AS is_best FROM r""")

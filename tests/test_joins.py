@@ -143,6 +143,15 @@ def test_large_mapping_gives_the_same_plan(spark):
     inline = {tuple(r) for r in pair_with_mapping(fields, mapping).collect()}
     joined = {tuple(r) for r in pair_with_mapping(fields, mapping, inline_rows=10).collect()}
     assert inline == joined and len(inline) == 600
+    assert pair_with_mapping(fields, mapping.limit(0)).count() == 0
+
+
+def test_mapping_of_several_blocks_is_not_shuffled(spark):
+    fields = spark.range(3).withColumnRenamed("id", "f")
+    mapping = spark.range(5000).select(F.concat(F.lit("v"), "id").alias("variable"))
+    plan = pair_with_mapping(fields, mapping)
+    assert plan.distinct().count() == plan.count() == 15_000
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_plan_drops_duplicate_fields_and_mapping_rows(spark):

@@ -148,3 +148,25 @@ def test_stored_state_scores_like_the_one_in_memory(spark, tmp_path):
     new = load_scoring_state(spark, str(tmp_path / "s"))
     a, b = ({r.row_id: r.prediction for r in score(frame.drop("target"), s)[0].collect()} for s in (state, new))
     assert set(a) == {r[0] for r in rows} and a == pytest.approx(b)
+
+
+def test_convex_blend_beats_the_refined_grid(spark):
+    rng = np.random.default_rng(5)
+    y = rng.normal(50, 20, 1500)
+    noise = [rng.normal(0, 4, 1500), rng.standard_t(2, 1500) * 3, rng.normal(2, 5, 1500), rng.normal(0, 30, 1500)]
+    models = ["a", "b", "c", "svm"]
+    frame = spark.createDataFrame([(float(t), *(float(t + n[i]) for n in noise)) for i, t in enumerate(y)], "y double, a double, b double, c double, svm double")
+    found = M.convex_blend(frame, "y", models, {"svm": 0.05})
+    grid = M.blend_weights(frame, "y", models, {"svm": 0.05})
+    assert sum(found.values()) == pytest.approx(1.0) and found["svm"] >= 0.05 - 1e-12 and min(found.values()) >= -1e-12
+    mae = {name: float(np.mean(np.abs(sum(w[m] * n for m, n in zip(models, noise))))) for name, w in (("convex", found), ("grid", grid))}
+    assert mae["convex"] <= mae["grid"] * (1 + 1e-6)
+
+
+def test_convex_blend_of_odd_tables(spark):
+    kind = "y double, a double, b double"
+    assert M.convex_blend(spark.createDataFrame([], kind), "y", ["a", "b"]) == {"a": 0.5, "b": 0.5}
+    exact = spark.createDataFrame([(1.0, 1.0, 3.0), (2.0, 2.0, 9.0), (None, 1.0, 1.0), (4.0, None, 1.0)], kind)
+    assert M.convex_blend(exact, "y", ["a", "b"]) == pytest.approx({"a": 1.0, "b": 0.0}, abs=1e-4)
+    same = spark.createDataFrame([(1.0, 2.0, 2.0), (2.0, 5.0, 5.0)], kind)
+    assert sum(M.convex_blend(same, "y", ["a", "b"], {"b": 0.3}).values()) == pytest.approx(1.0)
