@@ -10,14 +10,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Model, Transformer
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlake.naming import col
+from fieldlake.operators.linear import fit_elastic_net, fit_fourier
 from fieldlake.operators.metrics import regression_metrics
 from fieldlake.session import cut_lineage
 
@@ -121,69 +121,26 @@ def rf_spec(trees: int = 800, depth: int = 15, min_rows: int = 3, seed: int = 10
     return ModelSpec("random_forest", build)
 
 
-class FourierModel(Transformer):
-    """Linear model on random cosine features of the input vector."""
-
-    def __init__(self, weights: np.ndarray, offsets: np.ndarray, model: Model):
-        super().__init__()
-        self.weights, self.offsets, self.model = weights, offsets, model
-
-    def expand(self, df: DataFrame, inputs: int) -> DataFrame:
-        x = F.col("_arr")
-        cosines = [
-            F.cos(sum((x[i] * F.lit(float(w[i])) for i in range(inputs)), F.lit(float(b)))).alias(f"_z{j}")
-            for j, (w, b) in enumerate(zip(self.weights, self.offsets))
-        ]
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-
-        wide = df.withColumn("_arr", vector_to_array("features"))
-        return wide.withColumn("_cos", array_to_vector(F.array(*cosines))).drop("_arr")
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self.expand(df, self.weights.shape[1])).drop("_cos")
-
-
 def kernel_regression_spec(
-    components: int = 64, gammas: tuple[float, ...] = (0.05, 0.1), penalties: tuple[float, ...] = (0.01, 0.1), seed: int = 10000291
+    components: int = 64, gammas: tuple[float, ...] = (0.05, 0.1), penalties: tuple[float, ...] = (1e-4, 1e-3, 1e-2), seed: int = 10000291
 ) -> ModelSpec:
-    """Gaussian-kernel regression by random cosine features and a Huber linear fit; grid chosen on an inner hold-out."""
+    """Gaussian-kernel regression by random cosine features and a Huber line; grid chosen on an inner hold-out."""
     def build(train: DataFrame, row_id: str):
-        inputs = len(train.select("features").first()[0])
-        rng = np.random.default_rng(seed)
-        base, offsets = rng.normal(size=(components, inputs)), rng.uniform(0, 2 * np.pi, components)
-        marked = _holdout(train, row_id)
-        best, best_rmse = None, None
-        for gamma in gammas:
-            weights = base * np.sqrt(2 * gamma)
-            rows = FourierModel(weights, offsets, None).expand(marked, inputs).persist()
-            for penalty in penalties:
-                line = LinearRegression(featuresCol="_cos", loss="huber", regParam=penalty, maxIter=100)
-                model = FourierModel(weights, offsets, line.fit(rows.filter(~F.col("_held"))))
-                scored = model.model.transform(rows.filter("_held"))
-                error = scored.agg(F.sqrt(F.avg((F.col("prediction") - F.col("label")) ** 2))).first()[0]
-                if error is not None and (best_rmse is None or error < best_rmse):
-                    best, best_rmse = (weights, penalty), error
-            rows.unpersist()
-        weights, penalty = best
-        final = LinearRegression(featuresCol="_cos", loss="huber", regParam=penalty, maxIter=100)
-        return FourierModel(weights, offsets, final.fit(FourierModel(weights, offsets, None).expand(train, inputs)))
+        return fit_fourier(_holdout(train, row_id), F.col("_held"), components, gammas, penalties, seed)
 
     return ModelSpec("kernel_regression", build)
 
 
-def elastic_net_spec(
-    ratios: tuple[float, ...] = (0.1, 0.5, 0.9, 1.0), penalties: tuple[float, ...] = (1e-4, 1e-2, 1.0, 100.0), inner: int = 5, seed: int = 10000291
-) -> ModelSpec:
-    """Elastic net whose mix and penalty are chosen by inner cross-validation."""
+# Fixed values of the method: shares of the absolute penalty; penalties from 1e-4 to 1e4, even in their logarithm.
+RATIOS = (0.1, 0.3, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0)
+PENALTIES = tuple(np.logspace(-4, 4, 50))
+
+
+def elastic_net_spec(ratios: tuple[float, ...] = RATIOS, penalties: tuple[float, ...] = PENALTIES, inner: int = 5) -> ModelSpec:
+    """Elastic net whose mix and penalty are chosen by inner cross-validation over the whole path."""
     def build(train: DataFrame, row_id: str):
-        line = LinearRegression(maxIter=100)
-        grid = ParamGridBuilder().addGrid(line.elasticNetParam, list(ratios)).addGrid(line.regParam, list(penalties)).build()
-        search = CrossValidator(
-            estimator=line, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="rmse"),
-            numFolds=inner, foldCol="_inner", seed=seed, parallelism=4,
-        )
         inner_fold = F.pmod(F.xxhash64(col(row_id), F.lit(29)), F.lit(inner)).cast("int")
-        return search.fit(train.withColumn("_inner", inner_fold)).bestModel
+        return fit_elastic_net(train, inner_fold, inner, ratios, penalties)
 
     return ModelSpec("elastic_net", build)
 
@@ -260,18 +217,28 @@ def permuted(df: DataFrame, column: str, row_id: str, seed: int = 7, groups: int
 
 
 def permutation_importance(
-    df: DataFrame, model: Transformer, features: list[str], target: str, row_id: str, groups: int = 64
+    df: DataFrame, model: Transformer, features: list[str], target: str, row_id: str, group_rows: int = 1000
 ) -> DataFrame:
-    """Rise of the RMSE when one feature is shuffled: feature, importance."""
-    def rmse(rows: DataFrame) -> DataFrame:
-        scored = model.transform(assemble(rows, features, target))
-        return scored.agg(F.sqrt(F.avg((F.col("prediction") - F.col("label")) ** 2)).alias("rmse"))
-
-    base = rmse(df).select(F.lit("").alias("feature"), "rmse")
-    parts = [rmse(permuted(df, f, row_id, groups=groups)).select(F.lit(f).alias("feature"), "rmse") for f in features]
-    tall = reduce(DataFrame.unionByName, parts, base)
-    start = F.max(F.when(F.col("feature") == "", F.col("rmse"))).over(Window.partitionBy(F.lit(1)))  # one row per feature
-    return tall.withColumn("importance", F.col("rmse") - start).filter("feature <> ''").select("feature", "importance")
+    """Rise of the RMSE when one feature is shuffled: feature, importance.
+
+    Rows are shuffled as by :func:`permuted`, in random groups of about ``group_rows`` rows. One shuffle brings each row the
+    row whose values it takes; then the row and its copies, one per feature, are scored in one plan. A lone row of a group
+    keeps its own value; a table without rows gives null importances.
+    """
+    ready = assemble(df, features, target).select(col(row_id), "label", vector_to_array("features").alias("_x"))
+    groups = max(1, round(df.select(col(row_id)).count() / group_rows))
+    group = F.pmod(F.xxhash64(col(row_id), F.lit(7)), F.lit(groups))
+    order = Window.partitionBy(group).orderBy(F.xxhash64(col(row_id), F.lit(8)), col(row_id))
+    first = F.first("_x").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    met = ready.withColumn("_other", F.coalesce(F.lead("_x").over(order), first))
+    copies = met.withColumn("_at", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
+    mixed = F.transform("_x", lambda x, i: F.when(i == F.col("_at"), F.get("_other", i)).otherwise(x))
+    scored = model.transform(copies.select("_at", "label", array_to_vector(mixed).alias("features")))
+    errors = scored.groupBy("_at").agg(F.sqrt(F.avg((F.col("prediction") - F.col("label")) ** 2)).alias("rmse"))
+    names = F.explode(F.array(*(F.struct(F.lit(i).alias("_at"), F.lit(f).alias("feature")) for i, f in enumerate(["", *features], -1))))
+    wanted = df.sparkSession.range(1).select(names.alias("_n")).select("_n.*").join(errors, "_at", "left")
+    start = F.max(F.when(F.col("_at") == -1, F.col("rmse"))).over(Window.partitionBy(F.lit(1)))  # one row per feature
+    return wanted.withColumn("importance", F.col("rmse") - start).filter("_at >= 0").select("feature", "importance")
 
 
 def linear_shapley(df: DataFrame, weights: dict[str, float]) -> DataFrame:

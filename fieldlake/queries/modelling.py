@@ -208,6 +208,38 @@ def linear_attribution(t: Tables) -> DataFrame:
     return _round(M.linear_shapley(model_rows(t), {"x1": 2.5, "x2": -1.25, "x3": 0.5}), ["shapley"])
 
 
+# ---- least squares ---------------------------------------------------------
+# Without a penalty the elastic net is least squares, which SQL has in closed form for two features.
+
+_MOMENTS = ", ".join(f"covar_pop({a}, {b}) AS {n}" for a, b, n in (("x1", "x1", "s11"), ("x1", "x2", "s12"), ("x2", "x2", "s22"), ("x1", "target", "s1"), ("x2", "target", "s2")))
+_MOMENTS += ", avg(x1) AS a1, avg(x2) AS a2, avg(target) AS ay"
+_LINE = "ay + (x1 - a1) * (s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) + (x2 - a2) * (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12)"
+
+
+def _both(t: Tables) -> DataFrame:
+    return model_rows(t).select("row_id", "target", "x1", "x2").dropna()
+
+
+def _plain() -> M.ModelSpec:
+    return M.elastic_net_spec(ratios=(0.5,), penalties=(0.0,))
+
+
+@query("least_squares_predictions", ctes(MODEL_SQL) + f"""SELECT row_id, round({_LINE}, 2) AS prediction
+FROM model, (SELECT {_MOMENTS} FROM model WHERE x1 IS NOT NULL AND x2 IS NOT NULL) WHERE x1 IS NOT NULL AND x2 IS NOT NULL""")
+def least_squares_predictions(t: Tables) -> DataFrame:
+    rows = _both(t)
+    model = M.fit_all(rows, [_plain()], ["x1", "x2"], "target", "row_id")["elastic_net"]
+    return model.transform(M.assemble(rows, ["x1", "x2"])).select("row_id", F.round("prediction", 2).alias("prediction"))
+
+
+@query("out_of_fold_least_squares", ctes(MODEL_SQL) + f""", b AS (SELECT *, row_id % 3 AS fold FROM model WHERE x1 IS NOT NULL AND x2 IS NOT NULL),
+fits AS (SELECT f.fold, {_MOMENTS} FROM b JOIN (SELECT DISTINCT fold FROM b) f ON b.fold <> f.fold GROUP BY f.fold)
+SELECT row_id, target, CAST(fold AS INT) AS fold, round({_LINE}, 2) AS elastic_net FROM b JOIN fits USING (fold)""")
+def out_of_fold_least_squares(t: Tables) -> DataFrame:
+    folded = M.kfold(_both(t), "row_id", 3, seed=None)
+    return _round(M.oof_predict(folded, [_plain()], ["x1", "x2"], "target", "row_id", 3), ["elastic_net"], 2)
+
+
 # ---- blending -------------------------------------------------------------
 
 _GRID = M.simplex(2, 10, [0.0, 0.05])
