@@ -16,9 +16,7 @@ from fieldlake.operators.impute import iterative_impute_apply, iterative_impute_
 from fieldlake.operators.neighbours import knn_impute
 from fieldlake.operators.order import column_quantiles
 from fieldlake.operators.profile import numeric_columns
-from fieldlake.session import at_most, cut_lineage
-
-MAX_LEVELS = 20_000
+from fieldlake.session import cut_lineage, may_broadcast
 
 
 def _replace(df: DataFrame, made: dict[str, Column]) -> DataFrame:
@@ -99,16 +97,33 @@ def _level(name: str) -> Column:
     return F.coalesce(col(name).cast("string"), F.lit("__nan__"))
 
 
-def level_table(df: DataFrame, columns: list[str], nulls: bool = True) -> DataFrame:
-    """Sorted levels of each column: feature, level, code (0-based).
+def _numbered(levels: DataFrame) -> DataFrame:
+    """feature, level and its code, the place from 0 among the feature's sorted levels.
 
-    Numbering orders the distinct levels of one column, never its rows.
+    Levels are numbered inside ranges of (feature, level), to which the counts of the ranges before are added, so the
+    levels of a column lie in as many tasks as they need.
     """
+    ranged = cut_lineage(levels.select("feature", "level").repartitionByRange("feature", "level").withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("feature").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("feature", "_part").agg(F.count("*").alias("_c"))  # one row a feature and range
+    offsets = counts.select("feature", "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy("feature", "_part").orderBy("level")) - 1
+    return ranged.withColumn("_in", inside).join(offsets, ["feature", "_part"]).select("feature", "level", (F.col("_in") + F.col("_off")).cast("int").alias("code"))
+
+
+def _levels(df: DataFrame, columns: list[str], nulls: bool = True) -> DataFrame:
+    """Distinct levels of each column: feature, level."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "feature string, level string")
     pairs = F.explode(F.array(*(
         F.struct(F.lit(c).alias("feature"), (_level(c) if nulls else col(c).cast("string")).alias("level")) for c in columns
     ))).alias("_s")
-    levels = df.select(pairs).select("_s.*").filter(F.col("level").isNotNull()).distinct()
-    return levels.withColumn("code", F.row_number().over(Window.partitionBy("feature").orderBy("level")) - 1)
+    return df.select(pairs).select("_s.*").filter(F.col("level").isNotNull()).distinct()
+
+
+def level_table(df: DataFrame, columns: list[str], nulls: bool = True) -> DataFrame:
+    """Sorted levels of each column: feature, level, code (0-based)."""
+    return _numbered(_levels(df, columns, nulls))
 
 
 def label_encode_fit(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -118,50 +133,59 @@ def label_encode_fit(df: DataFrame, columns: list[str]) -> DataFrame:
 def label_encode_apply(df: DataFrame, state: DataFrame, columns: list[str], suffix: str = "__code") -> DataFrame:
     """Add integer codes. Levels not seen in the fit are numbered after the known ones, in sorted order.
 
-    A bounded level table (checked) is a map literal; beyond the bound it is joined.
+    The codes are joined, one column after the other; a table of codes small enough (checked) is broadcast.
     """
-    seen = level_table(df, columns).select("feature", "level")
     size = state.groupBy("feature").agg(F.count("*").alias("_n"))
-    fresh = seen.join(state, ["feature", "level"], "left_anti").join(size, "feature", "left")
-    rank = F.row_number().over(Window.partitionBy("feature").orderBy("level"))
-    codes = state.unionByName(fresh.select("feature", "level", (F.coalesce("_n", F.lit(0)) + rank - 1).cast("int").alias("code")))
-    if at_most(codes, MAX_LEVELS):
-        table: dict[str, list] = {}
-        for r in codes.collect():
-            table.setdefault(r["feature"], []).append((r["level"], r["code"]))
-        added = {}
-        for c in columns:
-            pairs = [F.lit(v) for pair in table.get(c, []) for v in pair]
-            added[c + suffix] = F.create_map(*pairs)[_level(c)].cast("int") if pairs else F.lit(None).cast("int")
-        return df.withColumns(added)
+    fresh = _numbered(_levels(df, columns).join(state, ["feature", "level"], "left_anti")).join(size, "feature", "left")
+    codes = state.select("feature", "level", F.col("code").cast("int").alias("code")).unionByName(
+        fresh.select("feature", "level", (F.coalesce("_n", F.lit(0)) + F.col("code")).cast("int").alias("code")))
+    if may_broadcast(codes):
+        codes = F.broadcast(codes)
     out = df
     for c in columns:
-        one = codes.filter(F.col("feature") == c).select(F.col("level").alias(f"_{c}"), F.col("code").cast("int").alias(c + suffix))
-        out = out.withColumn(f"_{c}", _level(c)).join(one, f"_{c}", "left").drop(f"_{c}")
+        one = codes.filter(F.col("feature") == c).select(F.col("level").alias("_level"), F.col("code").alias(c + suffix))
+        out = out.withColumn("_level", _level(c)).join(one, "_level", "left").drop("_level")
     return out
 
 
-def dummy_name(column: str, level: str) -> str:
-    return f"{column.split('(')[0]}_{level}"
-
+def one_hot_fit(df: DataFrame, columns: list[str], max_levels: int = 1000, buckets: int = 256) -> DataFrame:
+    """The indicator columns: feature, level, code, name. All sorted levels of a column but the first get one.
 
-def one_hot_fit(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Levels that get a column: all but the first sorted one. feature, level, code, name."""
-    levels = level_table(df, [c for c in columns if c in df.columns], nulls=False)
+    A column of more than ``max_levels`` levels gets ``buckets`` indicators of hashed levels instead, which hold no level
+    and are named ``<prefix>_hash_<bucket>``: the frame stays as wide as it may be, whatever the levels.
+    """
+    columns = [c for c in columns if c in df.columns]
+    levels = cut_lineage(_levels(df, columns, nulls=False))
+    many = {r["feature"] for r in levels.groupBy("feature").count().filter(F.col("count") > max_levels).collect()}  # of the columns named
     prefix = F.element_at(F.split("feature", r"\("), 1)
-    return levels.filter("code > 0").withColumn("name", F.concat_ws("_", prefix, F.col("level")))
+    few = _numbered(levels.filter(~F.col("feature").isin(*many)) if many else levels)
+    state = few.filter("code > 0").withColumn("name", F.concat_ws("_", prefix, F.col("level")))
+    if not many:
+        return state
+    hashed = df.sparkSession.createDataFrame([(c,) for c in sorted(many)], "feature string").select(
+        "feature", F.lit(None).cast("string").alias("level"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("code"))
+    return state.unionByName(hashed.withColumn("name", F.concat_ws("_hash_", prefix, F.col("code").cast("string"))))
 
 
 def one_hot_apply(df: DataFrame, state: DataFrame) -> DataFrame:
-    """Replace category columns by the fitted dummies: unseen levels give all zeros, absent columns zeros."""
-    rows = state.orderBy("feature", "code").collect()
+    """Replace category columns by the fitted indicators: unseen levels give all zeros, absent columns zeros.
+
+    Where a column is hashed, unseen levels fall into a bucket, too; nulls give all zeros.
+    """
+    rows = state.orderBy("feature", "code").collect()  # as many as one_hot_fit allows
     used = {r["feature"] for r in rows}
     base = [col(c) for c in df.columns if c not in used]
-    dummies = [
-        (F.coalesce(col(r["feature"]).cast("string") == r["level"], F.lit(False)).cast("int") if r["feature"] in df.columns else F.lit(0)).alias(r["name"])
-        for r in rows
-    ]
-    return df.select(*base, *dummies)
+    buckets = {f: sum(r["feature"] == f for r in rows) for f in {r["feature"] for r in rows if r["level"] is None}}
+
+    def indicator(row) -> Column:
+        if row["feature"] not in df.columns:
+            return F.lit(0)
+        level = col(row["feature"]).cast("string")
+        if row["level"] is not None:
+            return F.coalesce(level == row["level"], F.lit(False)).cast("int")
+        return (level.isNotNull() & (F.pmod(F.xxhash64(level), F.lit(buckets[row["feature"]])) == row["code"])).cast("int")
+
+    return df.select(*base, *(indicator(r).alias(r["name"]) for r in rows))
 
 
 # ---- scaling --------------------------------------------------------------

@@ -63,6 +63,19 @@ def label_codes(t: Tables) -> DataFrame:
     return P.label_encode_apply(model_rows(t), P.label_encode_fit(_train(t), columns), columns).select("row_id", "area__code", "season__code")
 
 
+_MANY = """o AS (SELECT o_orderkey AS row_id, o_custkey || '/' || o_orderkey % 97 AS v FROM orders),
+k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT v FROM o WHERE row_id % 3 <> 0)),
+u AS (SELECT v, row_number() OVER (ORDER BY v) - 1 + (SELECT count(*) FROM k) AS code FROM (SELECT DISTINCT v FROM o ANTI JOIN k USING (v)))"""
+
+
+@query("label_codes_many_levels", ctes(_MANY) + "SELECT row_id, CAST(coalesce(k.code, u.code) AS INT) AS v__code FROM o LEFT JOIN k USING (v) LEFT JOIN u USING (v)")
+def label_codes_many_levels(t: Tables) -> DataFrame:
+    """Nearly as many levels as rows, a third of the rows not in the fit."""
+    level = F.concat_ws("/", F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 97).cast("string"))
+    rows = t("orders").select(F.col("o_orderkey").alias("row_id"), level.alias("v"))
+    return P.label_encode_apply(rows, P.label_encode_fit(rows.filter("row_id % 3 <> 0"), ["v"]), ["v"]).select("row_id", "v__code")
+
+
 @query("one_hot_rows", _MT + """SELECT row_id, coalesce(area = '2-HIGH', false)::INT AS "area_2-HIGH", coalesce(season = 'O', false)::INT AS "season_O", coalesce(season = 'P', false)::INT AS "season_P" FROM model""")
 def one_hot_rows(t: Tables) -> DataFrame:
     rows = P.one_hot_apply(model_rows(t), P.one_hot_fit(_train(t), ["area", "season"]))
