@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlake.naming import col
-from fieldlake.operators.linear import fit_elastic_net, fit_fourier
+from fieldlake.operators.linear import LineModel, fit_elastic_net, fit_fourier
 from fieldlake.operators.metrics import regression_metrics
 from fieldlake.session import cut_lineage
 
@@ -252,6 +252,19 @@ def linear_shapley(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     return one.select(F.explode(F.array(*(F.col(f"_{i}") for i in range(len(weights))))).alias("_s")).select("_s.*")
 
 
+def attribution(models: dict[str, Transformer], df: DataFrame, features: list[str], target: str, row_id: str) -> DataFrame:
+    """model, feature, importance by shuffling, shapley (mean size; null unless the model is linear in the features)."""
+    parts = []
+    for name, model in models.items():
+        one = permutation_importance(df, model, features, target, row_id)
+        if isinstance(model, LineModel):
+            one = one.join(linear_shapley(df, dict(zip(features, model.coefficients))), "feature", "left")
+        else:
+            one = one.withColumn("shapley", F.lit(None).cast("double"))
+        parts.append(one.select(F.lit(name).alias("model"), "feature", "importance", "shapley"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---- blending -------------------------------------------------------------
 
 def simplex(models: int, parts: int, floors: list[float]) -> list[tuple[float, ...]]:

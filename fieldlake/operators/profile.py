@@ -260,6 +260,27 @@ def normal_reference(p: float) -> float:
 
 # ---- cleanup --------------------------------------------------------------
 
+def data_profile(df: DataFrame, target: str, group: str | None = None, ids: tuple[str, ...] = (), selected: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """All tables of a look at the data before it is modelled, by name.
+
+    missing, families (with the number of ``selected`` features), target, target_histogram, target_quantiles (against the
+    normal), target_correlations; with a ``group`` also missing_by_group and target_by_group.
+    """
+    columns = [c for c in df.columns if c not in ids]
+    features = [c for c in numeric_columns(df) if c not in (*ids, target)]
+    tables = {
+        "missing": missing_report(df, columns), "target": target_stats(df, target), "target_histogram": histogram(df, target),
+        "target_quantiles": qq_points(df, target),
+    }
+    if features:
+        tables["families"] = family_profile(df, features, list(selected))
+        tables["target_correlations"] = target_corr(df, target, features)
+    if group is not None and group in df.columns:
+        tables["missing_by_group"] = missing_by_group(df, group, [c for c in columns if c != group])
+        tables["target_by_group"] = box_stats(df, group, target)
+    return tables
+
+
 def missing_fractions(df: DataFrame) -> dict[str, float]:
     """Missing share per column: one pass, one row back."""
     row = df.agg(*(F.avg(col(c).isNull().cast("double")).alias(c) for c in df.columns)).first()

@@ -240,6 +240,20 @@ def out_of_fold_least_squares(t: Tables) -> DataFrame:
     return _round(M.oof_predict(folded, [_plain()], ["x1", "x2"], "target", "row_id", 3), ["elastic_net"], 2)
 
 
+_WEIGHTS = "(s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12) AS b2, a1, a2"
+
+
+@query("least_squares_attribution", ctes(MODEL_SQL) + f""", b AS (SELECT * FROM model WHERE x1 IS NOT NULL AND x2 IS NOT NULL), w AS (SELECT {_WEIGHTS} FROM (SELECT {_MOMENTS} FROM b))
+SELECT 'elastic_net' AS model, 'x1' AS feature, true AS helps, round(avg(abs(b1 * (x1 - a1))), 2) AS shapley FROM b, w UNION ALL
+SELECT 'elastic_net', 'x2', NULL, round(avg(abs(b2 * (x2 - a2))), 2) FROM b, w""")
+def least_squares_attribution(t: Tables) -> DataFrame:
+    """x1 carries the target: shuffling it costs accuracy. Whether x2 does is chance and not compared."""
+    rows = _both(t)
+    models = M.fit_all(rows, [_plain()], ["x1", "x2"], "target", "row_id")
+    out = M.attribution(models, rows, ["x1", "x2"], "target", "row_id")
+    return out.select("model", "feature", F.when(F.col("feature") == "x1", F.col("importance") > 0).alias("helps"), F.round("shapley", 2).alias("shapley"))
+
+
 # ---- blending -------------------------------------------------------------
 
 _GRID = M.simplex(2, 10, [0.0, 0.05])

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from fieldlake.operators.metrics import psi, psi_reference, quality_score, regression_metrics
 from fieldlake.operators.order import average_rank, column_quantiles, grouped_quantiles, unpivot
 from fieldlake.operators.profile import (
-    NORMAL_COEFFICIENTS, box_stats, column_manifest, corr_matrix, drop_empty_std, family_profile, histogram, missing_by_group, missing_report, qq_points,
-    report_rows, residuals, target_corr, target_stats,
+    NORMAL_COEFFICIENTS, box_stats, column_manifest, corr_matrix, data_profile, drop_empty_std, family_profile, histogram, missing_by_group,
+    missing_report, qq_points, report_rows, residuals, target_corr, target_stats,
 )
 from fieldlake.queries.base import MODEL_SQL, Tables, ctes, model_rows, query
 
@@ -117,6 +117,35 @@ def target_boxes_by_season(t: Tables) -> DataFrame:
     return _rounded(box_stats(model_rows(t), "season", "target"), ["low", "q1", "median", "q3", "high"], 6)
 
 
+@query("data_profile", _M + " UNION ALL ".join([
+    *(f"SELECT 'missing' AS section, '{c}' AS item, '' AS part, round(CAST(count(*) - count({c}) AS DOUBLE) / count(*) * 100, 6) AS value FROM model" for c in ["target", "season", "area", *_X]),
+    *(f"SELECT 'missing_by_group', '{c}', season, round(CAST(count(*) - count({c}) AS DOUBLE) / count(*) * 100, 6) FROM model GROUP BY season" for c in ["target", "area", *_X]),
+    *(f"SELECT 'target_correlations', '{c}', '', round(abs(corr({c}, target)), 6) FROM model" for c in _X),
+    "SELECT 'target_by_group', 'median', season, round(quantile_cont(target, 0.5), 4) FROM model GROUP BY season",
+    "SELECT 'target', 'mean', '', round(avg(target), 4) FROM model", "SELECT 'target_histogram', 'n', '', CAST(count(target) AS DOUBLE) FROM model",
+    "SELECT 'target_quantiles', 'n', '', CAST(count(target) AS DOUBLE) FROM model",
+]))
+def data_profile_rows(t: Tables) -> DataFrame:
+    """The tables of a profile, one value a row; of the distributions the number of rows that they cover."""
+    tables = data_profile(model_rows(t), "target", "season", ("row_id",))
+    row = lambda df, name, item, part, value, places=6: df.select(
+        F.lit(name).alias("section"), item.alias("item"), part.alias("part"), F.round(value.cast("double"), places).alias("value"))
+    none, feature = F.lit(""), F.col("feature")
+    parts = [
+        row(tables["missing"], "missing", feature, none, F.col("pct")),
+        row(tables["missing_by_group"], "missing_by_group", feature, F.col("season"), F.col("pct")),
+        row(tables["target_correlations"], "target_correlations", feature, none, F.col("abs_r")),
+        row(tables["target_by_group"], "target_by_group", F.lit("median"), F.col("season"), F.col("median"), 4),
+        row(tables["target"], "target", F.lit("mean"), none, F.col("mean"), 4),
+        row(tables["target_histogram"].agg(F.sum("n").alias("n")), "target_histogram", F.lit("n"), none, F.col("n")),
+        row(tables["target_quantiles"].agg(F.count("*").alias("n")), "target_quantiles", F.lit("n"), none, F.col("n")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query("narrowed_quantiles", " UNION ALL ".join(
     f"SELECT l_returnflag, {p}::DOUBLE AS p, round(quantile_cont(l_extendedprice, {p}), 6) AS value FROM lineitem GROUP BY ALL" for p in (0.01, 0.25, 0.5, 0.99)))
 def narrowed_quantiles(t: Tables) -> DataFrame:
