@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldlake.config import WeatherConfig
 from fieldlake.naming import KEYS, col, find_column, harvest_column
 from fieldlake.operators.keyed import dedup_first
-from fieldlake.sources.tables import clean_columns
+from fieldlake.sources.tables import clean_columns, nan_to_null
 
 # Accepted date forms, day first.
 DATE_FORMATS = ("d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "yyyy-M-d", "yyyy/M/d")
@@ -61,9 +61,10 @@ def calendar_window(df: DataFrame, months: int, mode: str = "last", date: str =
 def clean_fields(raw: DataFrame, order: list[str], months: int | None = None, mode: str = "last") -> DataFrame:
     """Raw field table to one row per (date, latitude, longitude), other columns kept.
 
+    Text is cleaned and NaN becomes null; rows without readable coordinates go, and with ``months`` those without a date.
     ``order`` decides which row of a duplicate key is the first.
     """
-    cleaned = clean_columns(raw)
+    cleaned = clean_columns(nan_to_null(raw))
     harvest = harvest_column(cleaned.columns)
     if harvest is None:
         raise ValueError("no harvest date column found")

@@ -14,7 +14,7 @@ from fieldlake.operators.keyed import (
 from fieldlake.operators.profile import drop_sparse_columns
 from fieldlake.operators.prep import prepare_model_input
 from fieldlake.plans.fetch import build_fetch_plan, default_plan, plan_summary, standardise
-from fieldlake.plans.fields import calendar_window, coerce_coords, parse_date, valid_coords
+from fieldlake.plans.fields import calendar_window, clean_fields, coerce_coords, parse_date, valid_coords
 from fieldlake.plans.mapping import MAPPING_COLUMNS, clean_mapping, dedup_mapping, normalise_mapping
 from fieldlake.queries.base import (
     ANCHORS_SQL, FIELDS_SQL, MAPPING_SQL, OBS_SQL, PLAN_SQL, Tables, anchors, ctes, latitude, longitude, mapping_frame,
@@ -126,6 +126,24 @@ def dedup_fields(t: Tables) -> DataFrame:
     return dedup_first(raw_fields(t), KEYS, ["field_id"])
 
 
+@query("clean_field_table", """
+WITH raw AS (SELECT o_orderkey AS field_id, '''' || o_orderpriority || '''' AS area, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS crop_yield, CAST(o_orderdate AS DATE) AS date,
+  CAST(40000 + (o_custkey * 7) % 1000 AS DOUBLE) / 1000 AS latitude, CAST(-5000 + o_custkey % 50 AS DOUBLE) / 1000 AS longitude FROM orders WHERE o_orderkey % 31 <> 0 AND o_custkey % 29 <> 0),
+kept AS (SELECT *, dense_rank() OVER (ORDER BY date_trunc('month', date) DESC) AS m, row_number() OVER (PARTITION BY date, latitude, longitude ORDER BY field_id) AS n FROM raw)
+SELECT date, latitude, longitude, field_id, area, crop_yield FROM kept WHERE m <= 24 AND n = 1""")
+def clean_field_table(t: Tables) -> DataFrame:
+    """A field table as people keep it: dates in several forms or none, coordinates as text, curly quotes, NaN."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    rows = t("orders").select(
+        key.alias("field_id"), F.concat(F.lit(" \u2018"), "o_orderpriority", F.lit("\u2019\n")).alias("area"),
+        F.when(key % 7 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("crop_yield"),
+        F.when(key % 31 == 0, F.lit("unknown")).when(key % 2 == 0, F.date_format(day, "d/M/yyyy")).otherwise(F.concat(day.cast("string"), F.lit(" "))).alias("Harvest Date"),
+        F.when(F.col("o_custkey") % 29 == 0, F.lit("n/a")).otherwise(F.concat(F.lit(" "), latitude(F.col("o_custkey")).cast("string"))).alias("Latitude"),
+        longitude(F.col("o_custkey")).cast("string").alias("Longitude"),
+    )
+    return clean_fields(rows, ["field_id"], 24).select("date", "latitude", "longitude", "field_id", "area", "crop_yield")
+
+
 @query("dedup_hot_status", """
 SELECT o_orderstatus, o_orderkey, o_custkey, o_totalprice FROM (
   SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS rn FROM orders) WHERE rn = 1""")
