@@ -16,7 +16,7 @@ from fieldlake.operators.impute import iterative_impute_apply, iterative_impute_
 from fieldlake.operators.neighbours import knn_impute
 from fieldlake.operators.order import column_quantiles
 from fieldlake.operators.profile import numeric_columns
-from fieldlake.session import cut_lineage, may_broadcast
+from fieldlake.session import cut_lineage
 
 
 def _replace(df: DataFrame, made: dict[str, Column]) -> DataFrame:
@@ -133,14 +133,12 @@ def label_encode_fit(df: DataFrame, columns: list[str]) -> DataFrame:
 def label_encode_apply(df: DataFrame, state: DataFrame, columns: list[str], suffix: str = "__code") -> DataFrame:
     """Add integer codes. Levels not seen in the fit are numbered after the known ones, in sorted order.
 
-    The codes are joined, one column after the other; a table of codes small enough (checked) is broadcast.
+    The codes are written once and joined, one column after the other; Spark knows their size and broadcasts them if small.
     """
     size = state.groupBy("feature").agg(F.count("*").alias("_n"))
     fresh = _numbered(_levels(df, columns).join(state, ["feature", "level"], "left_anti")).join(size, "feature", "left")
-    codes = state.select("feature", "level", F.col("code").cast("int").alias("code")).unionByName(
-        fresh.select("feature", "level", (F.coalesce("_n", F.lit(0)) + F.col("code")).cast("int").alias("code")))
-    if may_broadcast(codes):
-        codes = F.broadcast(codes)
+    codes = cut_lineage(state.select("feature", "level", F.col("code").cast("int").alias("code")).unionByName(
+        fresh.select("feature", "level", (F.coalesce("_n", F.lit(0)) + F.col("code")).cast("int").alias("code"))))
     out = df
     for c in columns:
         one = codes.filter(F.col("feature") == c).select(F.col("level").alias("_level"), F.col("code").alias(c + suffix))
