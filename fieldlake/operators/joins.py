@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldlake.naming import KEYS, col
 from fieldlake.plans.fetch import standardise
-from fieldlake.session import BROADCAST_ROWS, at_most, may_broadcast, replicated, salted, salted_join
+from fieldlake.session import BROADCAST_ROWS, at_most, may_broadcast, replicated, salted, salted_join, shuffled
 
 EARTH_RADIUS_M = 6371000.0
 METRES_PER_DEGREE = 111194.92664455873  # EARTH_RADIUS_M * pi / 180
@@ -44,7 +44,7 @@ def window_join(
     spread = anchors.filter(end >= start).withColumn("_slot", F.explode(F.sequence(slot(start), slot(end))))
     sliced = obs.withColumn("_slot", slot(_epoch_day(col(obs_date))))
     day = _epoch_day(col(obs_date))
-    return spread.join(sliced, [*on, "_slot"]).filter((day >= start) & (day <= end)).drop("_slot")
+    return shuffled(spread).join(sliced, [*on, "_slot"]).filter((day >= start) & (day <= end)).drop("_slot")
 
 
 def nearest_rank(anchor: Column, day: Column) -> Column:
@@ -211,7 +211,7 @@ def merge_source(left: DataFrame, right: DataFrame | None, suffix: str, keys: li
 
 def attach_meta(master: DataFrame, meta: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Field attributes (one row per key) onto the master."""
-    return master.join(meta, keys, "left")
+    return shuffled(master).join(meta, keys, "left")
 
 
 def build_master(stages: list[tuple[DataFrame, str]], keys: list[str] = KEYS, unique: bool = False) -> DataFrame:

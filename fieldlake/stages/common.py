@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldlake.naming import KEYS, col
 from fieldlake.operators.joins import METRES_PER_DEGREE, asof_earliest, asof_nearest, buffer_join, window_join
 from fieldlake.operators.zonal import median_composite, zonal_stats
-from fieldlake.session import cut_lineage
+from fieldlake.session import cut_lineage, shuffled
 
 PLACE = ["latitude", "longitude"]
 BLOCK_DEGREES = 5.625
@@ -98,11 +98,11 @@ def scene_window_stats(
     choose = asof_nearest if pick == "nearest" else asof_earliest
     picked = choose(anchors, scenes, PLACE, days, ["scene_id"]).select(*PLACE, "anchor_date", "scene_id")
     per_scene = zonal_stats(region, [*PLACE, "scene_id", "band"], stats)
-    direct = picked.join(per_scene, [*PLACE, "scene_id"]).withColumnRenamed("anchor_date", "date").drop("scene_id")
-    found = cut_lineage(wanted.join(direct, [*KEYS, "band"]))
+    direct = shuffled(picked).join(per_scene, [*PLACE, "scene_id"]).withColumnRenamed("anchor_date", "date").drop("scene_id")
+    found = cut_lineage(shuffled(wanted).join(direct, [*KEYS, "band"]))
     # Only a key with a scene in its window but no value from it has anything to gain from the composite.
     chosen = picked.withColumnRenamed("anchor_date", "date").select(*KEYS)
-    empty = wanted.join(chosen, KEYS, "left_semi").join(found.select(*KEYS).distinct(), KEYS, "left_anti")
+    empty = wanted.join(shuffled(chosen), KEYS, "left_semi").join(shuffled(found.select(*KEYS).distinct()), KEYS, "left_anti")
     empty = cut_lineage(empty.withColumnRenamed("date", "anchor_date"))
     if empty.isEmpty():
         return found

@@ -11,7 +11,7 @@ from fieldlake.naming import KEYS, col, stat_name
 from fieldlake.operators.grids import terrain
 from fieldlake.operators.zonal import daily_reduce, pivot_stats, suppress_zero, zonal_stats
 from fieldlake.plans.requests import reanalysis_requests, soil_requests, source_rows, terrain_requests
-from fieldlake.session import cut_lineage
+from fieldlake.session import cut_lineage, shuffled
 from fieldlake.stages.common import PLACE, near_pixels, region_pixels, requested_values
 
 TERRAIN_STATS = ("mean", "stdDev", "min", "max")
@@ -26,7 +26,7 @@ def terrain_stage(plan: DataFrame, dem: DataFrame, cell_m: float, cfg: TerrainCo
     spots = near.select("px_row", "px_col", "lat", "lon").join(layers, ["px_row", "px_col"])
     stats = zonal_stats(region_pixels(requests, spots, cfg.buffer_m), [*PLACE, "variable"], TERRAIN_STATS)
     asked = requests.select(*KEYS, F.explode("bands").alias("variable"))
-    kept = suppress_zero(asked.join(stats, [*PLACE, "variable"]), "terrain")
+    kept = suppress_zero(shuffled(asked).join(stats, [*PLACE, "variable"]), "terrain")
     wide = pivot_stats(kept, KEYS, list(cfg.bands), list(TERRAIN_STATS))
     return wide.drop(*cfg.excluded_stats)
 
@@ -45,12 +45,12 @@ def reanalysis_stage(plan: DataFrame, hourly: DataFrame, cfg: ReanalysisConfig =
     region = region_pixels(requests, slim, cfg.buffer_m)
     asked = requests.select(*KEYS, "irrigation", F.explode("bands").alias("band"))
     # Only days that some key asks for are reduced.
-    needed = region.join(asked.select(*KEYS, "band").distinct(), [*KEYS, "band"], "left_semi")
+    needed = region.join(shuffled(asked.select(*KEYS, "band").distinct()), [*KEYS, "band"], "left_semi")
     daily = daily_reduce(needed, [*KEYS, "band", "px_row", "px_col"], cfg.sum_bands)
     stats = zonal_stats(daily, [*KEYS, "band"], PLAIN_STATS).withColumnRenamed("band", "variable")
     wide = pivot_stats(stats, KEYS, bands, list(PLAIN_STATS))
     flags = requests.select(*KEYS, "irrigation")
-    both = flags.join(wide, KEYS)
+    both = shuffled(flags).join(wide, KEYS)
     made = {}
     for band in bands:
         flipped = "potential_evaporation" in band and not cfg.keep_flipped_extremes
@@ -71,4 +71,4 @@ def soil_stage(plan: DataFrame, pixels: DataFrame, cfg: SoilConfig = SoilConfig(
     region = region_pixels(requests, pixels.filter(F.col("band").isin(*bands)), cfg.buffer_m)
     stats = zonal_stats(region, [*PLACE, "band"], PLAIN_STATS)
     asked = requests.select(*KEYS, F.explode("bands").alias("band"))
-    return pivot_stats(asked.join(stats, [*PLACE, "band"]).withColumnRenamed("band", "variable"), KEYS, bands, list(PLAIN_STATS))
+    return pivot_stats(shuffled(asked).join(stats, [*PLACE, "band"]).withColumnRenamed("band", "variable"), KEYS, bands, list(PLAIN_STATS))
