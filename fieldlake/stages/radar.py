@@ -12,7 +12,7 @@ from fieldlake.operators.grids import focal_median
 from fieldlake.operators.joins import asof_nearest, window_join
 from fieldlake.operators.zonal import median_composite, pivot_stats, suppress_zero, zonal_stats
 from fieldlake.plans.requests import sar_requests, source_rows
-from fieldlake.session import cut_lineage
+from fieldlake.session import cut_lineage, shuffled
 from fieldlake.sources.scenes import scene_pixels, select_scenes
 from fieldlake.stages.common import PLACE, near_pixels, region_pixels, scenes_in_windows
 
@@ -48,11 +48,11 @@ def radar_stage(plan: DataFrame, scenes: DataFrame, pixels: DataFrame, cfg: Rada
     if cfg.mode == "nearest":
         seen = region.select(*PLACE, "obs_date", "scene_id").distinct()
         pick = asof_nearest(anchors, seen, PLACE, cfg.window_days, ["scene_id"]).drop("obs_date")
-        hits = pick.join(region, [*PLACE, "scene_id"])
+        hits = shuffled(pick).join(region, [*PLACE, "scene_id"])
     else:
         hits = window_join(anchors, region, PLACE, cfg.window_days, cfg.window_days, "left")
     composite = median_composite(hits.withColumnRenamed("anchor_date", "date"), [*KEYS, "band", "px_row", "px_col"])
     stats = zonal_stats(radar_layers(composite), [*KEYS, "variable"], cfg.statistics)
     asked = requests.select(*KEYS, F.explode("groups").alias("variable"))
-    kept = suppress_zero(asked.join(stats, [*KEYS, "variable"]), "radar")
+    kept = suppress_zero(shuffled(asked).join(stats, [*KEYS, "variable"]), "radar")
     return pivot_stats(kept, KEYS, list(cfg.default_groups), list(cfg.statistics))
