@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldlake.naming import col, stat_name
 from fieldlake.operators.joins import window_join
+from fieldlake.session import shuffled
 
 STATS = {
     "mean": lambda v: F.try_divide(F.sum(v).cast("double"), F.count(v).cast("double")),
@@ -82,7 +83,7 @@ def vci_by_region(extremes: DataFrame, current: DataFrame, by: list[str]) -> Dat
     span = col("high") - col("low")
     ratio = F.when(span != 0, (col("current") - col("low")) / span)
     keys = [c for c in current.columns if c != "current"]
-    return current.join(region, by).select(*map(col, keys), ratio.alias("VCI")).filter(col("VCI").isNotNull())
+    return shuffled(current).join(region, by).select(*map(col, keys), ratio.alias("VCI")).filter(col("VCI").isNotNull())
 
 
 def suppress_zero(stats: DataFrame, rule: str, variable: str = "variable") -> DataFrame:

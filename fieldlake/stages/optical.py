@@ -14,7 +14,7 @@ from fieldlake.naming import KEYS, col, dataset_column
 from fieldlake.operators.keyed import drop_all_zero, interpolate_linear
 from fieldlake.operators.zonal import pivot_stats, suppress_zero, vci_by_region, year_extremes
 from fieldlake.plans.requests import match_bands, optical_requests, source_rows, wants_vci
-from fieldlake.session import cut_lineage
+from fieldlake.session import cut_lineage, shuffled
 from fieldlake.sources.scenes import scene_pixels, select_scenes
 from fieldlake.stages.common import PLACE, region_pixels, scene_window_stats, scenes_in_windows
 
@@ -81,7 +81,7 @@ def optical_stage(
         wanted = cut_lineage(match_bands(asked, bands))
         names.update(r["token"] for r in wanted.select("token").distinct().collect())
         stats = scene_window_stats(wanted.select(*KEYS, "band").distinct(), region, product_days(product, cfg), cfg.pick)
-        tables.append(wanted.join(stats, [*KEYS, "band"]).select(*KEYS, F.col("token").alias("variable"), "mean", "min", "max"))
+        tables.append(shuffled(wanted).join(stats, [*KEYS, "band"]).select(*KEYS, F.col("token").alias("variable"), "mean", "min", "max"))
         if product == VCI_PRODUCT:
             tables.append(_vci_rows(mine, region, cfg))
             names.add("VCI")

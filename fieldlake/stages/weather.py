@@ -13,7 +13,7 @@ from fieldlake.operators.profile import drop_empty_std
 from fieldlake.operators.zonal import STATS
 from fieldlake.plans.fields import valid_coords
 from fieldlake.plans.requests import source_rows, weather_requests
-from fieldlake.session import cut_lineage
+from fieldlake.session import cut_lineage, may_broadcast, shuffled
 from fieldlake.stages.common import PLACE, requested_values
 
 STAT_NAMES = ("mean", "min", "max", "std")
@@ -40,7 +40,8 @@ def _of_interest(obs: DataFrame, wanted: DataFrame, names: list[str], window_day
     if first is not None:
         days = F.make_interval(days=F.lit(window_days))
         near = near.filter(F.col("date").between((F.lit(first) - days).cast("date"), (F.lit(last) + days).cast("date")))
-    return near.join(wanted.select(*PLACE).distinct(), PLACE, "left_semi")
+    places = wanted.select(*PLACE).distinct()
+    return near.join(F.broadcast(places) if may_broadcast(places) else shuffled(places), PLACE, "left_semi")
 
 
 def weather_stage(
