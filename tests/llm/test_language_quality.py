@@ -85,6 +85,20 @@ def test_odd_texts_and_rejection(spark):
     assert language.known_language(docs).count() == docs.count()  # clean documents stay
 
 
+@pytest.mark.parametrize("limit", [40, 300])
+def test_models_beyond_the_limit_lose_no_run(spark, monkeypatch, limit):
+    docs = spark.read.parquet(MID + "/documents.parquet").filter("doc_id % 9 = 0").select("doc_id", "text", "lang")
+    odd = docs.unionByName(spark.createDataFrame([(None, None, "xx"), (-1, "12 34", None), (-1, "qqq żółw", None), (-1, "qqq żółw", None)], docs.schema))
+    shown = lambda: sorted((tuple(r) for r in language.identify(odd, *language.train(docs), keep=["doc_id"]).collect()), key=str)
+    whole = shown()
+    monkeypatch.setattr(language, "MAX_RUNS", limit)
+    assert isinstance(language.fit(docs), language.LargeModel)
+    cut = shown()
+    assert [r[:2] + r[3:4] for r in cut] == [r[:2] + r[3:4] for r in whole]
+    assert np.allclose([r[2] for r in cut], [r[2] for r in whole], atol=1e-6)
+    assert np.allclose([r[4] or 0 for r in cut], [r[4] or 0 for r in whole], rtol=1e-9)
+
+
 def test_mislabelled_rows_of_one_language_leave_rejection_on(spark):
     rng = np.random.default_rng(6)
     say = lambda letters: " ".join("".join(rng.choice(list(letters), 4)) for _ in range(30))
