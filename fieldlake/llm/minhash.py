@@ -29,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -249,12 +250,12 @@ def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     bitmap[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = _bits(column_of(batch, "id").to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array((shared.value[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) == 1))
+    @F.pandas_udf("boolean")
+    def marked(id_: pd.Series) -> pd.Series:  # only ids go through Python, texts stay where they are
+        bits = _bits(id_.to_numpy())
+        return pd.Series((shared.value[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) == 1)
 
-    return rows.mapInArrow(keep, rows.schema)
+    return rows.filter(marked("id"))
 
 
 def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
