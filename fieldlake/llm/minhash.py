@@ -46,12 +46,19 @@ IDF_SHARE = 0.25
 COUNTERS_LOG2 = 20
 BLOCK = 1 << 12
 BLOCK_ROWS = 512
+PIECE_ROWS = 512  # rows whose texts a worker holds as sets at a time
 NEAR = 0.64  # more than three standard deviations below the similarity sought
 TABLE_LOG2 = 16
 ID_BITS_LOG2 = 27  # 16 MB
 SEED = 20240
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of ``PIECE_ROWS`` rows: what is made of the texts is held for one part at a time."""
+    for start in range(0, batch.num_rows, PIECE_ROWS):
+        yield batch.slice(start, PIECE_ROWS)
+
+
 # ---- document frequencies -------------------------------------------------
 
 def _counters(h: np.ndarray) -> np.ndarray:
@@ -76,7 +83,7 @@ def frequency_weights(docs: DataFrame, text: str = "text"):
         total, rows = np.zeros(1 << COUNTERS_LOG2, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for _, _, shingles in shingle_groups(texts_of(batch, "t"), WIDTH):
+            for _, _, shingles in (g for piece in _pieces(batch) for g in shingle_groups(texts_of(piece, "t"), WIDTH)):
                 owner = mixed(np.repeat(np.arange(len(shingles), dtype=np.uint64), [len(s) for s in shingles]) + np.uint64(1))
                 flat = np.concatenate(shingles)
                 _, first = np.unique(flat ^ owner, return_index=True)
@@ -140,8 +147,11 @@ class Sampler:
     def __init__(self, samples: int = BANDS * ROWS, seed: int = SEED):
         rng = np.random.default_rng(seed)
         size = (samples, 1 << TABLE_LOG2)
-        self.r = rng.gamma(2.0, 1.0, size).astype(np.float32)
-        self.c = np.log(rng.gamma(2.0, 1.0, size)).astype(np.float32)
+        self.r, self.c = np.empty(size, np.float32), np.empty(size, np.float32)
+        for row in self.r:  # row by row: no table is held in double precision
+            row[:] = rng.gamma(2.0, 1.0, size[1])
+        for row in self.c:
+            row[:] = np.log(rng.gamma(2.0, 1.0, size[1]))
         self.beta = rng.random(size, dtype=np.float32)
         self.odd = rng.integers(0, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -184,7 +194,7 @@ def _sketches(docs: DataFrame, weights, text: str, id_name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler()
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             ids = column_of(batch, "id").to_numpy(zero_copy_only=False)
             for begin, words, shingles in shingle_groups(texts_of(batch, "t"), WIDTH):
                 some = [i for i, s in enumerate(shingles) if len(s)]
@@ -217,7 +227,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights, text: str, id_name: st
         texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             coded = [column_of(batch, name).dictionary_encode() for name in ("ta", "tb")]  # a text of many pairs is read once
             sets = [
                 [weighted_set(s, weights.value) for _, _, found in shingle_groups([t or "" for t in c.dictionary.to_pylist()], WIDTH) for s in found]
