@@ -11,6 +11,7 @@ import cases  # noqa: E402
 
 from fieldlake.llm import language, quality
 from fieldlake.llm.queries import QUERIES
+from fieldlake.session import cut_lineage
 
 MID = "/root/testdata/sf0.01"
 
@@ -103,13 +104,33 @@ def test_mislabelled_rows_of_one_language_leave_rejection_on(spark):
     rng = np.random.default_rng(6)
     say = lambda letters: " ".join("".join(rng.choice(list(letters), 4)) for _ in range(30))
     rows = [(say("abcde"), "aa") for _ in range(1200)] + [(say("mnopq"), "bb") for _ in range(1200)]
-    rows += [(say("абвгд"), "aa") for _ in range(6)]  # 0.5 % of that language, in a script that no model has
+    rows += [(say("abcгд"), "aa") for _ in range(6)]  # 0.5 % of that language, in a script that no model has
     docs = spark.createDataFrame(rows, "text string, lang string")
     model = spark.sparkContext.broadcast(language.fit(docs.limit(2400).filter("text rlike '^[a-z ]+$'")))
     limits = language.calibrate(docs, model).limit
     assert limits["bb"] < 1 < limits["aa"]
 
 
+def two_languages(spark, n, common):
+    """``n`` texts of few letters: ``common`` of 100 in 'aa', one in 100 of these with letters that no model has; the others in 'bb', clean."""
+    pick = lambda letters, salt: F.substring(F.lit(letters), (F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(5)) + 1).cast("int"), F.lit(1))
+    say = lambda letters: F.concat(*(F.lit(" ") if i % 4 == 3 else pick(letters, i) for i in range(48)))
+    docs = spark.range(n).withColumnRenamed("id", "doc_id")
+    first = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(100)) < common
+    strange = F.pmod(F.xxhash64("doc_id", F.lit(98)), F.lit(100)) == 0
+    text = F.when(first & strange, say("abcгд")).when(first, say("abcde")).otherwise(say("mnopq"))
+    return docs.select("doc_id", text.alias("text"), F.when(first, "aa").otherwise("bb").alias("lang"))
+
+
+def test_all_held_out_rows_calibrate(spark):
+    docs = cut_lineage(two_languages(spark, 46_000, 96))  # about 1840 of 'bb': of any 20000 rows fewer than FEW
+    n = docs.filter("lang = 'bb'").count()
+    assert n * 20_000 / 46_000 < language.FEW < n
+    model = spark.sparkContext.broadcast(language.fit(docs.filter("text rlike '^[a-z ]+$'").limit(3000)))
+    limits = language.calibrate(docs, model).limit
+    assert limits["bb"] < 1 < limits["aa"]
+
+
 # ---- quality --------------------------------------------------------------
 
 def test_risk_gradient_and_clamp():
