@@ -131,6 +131,16 @@ def test_all_held_out_rows_calibrate(spark):
     assert limits["bb"] < 1 < limits["aa"]
 
 
+def test_known_language_learns_limits_from_all_held_out_rows(spark):
+    docs = two_languages(spark, 120_000, 96).filter("text rlike '^[a-z ]+$' or crc32(cast(doc_id as string)) % 16 >= 12")
+    odd = docs.filter("lang = 'bb' and crc32(cast(doc_id + 1000000 as string)) % 16 >= 12").limit(1).select(  # fits no model
+        (F.col("doc_id") + 1_000_000).alias("doc_id"), F.translate("text", "opq", "вгд").alias("text"), "lang")
+    docs = cut_lineage(docs.unionByName(odd))
+    kept = language.known_language(docs)
+    assert kept.filter("doc_id >= 1000000").count() == 0
+    assert kept.filter("lang = 'bb'").count() > 0.99 * docs.filter("lang = 'bb'").count()
+
+
 # ---- quality --------------------------------------------------------------
 
 def test_risk_gradient_and_clamp():
