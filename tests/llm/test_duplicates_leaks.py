@@ -9,6 +9,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import cases  # noqa: E402
 
 from fieldlake.llm import minhash, multi_index
+from fieldlake.session import cut_lineage
 from fieldlake.llm.common import shingle_groups
 from fieldlake.llm.decontaminate import Canonical, drop_leaks, find_leaks
 from fieldlake.llm.graph import components
@@ -126,6 +127,29 @@ def test_vectors_match_all_pairs(spark):
     assert multi_index.linked_vectors(frame.limit(0)).count() == 0
 
 
+def shuffle_files(spark):
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {f: os.path.getsize(f) for f in files if "shuffle_" in f and os.path.exists(f)}
+
+
+def test_vectors_are_not_copied_to_the_cells_they_visit(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((6000, 64)).astype(np.float32)  # no direction stands out: nearly all cells are visited
+    v[3000:3500] = v[:500] + 0.02 * rng.standard_normal((500, 64)).astype(np.float32)
+    v[5000:5900] = v[7]  # more copies than a block of 20 holds
+    ids = [*range(5999), 5000]  # and an id with two vectors
+    frame = cut_lineage(spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "vec_id bigint, embedding array<float>"))
+    before = shuffle_files(spark)
+    got = {r.vec_id: r for r in multi_index.linked_vectors(frame, block_rows=20).collect()}
+    added = {f: n for f, n in shuffle_files(spark).items() if f not in before}
+    assert sum(added.values()) < 6 * v.nbytes
+    links = linked(v.astype(float))
+    assert all(got[i].n_links == links[i].sum() for i in range(5000) if not links[i, 5999])
+    parts = cases.connected(range(5999), [(int(a), int(b)) for a, b in np.argwhere(links) if b < 5999])
+    assert all(got[i].component_id == parts[i] for i in range(5000) if not links[i, 5999])
+
+
 def test_registered_query_reaches_brute_force(spark):
     table = spark.read.parquet(cases.SF + "/embeddings.parquet").collect()
     links = linked(np.array([r.embedding for r in table], float))
